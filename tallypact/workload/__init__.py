@@ -1 +1 @@
-
+"""The registered queries: each pairs a Spark plan with independent SQL over the same tables."""
