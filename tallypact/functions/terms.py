@@ -32,8 +32,10 @@ def _by_type(info_type: Column, fields: dict, build, default: Column) -> Column:
     return chain.otherwise(default)
 
 
-def identity_text(info_type: Column = F.col("info_type")) -> Column:
+def identity_text() -> Column:
     """Pipe-joined identity of a record; reads the record columns by name."""
+    info_type = F.col("info_type")
+
     def keys(names):
         return F.concat_ws("|", *[norm_text(F.coalesce(F.col(n), F.lit(""))) for n in names])
 

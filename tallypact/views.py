@@ -251,3 +251,61 @@ def document_pages(spark, sf_dir):
             F.slice(lines, (n - 1) * LINES_PER_PAGE + 1, F.lit(LINES_PER_PAGE)).alias("lines")))
     return agreements(spark, sf_dir).select(
         "document_id", "engagement_id", pages.alias("pages"))
+
+
+INFO_TYPE_BY_PART = {
+    4: "sla_item", 5: "reporting_requirement", 6: "definition", 7: "online_tool",
+    8: "responsibility", 9: "signature", 10: "information_section", 11: "uncategorised",
+}
+
+
+def records(spark, sf_dir):
+    """Extracted records of all nine types in one wide table, one per order line."""
+    kind = by_value(F.col("l_partkey") % 12, INFO_TYPE_BY_PART, "pricing_item")
+    supp = F.col("l_suppkey")
+
+    def for_types(col, *types):
+        return F.when(kind.isin(*types), col)
+
+    priced = F.when(supp % 4 != 0, F.col("p_brand"))
+    frequency = by_value(F.col("l_linenumber"), FREQUENCY_BY_LINE, "rebate per litre")
+    quote = F.when(F.col("l_partkey") % 13 != 0, F.col("p_type"))
+    return _lines_with_parts(spark, sf_dir).select(
+        line_id().alias("ordinal"), F.col("l_orderkey").alias("engagement_id"),
+        F.col("l_orderkey").alias("document_id"),
+        (1 + supp % 2).cast("int").alias("version"), kind.alias("info_type"),
+        for_types(F.concat("p_name", F.lit(" Program")), "pricing_item").alias("program"),
+        F.coalesce(for_types(priced, "pricing_item"), for_types(F.col("p_type"), "uncategorised"))
+        .alias("item"),
+        F.lit(None).cast("string").alias("sub_category"),
+        F.coalesce(for_types(frequency, "pricing_item"),
+                   for_types(F.lit("Monthly"), "reporting_requirement")).alias("frequency"),
+        F.when((kind == "pricing_item") & (supp % 5 != 0),
+               (F.col("l_discount") * 100).cast("decimal(18,2)")).alias("amount"),
+        F.when((kind == "pricing_item") & (supp % 7 == 0), "ten percent of charges")
+        .alias("calculation"),
+        F.when(kind == "pricing_item", supp % 11 == 0).alias("included"),
+        F.when(kind == "pricing_item", (F.col("l_tax") * 100).cast("decimal(18,2)"))
+        .alias("rate_pct"),
+        F.lit(None).cast("array<struct<min_units:int,max_units:int,amount:decimal(18,2)>>")
+        .alias("tier_bands"),
+        for_types(F.col("p_name"), "sla_item").alias("category"),
+        for_types(F.col("p_brand"), "sla_item").alias("contract_sub_section"),
+        for_types(F.concat("p_name", F.lit(" Report")), "reporting_requirement")
+        .alias("report_name"),
+        for_types(F.col("p_name"), "definition").alias("term"),
+        for_types(F.col("p_type"), "definition").alias("definition"),
+        for_types(F.col("p_name"), "online_tool").alias("tool_name"),
+        for_types(F.col("p_brand"), "online_tool").alias("platform"),
+        for_types(F.col("p_brand"), "responsibility", "information_section").alias("topic"),
+        for_types(F.col("p_name"), "responsibility").alias("task"),
+        for_types(F.lit("Vendor"), "responsibility").alias("responsible_party"),
+        for_types(F.concat(F.lit("Company "), (supp % 10).cast("string")), "signature")
+        .alias("company"),
+        for_types(F.col("p_name"), "signature").alias("name"),
+        for_types(F.col("p_type"), "information_section").alias("description"),
+        (1 - F.col("l_tax") * 3).cast("decimal(4,2)").alias("confidence"),
+        F.when(quote.isNotNull(), F.array(F.struct(quote.alias("quote")))).alias("citations"),
+        F.when(kind == "pricing_item", F.when(supp % 6 == 0, "fuzzy")
+               .when(supp % 6 == 1, "unmatched").otherwise("exact")).alias("catalog_match"),
+        F.when(supp % 8 == 0, "see schedule").alias("notes"))

@@ -1 +1,10 @@
 """The registered queries: each pairs a Spark plan with independent SQL over the same tables."""
+
+from importlib import import_module
+
+MODULES = ["scalars"]
+
+
+def load() -> None:
+    for module in MODULES:
+        import_module(f"tallypact.workload.{module}")

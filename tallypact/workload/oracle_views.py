@@ -206,3 +206,59 @@ VIEWS["portfolio"] = f"""select e.engagement_id, e.customer_id, c.legal_name as
 PORTFOLIO = ("customers engagements vehicles pricing_terms priced_terms fleet_sizes dues payments "
              "schedule review_cycles cycle_in_force portfolio")
 SCHEDULE = "engagements vehicles pricing_terms priced_terms fleet_sizes dues payments schedule"
+
+_KIND = """case l_partkey % 12 when 4 then 'sla_item' when 5 then 'reporting_requirement'
+  when 6 then 'definition' when 7 then 'online_tool' when 8 then 'responsibility'
+  when 9 then 'signature' when 10 then 'information_section' when 11 then 'uncategorised'
+  else 'pricing_item' end"""
+VIEWS["records"] = f"""select ordinal, l_orderkey as engagement_id, l_orderkey as document_id,
+  cast(1 + l_suppkey % 2 as int) as version, k as info_type,
+  case when k = 'pricing_item' then concat(p_name, ' Program') end as program,
+  case when k = 'pricing_item' and l_suppkey % 4 <> 0 then p_brand
+   when k = 'uncategorised' then p_type end as item,
+  cast(null as varchar) as sub_category,
+  case when k = 'pricing_item' then case l_linenumber when 1 then 'pvpm'
+    when 2 then 'per vehicle per month' when 3 then 'per driver per month' when 4 then 'per card'
+    when 5 then 'per claim' when 6 then 'one-time' else 'rebate per litre' end
+   when k = 'reporting_requirement' then 'Monthly' end as frequency,
+  case when k = 'pricing_item' and l_suppkey % 5 <> 0
+   then cast(l_discount * 100 as decimal(18,2)) end as amount,
+  case when k = 'pricing_item' and l_suppkey % 7 = 0 then 'ten percent of charges' end
+   as calculation,
+  case when k = 'pricing_item' then l_suppkey % 11 = 0 end as included,
+  case when k = 'pricing_item' then cast(l_tax * 100 as decimal(18,2)) end as rate_pct,
+  case when k = 'sla_item' then p_name end as category,
+  case when k = 'sla_item' then p_brand end as contract_sub_section,
+  case when k = 'reporting_requirement' then concat(p_name, ' Report') end as report_name,
+  case when k = 'definition' then p_name end as term,
+  case when k = 'definition' then p_type end as definition,
+  case when k = 'online_tool' then p_name end as tool_name,
+  case when k = 'online_tool' then p_brand end as platform,
+  case when k in ('responsibility', 'information_section') then p_brand end as topic,
+  case when k = 'responsibility' then p_name end as task,
+  case when k = 'responsibility' then 'Vendor' end as responsible_party,
+  case when k = 'signature' then concat('Company ', l_suppkey % 10) end as company,
+  case when k = 'signature' then p_name end as name,
+  case when k = 'information_section' then p_type end as description,
+  cast(1 - l_tax * 3 as decimal(4,2)) as confidence,
+  case when l_partkey % 13 <> 0 then p_type end as quote,
+  case when k = 'pricing_item' then case l_suppkey % 6 when 0 then 'fuzzy' when 1 then 'unmatched'
+   else 'exact' end end as catalog_match,
+  case when l_suppkey % 8 = 0 then 'see schedule' end as notes
+  from (select *, {LINE_ID} as ordinal, {_KIND} as k from lineitem join part
+        on l_partkey = p_partkey)"""
+
+
+def sql_stream(x: str) -> str:
+    return f"regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9$%/-]', '', 'g')"
+
+
+_IDS = " ".join(
+    f"when '{k}' then concat_ws('|', {', '.join(sql_stream(f) for f in v)})"
+    for k, v in fv.IDENTITY_FIELDS.items())
+SQL_RECORD_ID = f"""substr(sha1(concat_ws('|', info_type, case info_type {_IDS} else '' end,
+  case when info_type = 'pricing_item' then concat_ws('|', coalesce(cast(cast(amount as
+   decimal(18,2)) as varchar), 'None'), case when included then 'True' else 'False' end) end)),
+  1, 16)"""
+SQL_LINE_KEY = "concat_ws('|', " + ", ".join(
+    sql_stream(f) for f in fv.IDENTITY_FIELDS["pricing_item"]) + ")"
