@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scalars"]
+MODULES = ["scalars", "money"]
 
 
 def load() -> None:
