@@ -18,8 +18,15 @@ def band(low: Column, high: Column, amount: Column) -> Column:
 
 
 def dimension(spark, rows, schema: str) -> DataFrame:
-    """A fixed table of a few rows (buckets, stages, routes); its size never grows with data."""
-    return spark.createDataFrame(rows, schema)
+    """A fixed table of a few rows (buckets, stages, routes); its size never grows with data.
+
+    Built from literals, so the optimizer knows its size and keeps it in the JVM.
+    """
+    fields = [part.split() for part in schema.split(",")]
+    literals = F.array(*[
+        F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(row, fields, strict=True)])
+        for row in rows])
+    return spark.range(1).select(F.inline(literals))
 
 
 def counts_by_category(records: DataFrame) -> DataFrame:

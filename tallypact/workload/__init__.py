@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scalars", "money"]
+MODULES = ["scalars", "money", "process"]
 
 
 def load() -> None:

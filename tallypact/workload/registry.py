@@ -30,7 +30,8 @@ def with_views(uses: str, body: str) -> str:
     """Prefix ``body`` with the named views; CTEs written by the body itself follow them."""
     ctes = [f"{v} as ({VIEWS[v].strip()})" for v in uses.split()]
     body = body.strip()
-    if body.lower().startswith("with "):
-        ctes.append(body[5:].strip())
-        return "with " + ",\n".join(ctes)
+    for opening in ("with recursive ", "with "):
+        if body.lower().startswith(opening):
+            ctes.append(body[len(opening):].strip())
+            return opening + ",\n".join(ctes)
     return ("with " + ",\n".join(ctes) + "\n" if ctes else "") + body
