@@ -32,23 +32,28 @@ def _by_type(info_type: Column, fields: dict, build, default: Column) -> Column:
     return chain.otherwise(default)
 
 
-def identity_text() -> Column:
-    """Pipe-joined identity of a record; reads the record columns by name."""
+def identity_text(info_types: list[str] | None = None) -> Column:
+    """Pipe-joined identity of a record; reads the record columns by name.
+
+    A table that holds some record types only names them, and needs only their columns.
+    """
     info_type = F.col("info_type")
+    fields = {k: v for k, v in fv.IDENTITY_FIELDS.items() if info_types is None
+              or k in info_types}
 
     def keys(names):
         return F.concat_ws("|", *[norm_text(F.coalesce(F.col(n), F.lit(""))) for n in names])
 
-    base = F.concat_ws("|", info_type, _by_type(info_type, fv.IDENTITY_FIELDS, keys, F.lit("")))
+    base = F.concat_ws("|", info_type, _by_type(info_type, fields, keys, F.lit("")))
     money = F.concat_ws(
         "|", F.coalesce(F.col("amount").cast("decimal(18,2)").cast("string"), F.lit("None")),
         F.when(F.col("included"), "True").otherwise("False"))
     return F.when(info_type == "pricing_item", F.concat_ws("|", base, money)).otherwise(base)
 
 
-def record_id() -> Column:
+def record_id(info_types: list[str] | None = None) -> Column:
     """A stable id: the same term read twice is the same row, a moved amount is another."""
-    return F.substring(F.sha1(identity_text()), 1, 16)
+    return F.substring(F.sha1(identity_text(info_types)), 1, 16)
 
 
 def line_key() -> Column:

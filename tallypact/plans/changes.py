@@ -42,8 +42,8 @@ def approve_terms(terms: DataFrame, approvals: DataFrame) -> DataFrame:
     return (terms.join(by_category, ["document_id", "version", "category"], "left")
             .join(by_document, ["document_id", "version"], "left")
             .withColumn("newly_approved", newly)
-            .withColumn("approved", F.col("approved") | newly)
-            .withColumn("needs_review", F.col("needs_review") & ~newly)
+            .withColumn("approved", F.col("approved") | F.col("newly_approved"))
+            .withColumn("needs_review", F.col("needs_review") & ~F.col("newly_approved"))
             .drop("hit", "hit_all"))
 
 

@@ -308,4 +308,25 @@ def records(spark, sf_dir):
         F.when(quote.isNotNull(), F.array(F.struct(quote.alias("quote")))).alias("citations"),
         F.when(kind == "pricing_item", F.when(supp % 6 == 0, "fuzzy")
                .when(supp % 6 == 1, "unmatched").otherwise("exact")).alias("catalog_match"),
-        F.when(supp % 8 == 0, "see schedule").alias("notes"))
+        F.when(supp % 8 == 0, "see schedule").alias("notes"),
+        (F.col("l_returnflag") == "A").alias("approved"),
+        (F.col("l_returnflag") == "R").alias("superseded"))
+
+
+def catalog_programs(spark, sf_dir):
+    """The service catalog: one program per part name, known by one alias."""
+    from tallypact.functions.text import slugify
+
+    return programs(spark, sf_dir).select(
+        slugify(F.col("name")).alias("program_id"), F.col("name").alias("position"), "name",
+        F.array(F.concat("name", F.lit(" Plan"))).alias("aliases"))
+
+
+def catalog_items(spark, sf_dir):
+    """Items of each program: the brands its parts come in."""
+    from tallypact.functions.text import slugify
+
+    return table(spark, sf_dir, "part").select("p_name", "p_brand").distinct().select(
+        slugify(F.col("p_name")).alias("program_id"), slugify(F.col("p_brand")).alias("item_id"),
+        F.col("p_brand").alias("position"), F.col("p_brand").alias("name"),
+        F.array().cast("array<string>").alias("aliases"))

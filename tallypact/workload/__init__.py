@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scalars", "money", "process"]
+MODULES = ["scalars", "money", "process", "contract_terms"]
 
 
 def load() -> None:

@@ -244,7 +244,8 @@ VIEWS["records"] = f"""select ordinal, l_orderkey as engagement_id, l_orderkey a
   case when l_partkey % 13 <> 0 then p_type end as quote,
   case when k = 'pricing_item' then case l_suppkey % 6 when 0 then 'fuzzy' when 1 then 'unmatched'
    else 'exact' end end as catalog_match,
-  case when l_suppkey % 8 = 0 then 'see schedule' end as notes
+  case when l_suppkey % 8 = 0 then 'see schedule' end as notes,
+  l_returnflag = 'A' as approved, l_returnflag = 'R' as superseded
   from (select *, {LINE_ID} as ordinal, {_KIND} as k from lineitem join part
         on l_partkey = p_partkey)"""
 
@@ -253,6 +254,8 @@ def sql_stream(x: str) -> str:
     return f"regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9$%/-]', '', 'g')"
 
 
+_PRICING_IDS = "concat_ws('|', " + ", ".join(
+    sql_stream(f) for f in fv.IDENTITY_FIELDS["pricing_item"]) + ")"
 _IDS = " ".join(
     f"when '{k}' then concat_ws('|', {', '.join(sql_stream(f) for f in v)})"
     for k, v in fv.IDENTITY_FIELDS.items())
@@ -262,3 +265,6 @@ SQL_RECORD_ID = f"""substr(sha1(concat_ws('|', info_type, case info_type {_IDS}
   1, 16)"""
 SQL_LINE_KEY = "concat_ws('|', " + ", ".join(
     sql_stream(f) for f in fv.IDENTITY_FIELDS["pricing_item"]) + ")"
+SQL_PRICING_ID = f"""substr(sha1(concat_ws('|', info_type, {_PRICING_IDS}, coalesce(cast(cast(
+  amount as decimal(18,2)) as varchar), 'None'), case when included then 'True' else 'False' end)),
+  1, 16)"""
