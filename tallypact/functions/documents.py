@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallypact import fixed_values as fv
+from tallypact.functions.binding import let
 
 FLAGS = "(?iU)"
 
@@ -25,8 +26,13 @@ def classify_doc_type(text: Column) -> Column:
     """
     text = F.coalesce(text, F.lit(""))
     low = F.lower(text)
-    lease = _mentions(text, low, fv.LEASE_PHRASES, ["lease"])
-    service = _mentions(text, low, fv.SERVICE_PHRASES, ["agreement", "statement"])
+    mentions = F.struct(
+        _mentions(text, low, fv.LEASE_PHRASES, ["lease"]).alias("lease"),
+        _mentions(text, low, fv.SERVICE_PHRASES, ["agreement", "statement"]).alias("service"))
+    return let(mentions, lambda m: _weigh(text, m.lease, m.service))
+
+
+def _weigh(text: Column, lease: Column, service: Column) -> Column:
     lease_first = (F.regexp_instr(text, F.lit(FLAGS + fv.LEASE_PHRASES))
                    < F.regexp_instr(text, F.lit(FLAGS + fv.SERVICE_PHRASES)))
     top, other = F.greatest(lease, service), F.least(lease, service)
@@ -43,7 +49,7 @@ def classify_doc_type(text: Column) -> Column:
 
 def _date_from(year: Column, month: Column, day: Column) -> Column:
     made = F.try_to_date(F.concat_ws("-", year, month, day), "y-M-d")
-    return F.when((F.year(made) > 1900) & (F.year(made) < 2200), made)
+    return let(made, lambda m: F.when((F.year(m) > 1900) & (F.year(m) < 2200), m))
 
 
 def effective_date(text: Column) -> Column:
@@ -57,19 +63,21 @@ def effective_date(text: Column) -> Column:
         return F.array_position(names, F.lower(col)).cast("string")
 
     def reader(pattern, year, month, day_group, named=True):
-        found = F.regexp_substr(head, F.lit(FLAGS + pattern))
+        def parts(found):
+            def part(group):
+                return F.regexp_extract(found, FLAGS + pattern, group)
 
-        def part(group):
-            return F.regexp_extract(found, FLAGS + pattern, group)
+            return _date_from(part(year), month_of(part(month)) if named else part(month),
+                              part(day_group))
 
-        return _date_from(part(year), month_of(part(month)) if named else part(month),
-                          part(day_group))
+        return let(F.regexp_substr(head, F.lit(FLAGS + pattern)), parts)
 
     lead = fv.EFFECTIVE_LEAD
-    return F.coalesce(
+    low = F.lower(head)
+    return F.when(low.contains("effective") | low.contains("dated"), F.coalesce(
         reader(lead + rf"({either})\s+{day},?\s+(\d{{4}})", 3, 1, 2),
         reader(lead + rf"{day}\s+({either}),?\s+(\d{{4}})", 3, 2, 1),
-        reader(lead + r"(\d{4})-(\d{2})-(\d{2})", 1, 2, 3, named=False))
+        reader(lead + r"(\d{4})-(\d{2})-(\d{2})", 1, 2, 3, named=False)))
 
 
 def sanity_reasons(text: Column, client_name: Column, expected: Column) -> Column:

@@ -126,11 +126,11 @@ def fold_readings(records: DataFrame, list_fields: list[str],
     for c in list_fields:
         entries = (rows.select(*keys, F.explode(c).alias("entry"))
                    .groupBy(*keys).agg(F.array_sort(F.collect_set("entry")).alias(c)))
-        folded = folded.join(entries, keys, "left")
+        empty = F.array().cast(records.schema[c].dataType)
+        folded = folded.join(entries, keys, "left").withColumn(c, F.coalesce(c, empty))
     gained = F.lit(False)
     for c in list_fields:
-        gained = gained | (F.coalesce(F.size(c), F.lit(0)) > F.greatest(
-            F.col(f"had.{c}"), F.lit(0)))
+        gained = gained | (F.size(c) > F.greatest(F.col(f"had.{c}"), F.lit(0)))
     return folded.withColumn("gained", gained).drop("had")
 
 
