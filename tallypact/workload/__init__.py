@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scalars", "money", "process", "contract_terms", "agreements"]
+MODULES = ["scalars", "money", "process", "contract_terms", "agreements", "runs"]
 
 
 def load() -> None:

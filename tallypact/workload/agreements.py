@@ -279,13 +279,13 @@ with w as (select document_id, page_number, line_no, (line_no - 1) % 5 + 1 as li
  n as (select *, length(regexp_replace(lower(word), '[^a-z0-9$%/-]', '', 'g')) as n from u),
  s as (select *, sum(n) over (partition by document_id, page_number order by line, j
    rows unbounded preceding) - n as begins from n),
- c as (select c.*, strpos(p.stream, c.found) - 1 as at from cited c join page_streams p
+ c as (select c.*, strpos(p.stream, c.found) - 1 as pos0 from cited c join page_streams p
    on p.document_id = c.document_id and p.page_number = c.page_number)
 select citation_id, c.document_id, c.page_number, score, cast(line as int) as line,
   min((j - 1)::double / per_line) as x0, max(j::double / per_line) as x1,
   min((line - 1)::double / x) as y0, max(line::double / x) as y1, count(*) as words
 from c join s on s.document_id = c.document_id and s.page_number = c.page_number
- and s.n > 0 and s.begins < at + length(found) and s.begins + s.n > at group by all""")
+ and s.n > 0 and s.begins < pos0 + length(found) and s.begins + s.n > pos0 group by all""")
 def citation_boxes(spark, d):
     pages = views.document_pages(spark, d)
     return citations.boxes(citations.locate(page_citations(spark, d), pages), pages)
