@@ -94,9 +94,14 @@ def review_cycles(spark, sf_dir):
         .alias("status"))
 
 
-def _lines_with_parts(spark, sf_dir):
+def with_parts(spark, sf_dir, lines: DataFrame) -> DataFrame:
+    """Order lines, arriving or stored, beside the part they name."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    return table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
+
+
+def _lines_with_parts(spark, sf_dir):
+    return with_parts(spark, sf_dir, table(spark, sf_dir, "lineitem"))
 
 
 FREQUENCY_BY_LINE = {
@@ -125,6 +130,10 @@ def programs(spark, sf_dir):
 
 
 def raw_names(spark, sf_dir):
+    return raw_names_of(_lines_with_parts(spark, sf_dir))
+
+
+def raw_names_of(lines: DataFrame) -> DataFrame:
     name = F.col("p_name")
     size = F.length(name)
     raw = (
@@ -134,7 +143,7 @@ def raw_names(spark, sf_dir):
         .when(F.col("l_suppkey") % 5 == 3,
               F.concat(F.substr(name, F.lit(1), size - 2), F.substr(name, size, F.lit(1))))
         .otherwise(F.concat(F.lit("unlisted "), F.col("p_type"))))
-    return _lines_with_parts(spark, sf_dir).select(
+    return lines.select(
         F.col("l_orderkey").alias("engagement_id"), raw.alias("raw"),
         F.col("p_brand").alias("item_raw"), line_id().alias("term_key"), "l_shipdate")
 
@@ -165,7 +174,11 @@ ACTION_BY_EVENT = dict(enumerate([
 
 
 def audit_events(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(
+    return audit_events_of(table(spark, sf_dir, "events"))
+
+
+def audit_events_of(events: DataFrame) -> DataFrame:
+    return events.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"),
         F.col("user_id").alias("submission_id"),
         by_value(F.col("event_id") % 12, ACTION_BY_EVENT, "approve_billing").alias("action"),
@@ -198,6 +211,10 @@ def provider_directory(spark, sf_dir):
 
 
 def agreements(spark, sf_dir):
+    return agreements_of(table(spark, sf_dir, "documents"))
+
+
+def agreements_of(documents: DataFrame) -> DataFrame:
     lead = by_value(F.col("doc_id") % 5, {
         0: "MASTER LEASE AGREEMENT effective as of January 5, 2024. ",
         1: "Master Services Agreement dated as of 3 March 2022. ",
@@ -205,7 +222,7 @@ def agreements(spark, sf_dir):
         3: "Master Service Agreement effective as of February 30, 2024; "
            "see master lease agreement. ",
     }, "")
-    return table(spark, sf_dir, "documents").select(
+    return documents.select(
         F.col("doc_id").alias("document_id"), (F.col("doc_id") % 50).alias("engagement_id"),
         F.concat(lead, F.col("text")).alias("full_text"), F.col("doc_id").alias("created_ord"))
 
@@ -260,6 +277,10 @@ INFO_TYPE_BY_PART = {
 
 
 def records(spark, sf_dir):
+    return records_of(_lines_with_parts(spark, sf_dir))
+
+
+def records_of(lines: DataFrame) -> DataFrame:
     """Extracted records of all nine types in one wide table, one per order line."""
     kind = by_value(F.col("l_partkey") % 12, INFO_TYPE_BY_PART, "pricing_item")
     supp = F.col("l_suppkey")
@@ -270,7 +291,7 @@ def records(spark, sf_dir):
     priced = F.when(supp % 4 != 0, F.col("p_brand"))
     frequency = by_value(F.col("l_linenumber"), FREQUENCY_BY_LINE, "rebate per litre")
     quote = F.when(F.col("l_partkey") % 13 != 0, F.col("p_type"))
-    return _lines_with_parts(spark, sf_dir).select(
+    return lines.select(
         line_id().alias("ordinal"), F.col("l_orderkey").alias("engagement_id"),
         F.col("l_orderkey").alias("document_id"),
         (1 + supp % 2).cast("int").alias("version"), kind.alias("info_type"),

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scalars", "money", "process", "contract_terms", "agreements", "runs"]
+MODULES = ["scalars", "money", "process", "contract_terms", "agreements", "runs", "storage"]
 
 
 def load() -> None:

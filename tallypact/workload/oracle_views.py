@@ -268,3 +268,10 @@ SQL_LINE_KEY = "concat_ws('|', " + ", ".join(
 SQL_PRICING_ID = f"""substr(sha1(concat_ws('|', info_type, {_PRICING_IDS}, coalesce(cast(cast(
   amount as decimal(18,2)) as varchar), 'None'), case when included then 'True' else 'False' end)),
   1, 16)"""
+
+OUTBOX_SQL = f"""
+select a.event_id, a.submission_id as engagement_id, template, user_id, email
+from audit_events a join (values {", ".join(
+    f"('{a}', '{t}', '{r}')" for a, sends in fv.NOTIFICATION_ROUTES.items()
+    for t, roles in sends for r in roles)}) v(act, template, r) on act = action
+join memberships m on m.engagement_id = a.submission_id and m.role = r"""

@@ -316,12 +316,7 @@ def tenancy_filter(spark, d):
                          .withColumn("user_id", F.lit(-1).cast("bigint"))))
 
 
-@query("D15_notification_routing", uses="audit_events memberships", sql=f"""
-select a.event_id, a.submission_id as engagement_id, template, user_id, email
-from audit_events a join (values {", ".join(
-    f"('{a}', '{t}', '{r}')" for a, sends in fv.NOTIFICATION_ROUTES.items()
-    for t, roles in sends for r in roles)}) v(act, template, r) on act = action
-join memberships m on m.engagement_id = a.submission_id and m.role = r""")
+@query("D15_notification_routing", uses="audit_events memberships", sql=ov.OUTBOX_SQL)
 def notification_routing(spark, d):
     events = views.audit_events(spark, d).withColumnRenamed("submission_id", "engagement_id")
     return people.outbox(events, views.memberships(spark, d))
