@@ -10,6 +10,7 @@ from tallypact.functions import calls as call_fn
 from tallypact.functions.billing import rounded_ratio
 from tallypact.functions.text import key_words, scoring_text
 from tallypact.operators.matching import in_order_matches
+from tallypact.session import cut_lineage
 
 GROUP = ["run_id", "info_type"]
 EXACT = 2.0
@@ -74,7 +75,7 @@ def score_runs(expected: DataFrame, got: DataFrame, everything: DataFrame) -> Da
     ``everything`` holds every record of the run with all its words, for content that was filed
     under another type: a share of 0.6 of at least two words counts as covered.
     """
-    found = match_records(expected, got)
+    found = cut_lineage(match_records(expected, got), "matches")
     left = expected.join(found.select(*GROUP, F.col("chooser").alias("record_no")),
                          [*GROUP, "record_no"], "left_anti").filter(F.size("words") >= 2)
     anywhere = left.withColumn("record_no", F.struct(

@@ -11,6 +11,7 @@ from tallypact.functions import terms as fn
 from tallypact.functions.text import norm_text
 from tallypact.operators.records import first_by
 from tallypact.plans.catalog import resolve
+from tallypact.session import cut_lineage
 
 DOCUMENT = ["engagement_id", "document_id", "version"]
 BODY = ["info_type", "program", "item", "sub_category", "frequency", "amount", "calculation",
@@ -119,15 +120,15 @@ def fold_readings(records: DataFrame, list_fields: list[str],
     def first_filled(c):
         return F.min_by(c, F.when(F.col(c).cast("string") != "", rank)).alias(c)
 
+    def united(c):
+        # Copies of one list collapse in the set before the shuffle; what is left is flattened.
+        return F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+
     folded = rows.groupBy(*keys).agg(
-        *[first_filled(c) for c in SCALARS + ["info_type"]], F.count("*").alias("readings"),
-        F.min("ordinal").alias("ordinal"), F.min_by(F.struct(*[
-            F.coalesce(F.size(c), F.lit(0)).alias(c) for c in list_fields]), rank).alias("had"))
-    for c in list_fields:
-        entries = (rows.select(*keys, F.explode(c).alias("entry"))
-                   .groupBy(*keys).agg(F.array_sort(F.collect_set("entry")).alias(c)))
-        empty = F.array().cast(records.schema[c].dataType)
-        folded = folded.join(entries, keys, "left").withColumn(c, F.coalesce(c, empty))
+        *[first_filled(c) for c in SCALARS + ["info_type"]], *[united(c) for c in list_fields],
+        F.count("*").alias("readings"), F.min("ordinal").alias("ordinal"),
+        F.min_by(F.struct(*[F.coalesce(F.size(c), F.lit(0)).alias(c) for c in list_fields]),
+                 rank).alias("had"))
     gained = F.lit(False)
     for c in list_fields:
         gained = gained | (F.size(c) > F.greatest(F.col(f"had.{c}"), F.lit(0)))
@@ -137,8 +138,10 @@ def fold_readings(records: DataFrame, list_fields: list[str],
 def drop_bare(folded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, dropped): a program named without a price goes when it is priced elsewhere.
 
-    Bare rows are matched by document and program key against the distinct priced programs.
+    Bare rows are matched by document and program key against the distinct priced programs. The
+    folded rows are read three times, so they are written out once.
     """
+    folded = cut_lineage(folded, "folded")
     key = norm_text(F.coalesce("program", F.lit("")))
     rows = folded.withColumn("program_key", key).withColumn(
         "bare", (F.col("info_type") == "pricing_item")

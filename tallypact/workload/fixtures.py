@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallypact import views
+from tallypact.functions.billing import period_months
 from tallypact.plans import billing, finance, lifecycle
+from tallypact.session import cut_lineage
 
 
 def fleets(spark, d):
@@ -22,8 +24,6 @@ def payments(spark, d):
         views.engagements(spark, d).join(dues(spark, d), "engagement_id"))
     paid = ((F.col("due_date") <= views.as_of())
             & ((F.col("engagement_id") + F.col("seq")) % 5 != 0))
-    from tallypact.functions.billing import period_months
-
     made = (F.col("monthly_recurring") * period_months(F.col("billing_frequency")))
     return rows.withColumn("paid", paid).withColumn(
         "amount_paid", F.when(F.col("paid"), made.cast("decimal(18,2)")))
@@ -34,7 +34,8 @@ def schedule(spark, d):
 
 
 def portfolio(spark, d):
-    return finance.portfolio(
+    """The portfolio table, one row per engagement, written once for the reports that share it."""
+    return cut_lineage(finance.portfolio(
         views.engagements(spark, d), dues(spark, d),
         lifecycle.cycle_in_force(views.review_cycles(spark, d)), views.customers(spark, d),
-        schedule(spark, d), views.as_of())
+        schedule(spark, d), views.as_of()), "portfolio")

@@ -8,6 +8,7 @@ from tallypact import fixed_values as fv
 from tallypact import views
 from tallypact.operators.records import dimension
 from tallypact.plans import quality
+from tallypact.session import cut_lineage
 from tallypact.workload import oracle_views as ov
 from tallypact.workload.registry import query
 from tallypact.workload.scalars import SQL_COST, SQL_UNCACHED, sql_words
@@ -97,7 +98,8 @@ def expected_got(spark, d):
         F.when(F.col("l_suppkey") % 10 == 3, F.col("l_discount") + 1)
         .otherwise(F.col("l_discount")).alias("amount"))
     fields = fv.MATCH_FIELDS["pricing_item"]
-    return quality.keyed(want, fields), quality.keyed(got, fields)
+    return (cut_lineage(quality.keyed(want, fields), "expected"),
+            cut_lineage(quality.keyed(got, fields), "got"))
 
 
 ov.VIEWS["want_got"] = f"""select l.l_orderkey as run_id, r.term_key as record_no,
