@@ -45,10 +45,8 @@ def scoring_text(text: Column) -> Column:
 
 def key_words(text: Column) -> Column:
     """The set of significant words of a text, sorted."""
-    noise = F.array(*[F.lit(w) for w in fv.SCORING_NOISE])
-    return F.array_sort(F.array_distinct(F.filter(
-        F.split(scoring_text(text), " "),
-        lambda w: (w != "") & ~F.array_contains(noise, w))))
+    noise = F.array(*[F.lit(w) for w in ["", *fv.SCORING_NOISE]])
+    return F.array_sort(F.array_except(F.split(scoring_text(text), " "), noise))
 
 
 def clean_heading(raw: Column) -> Column:
