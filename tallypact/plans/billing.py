@@ -138,17 +138,6 @@ def excluded_programs(engagements: DataFrame, programs: DataFrame, lines: DataFr
                     (F.col("total") - F.coalesce("covered", F.lit(0))).alias("excluded")))
 
 
-def uncovered(coverage: DataFrame, programs: DataFrame, engagement_ids: DataFrame) -> DataFrame:
-    """The active programs that the chosen engagements do not cover, by name.
-
-    Meant for engagements somebody is looking at; the portfolio view is
-    :func:`excluded_programs`.
-    """
-    wanted = engagement_ids.select("engagement_id").distinct().withColumn("k", F.lit(1))
-    every = wanted.join(programs.select("program").distinct().withColumn("k", F.lit(1)), "k")
-    return every.drop("k").join(coverage, ["engagement_id", "program"], "left_anti")
-
-
 CONFIG_PART_ITEMS = 5000
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallypact import fixed_values as fv
 from tallypact.functions import billing as bill_fn
 from tallypact.functions import fleet as fn
+from tallypact.operators.ordered import with_next
 from tallypact.operators.records import dimension
 from tallypact.plans.billing import fleet_sizes, recurring_dues
 
@@ -118,10 +119,6 @@ def release(vehicles: DataFrame, released: DataFrame) -> DataFrame:
             .drop("released"))
 
 
-def assignment_intervals(history: DataFrame, order: list[Column]) -> DataFrame:
-    """Append-only assignments as intervals: each ends when the vehicle's next one starts.
-
-    A vehicle moves a few dozen times in its life, so the window over one vehicle stays small.
-    """
-    per = Window.partitionBy("vehicle_no").orderBy(*order)
-    return history.withColumn("assigned_until", F.lead("assigned_at").over(per))
+def assignment_intervals(history: DataFrame, order: list[str]) -> DataFrame:
+    """Append-only assignments as intervals: each ends when the vehicle's next one starts."""
+    return with_next(history, "vehicle_no", order, "assigned_at", "assigned_until")

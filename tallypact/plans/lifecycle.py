@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tallypact import fixed_values as fv
 from tallypact.functions import lifecycle as lc
+from tallypact.operators.ordered import CHUNK, in_chunks
 from tallypact.operators.records import last_by
-from tallypact.session import cut_lineage
 
 
 def _cycle_order(preferred: Column) -> Column:
@@ -124,27 +124,16 @@ def status_since(engagements: DataFrame, cycles: DataFrame) -> DataFrame:
 
 
 # --- replay ----------------------------------------------------------------------------------
-CHUNK = 1024
-RUN = "array<struct<event_id:bigint,state:string>>"
-
-
 def _apply(state: Column, event: Column) -> Column:
     return F.call_function("translate", state, event.src, event.dst)
 
 
 def _ordered_chunks(events: DataFrame) -> DataFrame:
-    """Events numbered into chunks of at most CHUNK rows, in (submission, ts, event_id) order.
-
-    Range partitioning cuts a hot submission across many tasks, and the chunk number grows with
-    time inside every submission. The numbering is written out, because later steps read it more
-    than once.
-    """
+    """Events with their moves, numbered into chunks of at most CHUNK rows in order of time."""
     src, dst = lc.moves(F.col("action"), F.col("actor_role"))
-    order = ["submission_id", "ts", "event_id"]
-    ranged = (events.select(*order, "action", "actor_role", src.alias("src"), dst.alias("dst"))
-              .repartitionByRange(*order).sortWithinPartitions(*order))
-    chunk = F.floor(F.monotonically_increasing_id() / CHUNK)
-    return cut_lineage(ranged.withColumn("chunk", chunk), "replay-chunks")
+    slim = events.select("submission_id", "ts", "event_id", "action", "actor_role",
+                         src.alias("src"), dst.alias("dst"))
+    return in_chunks(slim, ["submission_id", "ts", "event_id"], CHUNK, "replay-chunks")
 
 
 def _entry_states(chunks: DataFrame) -> DataFrame:

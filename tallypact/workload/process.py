@@ -520,7 +520,7 @@ def assignment_intervals(spark, d):
     history = views.table(spark, d, "lineitem").select(
         F.col("l_partkey").alias("vehicle_no"), F.col("l_orderkey").alias("engagement_id"),
         F.col("l_shipdate").cast("date").alias("assigned_at"), "l_linenumber", "l_suppkey")
-    order = [F.col(c) for c in ("assigned_at", "engagement_id", "l_linenumber", "l_suppkey")]
+    order = ["assigned_at", "engagement_id", "l_linenumber", "l_suppkey"]
     return fleet.assignment_intervals(history, order).select(
         "vehicle_no", "engagement_id", F.col("assigned_at").cast("string"),
         F.col("assigned_until").cast("string"))

@@ -12,6 +12,7 @@ from tallypact import fixed_values as fv
 from tallypact.operators import similarity
 from tallypact.operators.containment import passages_in
 from tallypact.operators.matching import in_order_matches
+from tallypact.operators.ordered import with_next
 from tallypact.operators.records import TIERS
 from tallypact.plans import billing, catalog, citations, documents, lifecycle, quality, terms
 from tallypact.sources import payloads
@@ -195,6 +196,17 @@ def test_replay_over_many_chunks(spark, monkeypatch):
         state[sid] = after or before
 
 
+def test_next_row_across_chunks(spark):
+    rng = random.Random(4)
+    rows = [(0 if i % 3 else i % 5, at) for i, at in enumerate(rng.sample(range(1000), 200))]
+    frame = spark.createDataFrame(rows, "k int, at int")
+    got = {(r.k, r.at): r.following
+           for r in with_next(frame, "k", ["at"], "at", "following", 4).collect()}
+    for k in {r[0] for r in rows}:
+        mine = sorted(at for key, at in rows if key == k)
+        assert [got[k, at] for at in mine] == [*mine[1:], None]
+
+
 def test_schedule_statuses(spark):
     rows = [(1, i, datetime.date(2026, 1 + i, 15), False, "monthly", Decimal("100.00"))
             for i in range(5)]
