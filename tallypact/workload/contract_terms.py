@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from tallypact import fixed_values as fv
 from tallypact import views
-from tallypact.functions import billing as bill_fn
 from tallypact.functions import terms as term_fn
 from tallypact.functions.text import normalise_name
-from tallypact.operators.records import band, dimension
+from tallypact.operators.records import band
 from tallypact.plans import catalog, changes, terms
 from tallypact.views import AS_OF
 from tallypact.workload import oracle_views as ov

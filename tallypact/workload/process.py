@@ -11,7 +11,6 @@ from tallypact.functions import fleet as fleet_fn
 from tallypact.functions import lifecycle as lc
 from tallypact.operators.records import dimension, last_by
 from tallypact.plans import fleet, lifecycle, migrations, people
-from tallypact.workload import fixtures as fx
 from tallypact.workload import oracle_views as ov
 from tallypact.workload.money import ratio_sql
 from tallypact.workload.registry import query
