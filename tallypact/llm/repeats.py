@@ -41,7 +41,7 @@ from tallypact.llm.common import chunks, utf8
 FINE_BITS = 33
 SLOT_BITS = 29
 PARTS = 128
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -65,7 +65,7 @@ class Seeds:
         if n <= 0:
             self.at = self.hash = self.row = self.seed = np.zeros(0, np.int64)
             return
-        code = _rolling(units, gram)
+        code = rolling(units, gram)
         code ^= code >> np.uint64(32)
         code *= MIX
         code ^= code >> np.uint64(29)
@@ -92,7 +92,7 @@ class Seeds:
         return self.row[new], self.hash[new]
 
 
-def _rolling(units: np.ndarray, length: int) -> np.ndarray:
+def rolling(units: np.ndarray, length: int) -> np.ndarray:
     """Polynomial hash of every ``length`` neighbours, put together from powers of two."""
     done, out, block = 0, None, units
     size = 1
@@ -344,3 +344,15 @@ def mask(n: int, spans) -> np.ndarray:
         edge[s["start"]] += 1
         edge[s["start"] + s["length"]] -= 1
     return np.cumsum(edge[:n]) > 0
+
+
+def grouped_runs(phrase: np.ndarray, offset: np.ndarray, doc: np.ndarray, high: np.ndarray):
+    """Runs (phrase, offset, windows, document) of windows, in order, that a document before ``high`` has too."""
+    hit = np.flatnonzero(doc < high[phrase])
+    if not len(hit):
+        return
+    phrase, offset, doc = phrase[hit], offset[hit], doc[hit]
+    begin = np.flatnonzero(np.append(True, (phrase[1:] != phrase[:-1]) | (offset[1:] != offset[:-1] + 1)
+                                     | (doc[1:] != doc[:-1])))
+    count = np.diff(np.append(begin, len(hit)))
+    yield from zip(phrase[begin].tolist(), offset[begin].tolist(), count.tolist(), doc[begin].tolist(), strict=True)

@@ -68,46 +68,58 @@ class _Codes(dict):
         return c
 
 
+#: Stands between phrases; no window has it.
+BREAK = "\U0010FFFF"
+
+
+def _window_classes(codes: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class of equal windows of each start, and the first start of each class; compared word by word."""
+    wide = codes.astype(np.uint64) * repeats.MIX
+    sums = repeats.rolling(wide, window)[starts]
+    sums ^= sums >> np.uint64(31)
+    _, first, of = np.unique(sums, return_index=True, return_inverse=True)
+    like = starts[first][of]
+    same = np.ones(len(starts), bool)
+    for i in range(window):
+        same &= codes[starts + i] == codes[like + i]
+    if not same.all():
+        # Two different windows share a hash: class them by their words.
+        words = np.stack([codes[starts + i] for i in range(window)], 1)
+        _, first, of = np.unique(words, axis=0, return_index=True, return_inverse=True)
+    return of.ravel(), starts[first]
+
+
 def match_with_automaton(window: int):
     """Confirm, compile, stream: for ``repeats.removed_spans``."""
 
     def match(phrases: list[bytes], low: list[int], high: list[int]):
-        codes = _Codes()
-        coded = ["".join(map(codes.__getitem__, p.split(b" "))) for p in phrases]
-        source: dict[str, int] = {}
-        latest: dict[str, int] = {}
-        for text, a, b in zip(coded, low, high, strict=True):
-            for i in range(len(text) - window + 1):
-                w = text[i:i + window]
-                if w not in source:
-                    source[w], latest[w] = a, b
-                else:
-                    if a < source[w]:
-                        source[w] = a
-                    if b > latest[w]:
-                        latest[w] = b
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
-        for w, doc in source.items():
-            if doc < latest[w]:
-                automaton.add_word(w, doc)
-        del source, latest
+        if not phrases:
+            return
+        table = _Codes()
+        coded = ["".join(map(table.__getitem__, p.split(b" "))) for p in phrases]
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) + 1
+        text = BREAK.join(coded)
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        first, count = np.cumsum(size) - size, size - window
+        phrase = np.repeat(np.arange(len(coded)), count)
+        starts = np.arange(len(phrase)) - np.repeat(np.cumsum(count) - count, count) + first[phrase]
+        low, high = np.array(low), np.array(high)
+        of, sample = _window_classes(codes, starts, window)
+        source = np.full(len(sample), np.iinfo(np.int64).max)
+        latest = np.full(len(sample), np.iinfo(np.int64).min)
+        np.minimum.at(source, of, low[phrase])
+        np.maximum.at(latest, of, high[phrase])
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k in np.flatnonzero(source < latest).tolist():
+            at = int(sample[k])
+            automaton.add_word(text[at:at + window], k)
         if not len(automaton):
             return
         automaton.make_automaton()
-        for k, (text, b) in enumerate(zip(coded, high, strict=True)):
-            run = None
-            for end, doc in automaton.iter(text):
-                if doc >= b:
-                    continue
-                at = end - window + 1
-                if run and run[1] + run[2] == at and run[3] == doc:
-                    run[2] += 1
-                    continue
-                if run:
-                    yield run
-                run = [k, at, 1, doc]
-            if run:
-                yield run
+        found = np.fromiter((x for pair in automaton.iter(text) for x in pair), np.int64).reshape(-1, 2)
+        start = found[:, 0] - (window - 1)
+        phrase = np.searchsorted(first, start, "right") - 1
+        yield from repeats.grouped_runs(phrase, start - first[phrase], source[found[:, 1]], high)
 
     return match
 

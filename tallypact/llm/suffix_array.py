@@ -87,16 +87,7 @@ def match_by_rank(window: int):
         low, high = np.array(low), np.array(high)
         source = np.full(int(rank.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(source, rank, low[phrase])
-        doc = source[rank]
-        hit = np.flatnonzero(doc < high[phrase])
-        if not len(hit):
-            return
-        new = np.append(True, (hit[1:] != hit[:-1] + 1) | (phrase[hit[1:]] != phrase[hit[:-1]])
-                        | (doc[hit[1:]] != doc[hit[:-1]]))
-        begin = np.flatnonzero(new)
-        n = np.diff(np.append(begin, len(hit)))
-        at = hit[begin]
-        yield from zip(phrase[at].tolist(), offset[at].tolist(), n.tolist(), doc[at].tolist(), strict=True)
+        yield from repeats.grouped_runs(phrase, offset, source[rank], high)
 
     return match
 
