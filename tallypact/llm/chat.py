@@ -102,8 +102,8 @@ def read_back(rendered: DataFrame) -> DataFrame:
         return F.struct(unescape_role(F.substr(piece, F.lit(1), cut - 1)).alias("role"), unescape(body).alias("text"))
 
     return rendered.select("conv_id", F.transform(pieces, turn).alias("turns"),
-                           F.transform(F.filter("segments", lambda s: s["loss"]),
-                                       lambda s: unescape(s["text"])).alias("loss_texts"), "formatted")
+                           F.array_compact(F.transform("segments", lambda s: F.when(s["loss"], unescape(s["text"])))).alias(
+                               "loss_texts"), "formatted")
 
 
 def digest(turns: DataFrame) -> DataFrame:

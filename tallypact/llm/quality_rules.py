@@ -110,9 +110,8 @@ def mask(policy: str) -> int:
 def apply_policy(entries: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The ledger with ``kept`` and ``failed_rules`` by one version of the policy."""
     counted = F.col("failed").bitwiseAND(F.lit(mask(policy)).cast("long"))
-    names = F.array(*[F.lit(name) for name, _ in RULES])
-    return entries.withColumn("kept", counted == 0).withColumn(
-        "failed_rules", F.filter(names, lambda name, i: F.shiftright(counted, i).bitwiseAND(F.lit(1)) == 1))
+    names = [F.when(counted.bitwiseAND(F.lit(1 << bit)) != 0, name) for bit, (name, _) in enumerate(RULES)]
+    return entries.withColumn("kept", counted == 0).withColumn("failed_rules", F.array_compact(F.array(*names)))
 
 
 def ablation(entries: DataFrame, policies: list[str] | None = None) -> DataFrame:

@@ -2,11 +2,39 @@
 
 from __future__ import annotations
 
-from tallypact.llm import substring_dedup, suffix_array
+from tallypact.llm import (
+    chat,
+    decontaminate,
+    kneser_ney,
+    packing,
+    pii,
+    quality_rules,
+    simhash,
+    substring_dedup,
+    suffix_array,
+    toxicity,
+)
 from tallypact.llm.common import table
 
+
+def _documents(digest, *others):
+    """A query that gives an operator the documents and the other tables it reads."""
+    return lambda spark, sf_dir: digest(table(spark, sf_dir, "documents"), *[table(spark, sf_dir, t) for t in others])
+
+
 QUERIES = {
-    "op1_substring_dedup": lambda spark, sf_dir: substring_dedup.digest(table(spark, sf_dir, "documents")),
-    "op4_suffix_array": lambda spark, sf_dir: suffix_array.digest(table(spark, sf_dir, "documents")),
+    "op1_substring_dedup": _documents(substring_dedup.digest),
+    "op2_quality_rules": _documents(quality_rules.verdicts),
+    "op3_simhash": _documents(simhash.digest),
+    "op4_suffix_array": _documents(suffix_array.digest),
+    "op5_packing": _documents(packing.digest),
+    "op6_kneser_ney": _documents(kneser_ney.classify, "labels"),
+    "op7_decontaminate": _documents(decontaminate.digest, "benchmark"),
+    "op8_chat": lambda spark, sf_dir: chat.digest(chat.with_probe(table(spark, sf_dir, "conversations"))),
+    "op9_toxicity": _documents(toxicity.digest, "labels"),
+    "op10_pii": _documents(pii.digest),
+}
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": quality_rules.ORACLE,
+    "op8_chat": chat.ORACLE,
 }
-ORACLES: dict[str, str] = {}

@@ -142,7 +142,7 @@ def _rows(batch: pa.RecordBatch, units: Units):
         yield Seeds(values, first, units.window, units.gram), first, piece, ids[a:b], raw, offsets[a:b + 1]
 
 
-def _bounded(batches: Iterator[pa.RecordBatch], limit: int = 8192) -> Iterator[pa.RecordBatch]:
+def _bounded(batches: Iterator[pa.RecordBatch], limit: int = 2048) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, len(batch), limit):
             yield batch.slice(a, limit)
@@ -153,7 +153,7 @@ def seed_filter(docs: DataFrame, units: Units) -> DataFrame:
     part_bits = FINE_BITS - int(math.log2(PARTS))
 
     def send(batches):
-        for batch in _bounded(batches):
+        for batch in _bounded(batches, 4096):
             found = []
             for seeds, _, _, ids, _, _ in _rows(batch, units):
                 row, hashes = seeds.distinct()

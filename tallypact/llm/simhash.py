@@ -51,7 +51,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n], ends[last:], strict=True)), ">u8", n)
     count = np.zeros(BITS, np.int64)
     for a in range(0, n, 1 << 15):
-        count += np.unpackbits(hashes[a:a + (1 << 15)].view(np.uint8)).reshape(-1, BITS).sum(0)
+        count += np.unpackbits(hashes[a:a + (1 << 15)].view(np.uint8)).reshape(-1, BITS).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * count > n).tobytes(), "big")
 
 
@@ -78,7 +78,7 @@ def planes(values: np.ndarray) -> np.ndarray:
     lanes = np.zeros(-(-len(values) // 64) * 64, ">u8")
     lanes[:len(values)] = values
     bits = np.unpackbits(lanes.view(np.uint8)).reshape(-1, BITS)
-    return np.packbits(bits.T, axis=1, bitorder="little").view(np.uint64)
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
 def within(queries: np.ndarray, sliced: np.ndarray, radius: int = RADIUS) -> np.ndarray:
@@ -112,7 +112,7 @@ def local_roots(values: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """For each of some distinct fingerprints the first one of its linked group among them."""
     sliced, n = planes(values), len(values)
     near = np.concatenate([
-        np.unpackbits(within(values[a:a + LANES], sliced, radius).view(np.uint8), axis=1, bitorder="little")[:, :n]
+        np.unpackbits(np.ascontiguousarray(within(values[a:a + LANES], sliced, radius)).view(np.uint8), axis=1, bitorder="little")[:, :n]
         for a in range(0, n, LANES)]).astype(bool)
     label = np.arange(n, dtype=np.int32)
     while True:
