@@ -94,7 +94,7 @@ def render(messages: DataFrame) -> DataFrame:
 
 def read_back(rendered: DataFrame) -> DataFrame:
     """conv_id, turns (role, text), loss_texts, formatted: parsed from the rendered form."""
-    pieces = F.slice(F.split("formatted", r"<\|im_start\|>"), 2, 2147483647)
+    pieces = let(F.split("formatted", r"<\|im_start\|>"), lambda parts: F.slice(parts, 2, F.size(parts)))
 
     def turn(piece):
         cut = F.locate("\n", piece)

@@ -84,7 +84,8 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, with_spans
          keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: n_words, n_hit (words inside a window), items (sorted ids) and spans of the original text.
 
-    Spans are code points, end exclusive, one per window found. ``keep`` names columns that come through.
+    Spans are code points, end exclusive, one per window found. ``keep`` names columns that come through,
+    with two underscores before their names.
     """
     spark = docs.sparkSession
     found = windows(benchmark, window)
@@ -132,10 +133,11 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, with_spans
                                                               ("item_id", pa.string())])))]
                 names = ["doc_id", "n_words", "n_hit", "items", "spans"]
                 yield pa.RecordBatch.from_arrays(
-                    arrays + [part.column(2 + i) for i in range(len(kept))], names + [f.name for f in kept])
+                    arrays + [part.column(2 + i) for i in range(len(kept))], names + [f"__{f.name}" for f in kept])
 
-    schema = SCHEMA + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return (docs.select("doc_id", F.col("text").alias("__scanned"), *[f"`{f.name}`" for f in kept])
+    schema = SCHEMA + "".join(f", `__{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return (docs.select("doc_id", F.col("text").alias("__scanned"),
+                        *[F.col(f"`{f.name}`").alias(f"__{f.name}") for f in kept])
             .mapInArrow(scan, schema))
 
 
