@@ -136,7 +136,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, with_spans
                     arrays + [part.column(2 + i) for i in range(len(kept))], names + [f"__{f.name}" for f in kept])
 
     schema = SCHEMA + "".join(f", `__{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return (docs.select("doc_id", F.col("text").alias("__scanned"),
+    return (docs.select("doc_id", F.col("text").alias("text_"),
                         *[F.col(f"`{f.name}`").alias(f"__{f.name}") for f in kept])
             .mapInArrow(scan, schema))
 

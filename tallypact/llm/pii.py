@@ -219,7 +219,10 @@ def fit(docs: DataFrame, precision: float = PRECISION) -> list[str]:
 
 
 def find(docs: DataFrame, selected: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, base and spans (start, kind number, end): validated ones, and those with the added ones."""
+    """doc_id, base and spans (start, kind number, end): validated ones, and those with the added ones.
+
+    ``keep`` names columns that come through, with two underscores before their names.
+    """
     def both(t):
         def more(b):
             added = F.filter(candidates(t, b), lambda c: ~c["known"] & F.array_join(c["features"], ",").isin(selected))
@@ -230,8 +233,9 @@ def find(docs: DataFrame, selected: list[str], keep: tuple[str, ...] = ()) -> Da
 
         return let(base_spans(t), more)
 
-    return docs.select("doc_id", *[f"`{c}`" for c in keep if c != "doc_id"], let(_text(docs), both).alias("__found")).select(
-        "doc_id", *[f"`{c}`" for c in keep if c != "doc_id"], "__found.base", "__found.spans")
+    kept = [F.col(f"`{c}`").alias(f"__{c}") for c in keep]
+    return docs.select("doc_id", *kept, let(_text(docs), both).alias("found_")).select(
+        "doc_id", *[f"`__{c}`" for c in keep], "found_.base", "found_.spans")
 
 
 def listed(spans: Column) -> Column:
@@ -243,7 +247,7 @@ def listed(spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; n_chars follows where there is one."""
-    marked = find(docs.withColumn("__text", _text(docs)), fit(docs), tuple(docs.columns) + ("__text",))
+    marked = find(docs, fit(docs), tuple(docs.columns))
 
     def cut(spans):
         # Overlapping spans become one, named by the first.
@@ -255,23 +259,28 @@ def redact(docs: DataFrame) -> DataFrame:
                     F.greatest(top["end"], s["end"]).alias("end"))))).otherwise(F.concat(done, F.array(s)))))
         return merged
 
+    text = F.col("__text")
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k, _ in KINDS])
 
     def rewrite(spans):
-        text = F.col("__text")
         ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
         pieces = F.zip_with(ends, spans, lambda a, s: F.concat(
             F.substr(text, a + 1, F.coalesce(s["start"], F.length(text)) - a),
             F.coalesce(F.get(tags, s["kind"]), F.lit(""))))
         return F.array_join(pieces, "")
 
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(let(cut(F.col("spans")), rewrite))
-    out = marked.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        changed = F.size("spans") > 0
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType))
-                             .otherwise(F.col("n_chars")))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+    clean = F.col("redacted")
+    marked = marked.withColumn("redacted", let(cut(F.col("spans")), rewrite))
+    found = F.size("spans") > 0
+    columns = []
+    for field in docs.schema.fields:
+        column = F.col(f"`__{field.name}`")
+        if field.name == "text":
+            column = F.when(found, clean).otherwise(column)
+        elif field.name == "n_chars":
+            column = F.when(found, F.length(clean).cast(field.dataType)).otherwise(column)
+        columns.append(column.alias(field.name))
+    return marked.select(*columns)
 
 
 def _equal(number: int):

@@ -36,11 +36,6 @@ from pyspark.sql import functions as F
 
 from tallypact.llm.common import chunks, utf8
 
-#: Seeds are counted in 2**FINE_BITS slots, PARTS of them at a time, and kept as a bitmap of 2**SLOT_BITS bits. That
-#: bounds what is broadcast (64 MB) and what a merging task holds (16 MB a part), whatever the input is.
-FINE_BITS = 33
-SLOT_BITS = 29
-PARTS = 128
 CHUNK_BYTES = 1 << 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -48,11 +43,25 @@ MIX = np.uint64(0xD6E8FEB86659FD93)
 
 @dataclass(frozen=True)
 class Units:
-    """How texts become units: ``cut`` gives units, first unit of each row, and a way to get a slice."""
+    """How texts become units: ``cut`` gives units, first unit of each row, and a way to get a slice.
+
+    Seeds are counted in ``2**fine_bits`` slots, dealt to ``parts``, and kept as a bitmap of ``2**slot_bits`` bits. That
+    bounds what is broadcast (64 MB) and what a merging task holds (16 MB a part), whatever the input is.
+    """
 
     window: int
     gram: int
     cut: Callable
+    fine_bits: int = 33
+    slot_bits: int = 29
+    parts: int = 128
+
+    @property
+    def part_bits(self) -> int:
+        return self.fine_bits - int(math.log2(self.parts))
+
+    def slots(self, hashes: np.ndarray) -> np.ndarray:
+        return hashes & ((1 << self.fine_bits) - 1)
 
 
 class Seeds:
@@ -125,10 +134,6 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def slots(hashes: np.ndarray) -> np.ndarray:
-    return hashes & ((1 << FINE_BITS) - 1)
-
-
 def _rows(batch: pa.RecordBatch, units: Units):
     """Chunks of a batch: seeds, slice function, ids and text hashes."""
     ids = batch.column(0)
@@ -150,14 +155,14 @@ def _bounded(batches: Iterator[pa.RecordBatch], limit: int = 2048) -> Iterator[p
 
 def seed_filter(docs: DataFrame, units: Units) -> DataFrame:
     """One packed bitmap per part of the slots; bits are set where two documents have a seed's slot."""
-    part_bits = FINE_BITS - int(math.log2(PARTS))
+    part_bits, parts = units.part_bits, units.parts
 
     def send(batches):
         for batch in _bounded(batches, 4096):
             found = []
             for seeds, _, _, ids, _, _ in _rows(batch, units):
                 row, hashes = seeds.distinct()
-                found.append((slots(hashes), ids[row]))
+                found.append((units.slots(hashes), ids[row]))
             slot = np.concatenate([x[0] for x in found] or [np.zeros(0, np.int64)])
             if not len(slot):
                 continue
@@ -167,15 +172,15 @@ def seed_filter(docs: DataFrame, units: Units) -> DataFrame:
             at = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
             twice = doc[at] != doc[np.append(at[1:], len(slot)) - 1]
             slot = slot[at]
-            cut = np.searchsorted(slot, np.arange(PARTS + 1) << part_bits)
-            parts, blobs = [], []
+            cut = np.searchsorted(slot, np.arange(parts + 1) << part_bits)
+            numbers, blobs = [], []
             for p in np.flatnonzero(np.diff(cut)).tolist():
                 a, b = cut[p], cut[p + 1]
                 delta = np.diff(slot[a:b] - (p << part_bits), prepend=0)
-                parts.append(p)
+                numbers.append(p)
                 blobs.append(zstandard.compress(_planes((delta * 2 + twice[a:b]).astype(np.uint32)), 1))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["part", "slots"])
+                [pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], ["part", "slots"])
 
     def merge(batches):
         once, twice = {}, {}
@@ -195,14 +200,14 @@ def seed_filter(docs: DataFrame, units: Units) -> DataFrame:
                 once[part][byte] |= new
         for part, bits in twice.items():
             # The finer slots are folded to the bits of the bitmap.
-            fold = np.unpackbits(bits, bitorder="little").reshape(-1, 1 << FINE_BITS - SLOT_BITS).any(1)
+            fold = np.unpackbits(bits, bitorder="little").reshape(-1, 1 << units.fine_bits - units.slot_bits).any(1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()),
                  pa.array([zstandard.compress(np.packbits(fold, bitorder="little").tobytes(), 1)], pa.binary())],
                 ["part", "bits"])
 
     return (docs.mapInArrow(send, "part int, slots binary")
-            .repartition(PARTS, "part").mapInArrow(merge, "part int, bits binary"))
+            .repartition(parts, "part").mapInArrow(merge, "part int, bits binary"))
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -219,24 +224,25 @@ class Filter:
 
     cache: dict = {}
 
-    def __init__(self, rows, spark):
+    def __init__(self, rows, spark, units: Units):
+        self.units = units
         self.packed = spark.sparkContext.broadcast({r["part"]: bytes(r["bits"]) for r in rows})
         self.key = uuid.uuid4().hex
 
     def bits(self) -> np.ndarray:
         if self.key not in Filter.cache:
             Filter.cache.clear()
-            size = 1 << SLOT_BITS - int(math.log2(PARTS)) - 3
-            bits = np.zeros(size * PARTS, np.uint8)
+            size = (1 << self.units.slot_bits - 3) // self.units.parts
+            bits = np.zeros(size * self.units.parts, np.uint8)
             for part, blob in self.packed.value.items():
                 bits[part * size:(part + 1) * size] = np.frombuffer(zstandard.decompress(blob), np.uint8)
             Filter.cache[self.key] = bits
         return Filter.cache[self.key]
 
 
-def _phrases(seeds: Seeds, bits: np.ndarray):
+def _phrases(seeds: Seeds, bits: np.ndarray, units: Units):
     """Start, number of windows, row and seed hash of each phrase of a chunk."""
-    slot = slots(seeds.hash) >> (FINE_BITS - SLOT_BITS)
+    slot = units.slots(seeds.hash) >> (units.fine_bits - units.slot_bits)
     at = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
     if not len(at):
         return None
@@ -256,13 +262,13 @@ def removed_spans(docs: DataFrame, units: Units, match: Callable, per_shard: int
     """
     spark = docs.sparkSession
     window = units.window
-    bitmap = Filter(seed_filter(docs, units).collect(), spark)
+    bitmap = Filter(seed_filter(docs, units).collect(), spark, units)
 
     def dictionary(batches):
         for batch in _bounded(batches):
             low, high = {}, {}
             for seeds, _, piece, ids, _, _ in _rows(batch, units):
-                found = _phrases(seeds, bitmap.bits())
+                found = _phrases(seeds, bitmap.bits(), units)
                 if found is None:
                     continue
                 start, count, row, hashes = found
@@ -285,7 +291,7 @@ def removed_spans(docs: DataFrame, units: Units, match: Callable, per_shard: int
     def occurrences(batches):
         for batch in _bounded(batches):
             for seeds, first, piece, ids, raw, offsets in _rows(batch, units):
-                found = _phrases(seeds, bitmap.bits())
+                found = _phrases(seeds, bitmap.bits(), units)
                 if found is None:
                     continue
                 start, count, row, hashes = found

@@ -124,22 +124,26 @@ def match_with_automaton(window: int):
     return match
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, text, spans: runs of words (start, length) that a document with a smaller doc_id has too."""
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **sizes) -> DataFrame:
+    """doc_id, text, spans: runs of words (start, length) that a document with a smaller doc_id has too.
+
+    ``sizes``: those of ``repeats.Units``.
+    """
     docs = docs.select("doc_id", "text")
-    units = repeats.Units(window, gram, cut_words)
+    units = repeats.Units(window, gram, cut_words, **sizes)
     spans = repeats.removed_spans(docs, units, match_with_automaton(window), SHARD_BYTES)
     return repeats.with_spans(docs, spans)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **sizes) -> DataFrame:
     """doc_id, n_words, n_removed, kept: the text of the words that stay, joined by one space."""
-    return _cut(repeated_spans(docs, window), "kept string", lambda kept: kept.decode())
+    return _cut(repeated_spans(docs, window, gram, **sizes), "kept string", lambda kept: kept.decode())
 
 
-def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **sizes) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
-    return _cut(repeated_spans(docs, window), "kept_sha256 string", lambda kept: hashlib.sha256(kept).hexdigest())
+    return _cut(repeated_spans(docs, window, gram, **sizes), "kept_sha256 string",
+                lambda kept: hashlib.sha256(kept).hexdigest())
 
 
 def _cut(marked: DataFrame, column: str, finish) -> DataFrame:

@@ -92,21 +92,25 @@ def match_by_rank(window: int):
     return match
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, text, spans: runs of bytes (start, length) that a document with a smaller doc_id has too."""
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **sizes) -> DataFrame:
+    """doc_id, text, spans: runs of bytes (start, length) that a document with a smaller doc_id has too.
+
+    ``sizes``: those of ``repeats.Units``.
+    """
     docs = docs.select("doc_id", "text")
-    units = repeats.Units(window, gram, cut_bytes)
+    units = repeats.Units(window, gram, cut_bytes, **sizes)
     return repeats.with_spans(docs, repeats.removed_spans(docs, units, match_by_rank(window), SHARD_BYTES))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **sizes) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept: the bytes that stay."""
-    return _cut(repeated_spans(docs, window), "kept binary", lambda kept: kept)
+    return _cut(repeated_spans(docs, window, gram, **sizes), "kept binary", lambda kept: kept)
 
 
-def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **sizes) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return _cut(repeated_spans(docs, window), "kept_sha256 string", lambda kept: hashlib.sha256(kept).hexdigest())
+    return _cut(repeated_spans(docs, window, gram, **sizes), "kept_sha256 string",
+                lambda kept: hashlib.sha256(kept).hexdigest())
 
 
 def _cut(marked: DataFrame, column: str, finish) -> DataFrame:
