@@ -26,7 +26,7 @@ from tallypact.llm.common import utf8
 WINDOW = 13
 GRAM = 7
 #: Bytes of corpus text per shard of phrases; a shard is compared and compiled in one task.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Word hashes that a worker remembers between batches.
 REMEMBERED = 400_000
 

@@ -26,7 +26,7 @@ from tallypact.llm.common import utf8
 WINDOW = 50
 GRAM = 20
 #: Bytes of corpus text per shard of the dictionary; a shard's suffixes are sorted in one task.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 
 
 #: A fixed random number for every byte value, so that a rolling hash does not see letters in order.
