@@ -94,7 +94,6 @@ SERVICE_PHRASES = (r"master\s+(?:fleet\s+management\s+)?(?:service|services)\s+a
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august",
           "september", "october", "november", "december"]
 EFFECTIVE_LEAD = r"(?:effective|dated)\s+(?:date\s*[:\-]?\s*|as\s+of\s+)?"
-EFFECTIVE_SCAN_CHARS = 20000
 ENTITY_STOPWORDS = ["llc", "inc", "corp", "corporation", "company", "co", "ltd", "the"]
 REQUIRED_DOC_TYPES = {
     "LEASE_ONLY": ["MLA"],
@@ -164,7 +163,6 @@ FEE_TYPES = ["flat", "per_unit", "per_transaction", "percentage", "cost_plus", "
              "minimum", "conditional", "other"]
 PARTIES = ["vendor", "client", "both", "other"]
 REVIEW_THRESHOLD = 0.80
-TITLE_CHARS = 300
 
 # --- billing ---------------------------------------------------------------------------------
 # (pattern, unit basis, billing class); the first that matches wins
@@ -240,7 +238,6 @@ SCORING_NOISE = ["program", "programs", "fee", "fees", "the", "a", "of", "and"]
 MATCH_KINDS = ["exact", "alias", "normalised", "fuzzy", "unmatched"]
 FUZZY_FLOOR = 0.86
 FUZZY_MARGIN = 0.08
-SLUG_CHARS = 60
 HEADING_PATTERN = r"^([A-Z][A-Z0-9&/\-–()' ,.]{6,80}?PROGRAM)\b"
 ACRONYMS = [("Mvr", "MVR"), ("Dot", "DOT"), ("Ev ", "EV "), ("Sow", "SOW")]
 

@@ -54,7 +54,7 @@ def _date_from(year: Column, month: Column, day: Column) -> Column:
 
 def effective_date(text: Column) -> Column:
     """The agreement's effective date; the wordings are tried in order, not by position."""
-    head = F.substring(F.coalesce(text, F.lit("")), 1, fv.EFFECTIVE_SCAN_CHARS)
+    head = F.coalesce(text, F.lit(""))
     names = F.array(*[F.lit(m) for m in fv.MONTHS])
     either = "|".join(fv.MONTHS)
     day = r"(\d{1,2})(?:st|nd|rd|th)?"

@@ -82,8 +82,6 @@ def titles() -> Column:
                        F.lit("Untitled"))
     subtitle = _by_type(info_type, fv.TITLE_FIELDS, lambda p: filled(p[1]),
                         F.lit(None).cast("string"))
-    title = F.substring(title, 1, fv.TITLE_CHARS)
-    subtitle = F.substring(subtitle, 1, fv.TITLE_CHARS)
     repeated = F.lower(F.trim(subtitle)) == F.lower(F.trim(title))
     return F.struct(title.alias("title"),
                     F.when(~repeated, subtitle).alias("subtitle"))

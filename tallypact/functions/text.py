@@ -28,7 +28,7 @@ def normalise_name(name: Column) -> Column:
 
 def slugify(name: Column) -> Column:
     """A readable id for a catalog entry."""
-    slug = F.substring(F.array_join(_words(name), "-"), 1, fv.SLUG_CHARS)
+    slug = F.array_join(_words(name), "-")
     return F.when(slug == "", "unnamed").otherwise(slug)
 
 

@@ -37,3 +37,23 @@ def with_next(df: DataFrame, key: str, order: list[str], column: str, out: str,
     within = F.lead(column).over(Window.partitionBy(key, "chunk").orderBy(*order))
     return (chunks.withColumn(out, within).join(bridge, [key, "chunk"])
             .withColumn(out, F.coalesce(out, "next_head")).drop("chunk", "next_head"))
+
+
+def with_position(df: DataFrame, key: str, order: list[str], out: str,
+                  size: int = CHUNK) -> DataFrame:
+    """The place of every row within its key, from 1, as ``out``.
+
+    Rows are numbered inside chunks of at most ``size``; only the counts of the chunks are added
+    up per key.
+    """
+    chunks = in_chunks(df, [key, *order], size, "position")
+    counts = chunks.groupBy(key, "chunk").agg(F.count("*").alias("rows"))
+    before = counts.select(key, "chunk", F.coalesce(F.sum("rows").over(
+        Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy(key, "chunk").orderBy(*order))
+    same = F.col("c." + key).eqNullSafe(F.col("b." + key)) & (
+        F.col("c.chunk") == F.col("b.chunk"))
+    return (chunks.withColumn("within", within).alias("c").join(before.alias("b"), same)
+            .select("c.*", (F.col("b.before") + F.col("c.within")).alias(out))
+            .drop("chunk", "within"))

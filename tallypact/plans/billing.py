@@ -138,23 +138,14 @@ def excluded_programs(engagements: DataFrame, programs: DataFrame, lines: DataFr
                     (F.col("total") - F.coalesce("covered", F.lit(0))).alias("excluded")))
 
 
-CONFIG_PART_ITEMS = 5000
+def config_documents(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A billing configuration as a header row per engagement and its priced lines as rows.
 
-
-def config_parts(lines: DataFrame, part_items: int = CONFIG_PART_ITEMS) -> DataFrame:
-    """Nested billing items per engagement in parts of bounded size.
-
-    A part holds about ``part_items`` lines: an engagement with a third of all lines becomes many
-    parts instead of one giant document. Most engagements have one part.
+    Lines stay rows at every size, so an engagement with a third of all lines is no giant document.
     """
     priced = lines.filter(F.col("fee").isNotNull())
-    sizes = priced.groupBy("engagement_id").agg(
-        F.ceil(F.count("*") / F.lit(part_items)).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("term_key"), F.col("parts")).cast("int")
-    return (priced.join(sizes, "engagement_id").withColumn("part", part)
-            .groupBy("engagement_id", "part")
-            .agg(F.array_sort(F.collect_list(F.struct(
-                F.col("term_key"), F.col("program"), F.col("item"), F.col("frequency"),
-                F.col("fee"), F.col("approved")))).alias("pricing_items")))
-
-
+    header = priced.groupBy("engagement_id").agg(
+        F.count("*").alias("items"), F.sum("fee.amount").cast("decimal(18,2)").alias("amount"),
+        F.bool_and("approved").alias("approved"))
+    return header, priced.select("engagement_id", "term_key", "program", "item", "frequency",
+                                 "fee", "approved")

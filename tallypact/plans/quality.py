@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,9 +52,14 @@ def candidate_scores(expected: DataFrame, got: DataFrame, floor: float,
     rare = (ranked.filter(allowed > 0)
             .select(*by, "chooser", F.explode(F.slice(
                 "found", F.lit(1), allowed.cast("int")).word).alias("word")))
-    pairs = rare.join(lookup, [*by, "word"]).select(*by, "chooser", "candidate").distinct()
+    pairs = rare.join(lookup, [*by, "word"]).select(*by, "chooser", "candidate")
+    # Equal keys match whether they have significant words or not.
+    equal = want.join(have, (want["exact_key"] == have["got_key"]) & functools.reduce(
+        lambda a, b: a & b, [want[c] == have[c] for c in by])).select(
+            *[want[c] for c in by], "chooser", "candidate")
+    pairs = pairs.unionByName(equal).distinct()
     shared = F.size(F.array_intersect("words", "got_words"))
-    score = shared / F.col("wanted")
+    score = F.try_divide(shared, F.col("wanted"))
     return (pairs.join(want, [*by, "chooser"]).join(have, [*by, "candidate"])
             .withColumn("same", F.col("exact_key") == F.col("got_key"))
             .withColumn("score", F.when(F.col("same"), EXACT).otherwise(score))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallypact import fixed_values as fv
@@ -13,20 +13,24 @@ from tallypact.operators.records import last_by
 READING = ["document_id", "version"]
 
 
+def has_money() -> Column:
+    """Whether a record states an amount, a rate, a minimum or tiers."""
+    return (F.col("amount").isNotNull() | F.col("rate_pct").isNotNull()
+            | F.col("minimum").isNotNull() | (F.coalesce(F.size("tier_bands"), F.lit(0)) > 0))
+
+
 def priced_lines(terms: DataFrame) -> DataFrame:
     """Live priced lines as (reading, program key, display name, text of the line).
 
     Rows without money are left out. ``terms`` carries program, item, amount, rate_pct, fee_type,
     unit_basis, minimum and tier_bands.
     """
-    has_money = (F.col("amount").isNotNull() | F.col("rate_pct").isNotNull()
-                 | F.col("minimum").isNotNull() | (F.coalesce(F.size("tier_bands"), F.lit(0)) > 0))
     line = bill_fn.fee_line(F.col("amount"), F.col("rate_pct"), F.col("fee_type"),
                             F.col("unit_basis"), F.col("minimum"), F.col("tier_bands"))
     key = normalise_name(F.col("program"))
     label = F.coalesce(F.when(F.coalesce("item", F.lit("")) != "",
                               normalise_name(F.col("item"))), F.lit("program"))
-    return (terms.filter(~F.col("superseded") & has_money)
+    return (terms.filter(~F.col("superseded") & has_money())
             .select(*READING, F.when(key != "", key).otherwise(F.lower("program"))
                     .alias("program_key"), "program",
                     F.concat(label, F.lit(": "), line).alias("line")))

@@ -8,24 +8,37 @@ from pyspark.sql import functions as F
 from tallypact import fixed_values as fv
 from tallypact.functions.binding import let
 
-# A JSON string, and an object nested at most four deep, for payloads that do not parse.
-_STRING = r'"(?:[^"\\]++|\\.)*+"'
-_OBJECT = r"\{(?:[^{}\"]++|" + _STRING + r")*+\}"
-for _depth in range(3):
-    _OBJECT = r"\{(?:[^{}\"]++|" + _STRING + "|" + _OBJECT + r")*+\}"
-_MARK = "\u0001"
+# What a payload that does not parse is read as: strings, braces, and runs of anything else. A
+# quote that opens no whole string is a piece of its own.
+_PIECES = r'("(?:[^"\\]++|\\.)*+"|[{}]|[^{}"]++|")'
 
 
 def salvage(payload: Column) -> Column:
-    """The complete top-level objects of a cut-off array, as texts.
+    """The complete top-level objects of a cut-off array, as texts, however deep they are nested.
 
-    Every complete object is replaced by a mark. The marks before the first brace that is left are
-    the top-level objects; marks after it lie inside the half-written tail.
+    Braces outside strings are counted. Whatever follows a half-written string or object is left.
     """
-    marked = F.regexp_replace(payload, _OBJECT, _MARK)
-    before_tail = F.substring_index(marked, "{", 1)
-    complete = F.length(before_tail) - F.length(F.replace(before_tail, F.lit(_MARK), F.lit("")))
-    return F.slice(F.regexp_extract_all(payload, F.lit("(" + _OBJECT + ")")), F.lit(1), complete)
+    pieces = F.regexp_extract_all(payload, F.lit(_PIECES))
+    spans = "array<struct<start:int,size:int>>"
+    start = F.struct(F.lit(0).alias("depth"), F.lit(1).alias("at"), F.lit(0).alias("opened"),
+                     F.lit(False).alias("broken"), F.array().cast(spans).alias("found"))
+
+    def step(state, piece):
+        opens = (piece == "{") & ~state.broken
+        closes = (piece == "}") & ~state.broken & (state.depth > 0)
+        whole = closes & (state.depth == 1)
+        span = F.struct(state.opened.alias("start"), (state.at - state.opened + 1).alias("size"))
+        return F.struct(
+            F.when(opens, state.depth + 1).when(closes, state.depth - 1).otherwise(state.depth)
+            .alias("depth"),
+            (state.at + F.length(piece)).alias("at"),
+            F.when(opens & (state.depth == 0), state.at).otherwise(state.opened).alias("opened"),
+            (state.broken | (piece == '"')).alias("broken"),
+            F.when(whole, F.concat(state.found, F.array(span))).otherwise(state.found)
+            .alias("found"))
+
+    found = F.aggregate(pieces, start, step, lambda state: state.found)
+    return F.transform(found, lambda s: F.substr(payload, s.start, s.size))
 
 
 def _kind(value: Column) -> Column:

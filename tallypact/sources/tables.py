@@ -105,10 +105,11 @@ def money(col: Column) -> Column:
     return col.cast("decimal(18,2)")
 
 
-def write_billing_configs(parts: DataFrame, path: str) -> None:
-    """Billing items as nested JSON, partitioned so one engagement is read without the others."""
+def write_billing_configs(header: DataFrame, lines: DataFrame, path: str) -> None:
+    """Headers and lines as JSON, partitioned so one engagement is read without the others."""
     bucket = F.pmod(F.xxhash64("engagement_id"), F.lit(64)).cast("int")
-    parts.withColumn("bucket", bucket).write.partitionBy("bucket").json(path)
+    for name, rows in (("headers", header), ("lines", lines)):
+        rows.withColumn("bucket", bucket).write.partitionBy("bucket").json(f"{path}/{name}")
 
 
 def write_extraction(records: DataFrame, run: DataFrame, path: str) -> None:

@@ -14,26 +14,9 @@ def as_of() -> Column:
     return F.lit(AS_OF).cast("date")
 
 
-# Key that spreads a table which arrives in too few splits to occupy the cores.
-SPREAD_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "documents": "doc_id"}
-_few_splits: dict[tuple, bool] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One supplied table.
-
-    A small file has fewer splits than there are cores, so everything up to the first shuffle would
-    run in one task; such a table is spread over the cores by its key. A large table has more
-    splits than cores and is read as it is.
-    """
-    path = f"{sf_dir}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if name not in SPREAD_KEYS:
-        return df
-    cores = spark.sparkContext.defaultParallelism
-    if (path, cores) not in _few_splits:
-        _few_splits[path, cores] = df.rdd.getNumPartitions() < cores
-    return df.repartition(cores, SPREAD_KEYS[name]) if _few_splits[path, cores] else df
+    """One supplied table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def by_value(col: Column, mapping: dict, default=None) -> Column:

@@ -9,7 +9,7 @@ from tallypact import views
 from tallypact.functions import terms as term_fn
 from tallypact.functions.text import normalise_name
 from tallypact.operators.records import band
-from tallypact.plans import catalog, changes, terms
+from tallypact.plans import catalog, changes, review, terms
 from tallypact.views import AS_OF
 from tallypact.workload import oracle_views as ov
 from tallypact.workload.money import ratio_sql
@@ -42,11 +42,11 @@ def live_terms(spark, d):
 
 @query("C5_priced_rows", uses="records", sql="""
 select ordinal from records where info_type = 'pricing_item' and (amount is not null
- or (rate_pct is not null and rate_pct > 4))""")
+ or rate_pct is not null)""")
 def priced_rows(spark, d):
-    priced = F.col("amount").isNotNull() | (F.col("rate_pct") > 4)
-    return views.records(spark, d).filter(
-        (F.col("info_type") == "pricing_item") & priced).select("ordinal")
+    rows = views.records(spark, d).withColumn("minimum", F.lit(None).cast("decimal(18,2)"))
+    return rows.filter((F.col("info_type") == "pricing_item") & review.has_money()).select(
+        "ordinal")
 
 
 COUNTS_SQL = """select document_id, version,
@@ -204,9 +204,13 @@ def coverage(spark, d):
 @query("D4_program_coverage", uses="pricing_terms coverage programs", sql="""
 select p.name || ' Program' as program_id, count(distinct engagement_id) as engagements,
   count(distinct engagement_id) > 0 as availed from programs p left join coverage c
-  on c.program_id = p.name || ' Program' and c.engagement_id % 2 = 0 group by all""")
+  on p.name || ' Program' = case when c.engagement_id % 2 = 0 then c.program_id
+   else c.program_id || ' (other)' end group by all""")
 def program_coverage(spark, d):
-    uses = (coverage_rows(spark, d).filter("engagement_id % 2 = 0").groupBy("program_id")
+    # Odd engagements use programs that the catalog does not have.
+    used = F.when(F.col("engagement_id") % 2 == 0, F.col("program_id")).otherwise(
+        F.concat("program_id", F.lit(" (other)")))
+    uses = (coverage_rows(spark, d).groupBy(used.alias("program_id"))
             .agg(F.count_distinct("engagement_id").alias("engagements")))
     return (coverage_programs(spark, d).select("program_id")
             .join(uses, "program_id", "left").na.fill(0, ["engagements"])
@@ -412,10 +416,11 @@ def term_materialisation(spark, d):
 
 
 MERGE_SQL = """with o as (select engagement_id, document_id, version, term_key, cast(amount as
-   varchar) as body, approved, superseded from pricing_terms where l_partkey % 10 <> 0),
- n as (select engagement_id, document_id, version, term_key, cast(case when l_partkey % 10 = 2
+   varchar) as body, approved, superseded from pricing_terms),
+ n as (select engagement_id, document_id, version, case when l_partkey % 10 < 2
+   then term_key || '-new' else term_key end as term_key, cast(case when l_partkey % 10 = 2
    then amount + 1 else amount end as varchar) as body, confidence <= 0.8 as needs_review
-   from pricing_terms where l_partkey % 10 <> 1),
+   from pricing_terms),
  j as (select coalesce(o.term_key, n.term_key) as record_id, o.term_key is not null as was,
    n.term_key is not null as found, o.approved, o.superseded, o.body = n.body as same,
    n.needs_review from o full join n on o.term_key = n.term_key),
@@ -452,14 +457,17 @@ def existing_fresh_join(spark, d):
 def readings_before_after(spark, d):
     rows = views.pricing_terms(spark, d).withColumn("record_id", F.col("term_key"))
     body = F.col("amount").cast("string")
-    existing = rows.filter("l_partkey % 10 <> 0").select(
+    existing = rows.select(
         *terms.DOCUMENT, "record_id", body.alias("body_hash"), "approved",
         F.lit(False).alias("corrected"), "superseded", F.lit("kept").alias("notes"),
         F.lit(AS_OF).alias("created_at"))
     moved = F.when(F.col("l_partkey") % 10 == 2, (F.col("amount") + 1).cast("string")
                    ).otherwise(body)
-    fresh = rows.filter("l_partkey % 10 <> 1").select(
-        *terms.DOCUMENT, "record_id", moved.alias("body_hash"),
+    # A fifth of the terms is read again as other terms.
+    renamed = F.when(F.col("l_partkey") % 10 < 2, F.concat("record_id", F.lit("-new"))).otherwise(
+        F.col("record_id"))
+    fresh = rows.select(
+        *terms.DOCUMENT, renamed.alias("record_id"), moved.alias("body_hash"),
         (F.col("confidence") <= 0.8).alias("needs_review"), F.lit("new").alias("notes"),
         F.lit("2000-07-01").alias("created_at"))
     return existing, fresh

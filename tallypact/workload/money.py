@@ -44,11 +44,13 @@ def cycle_in_force_join(spark, sf):
 
 @query("D2_customer_names", uses="customers engagements", sql="""
 select engagement_id, coalesce(legal_name, client_name) as customer_name from engagements e
-left join (select * from customers where customer_id % 3 <> 0) c
-on e.customer_id = c.customer_id""")
+left join (select case when customer_id % 3 = 0 then -customer_id else customer_id end as id,
+  legal_name from customers) c on e.customer_id = c.id""")
 def customer_names(spark, sf):
-    known = views.customers(spark, sf).filter("customer_id % 3 <> 0").select(
-        "customer_id", "legal_name")
+    # A third of the customers are on file under another number.
+    number = F.when(F.col("customer_id") % 3 == 0, -F.col("customer_id")).otherwise(
+        F.col("customer_id"))
+    known = views.customers(spark, sf).select(number.alias("customer_id"), "legal_name")
     return (views.engagements(spark, sf).join(known, "customer_id", "left")
             .select("engagement_id",
                     F.coalesce("legal_name", "client_name").alias("customer_name")))
@@ -56,11 +58,15 @@ def customer_names(spark, sf):
 
 @query("D3_engagement_payments", uses=SCHEDULE, sql=f"""
 select e.engagement_id, s.seq, strftime(s.due_date, '%Y-%m-%d') as due_date, {d('amount')}
-from engagements e left join (select * from schedule where engagement_id % 4 <> 0) s
-on e.engagement_id = s.engagement_id""")
+from engagements e left join schedule s
+on e.engagement_id = case when s.engagement_id % 4 = 0 then -s.engagement_id
+  else s.engagement_id end""")
 def engagement_payments(spark, sf):
-    rows = fx.schedule(spark, sf).filter("engagement_id % 4 <> 0").select(
-        "engagement_id", "seq", F.col("due_date").cast("string"),
+    # A quarter of the schedules belong to engagements that are not there.
+    owner = F.when(F.col("engagement_id") % 4 == 0, -F.col("engagement_id")).otherwise(
+        F.col("engagement_id"))
+    rows = fx.schedule(spark, sf).select(
+        owner.alias("engagement_id"), "seq", F.col("due_date").cast("string"),
         F.col("amount").cast("double"))
     return views.engagements(spark, sf).select("engagement_id").join(
         rows, "engagement_id", "left")
@@ -68,19 +74,21 @@ def engagement_payments(spark, sf):
 
 SQL_BAND = """case when fleet_size between 1 and lo then a1 when fleet_size between lo + 1 and
   lo * 3 then a2 when fleet_size > lo * 3 then a3 end"""
-ov.VIEWS["banded"] = """select engagement_id as eid, cast(1 + l_suppkey % 20 as int) as lo,
+ov.VIEWS["banded"] = """select engagement_id as eid, case when l_suppkey % 5 = 0 then
+  cast(1 + l_suppkey % 20 as int) end as lo,
   amount as a1, cast(amount / 2 as decimal(18,2)) as a2, rate_pct as a3, term_key
-  from pricing_terms where l_suppkey % 5 = 0"""
+  from pricing_terms"""
 
 
 def banded_terms(spark, sf):
-    """Every fifth supplier prices by fleet band."""
-    terms = views.pricing_terms(spark, sf).filter("l_suppkey % 5 = 0")
+    """All terms; every fifth supplier prices by fleet band."""
+    terms = views.pricing_terms(spark, sf)
     low = (1 + F.col("l_suppkey") % 20).cast("int")
     half = (F.col("amount") / 2).cast("decimal(18,2)")
-    return terms.withColumn("tier_bands", F.array(
+    return terms.withColumn("tier_bands", F.when(F.col("l_suppkey") % 5 == 0, F.array(
         band(F.lit(1), low, F.col("amount")), band(low + 1, low * 3, half),
-        band(low * 3 + 1, F.lit(None), F.col("rate_pct"))).cast(TIERS))
+        band(low * 3 + 1, F.lit(None), F.col("rate_pct"))).cast(TIERS)).otherwise(
+            F.array().cast(TIERS)))
 
 
 @query("D8_tier_band_match", uses=f"{DUES} banded", sql=f"""

@@ -9,6 +9,7 @@ from tallypact import fixed_values as fv
 from tallypact import views
 from tallypact.functions import fleet as fleet_fn
 from tallypact.functions import lifecycle as lc
+from tallypact.operators.ordered import with_position
 from tallypact.operators.records import dimension, last_by
 from tallypact.plans import fleet, lifecycle, migrations, people
 from tallypact.workload import oracle_views as ov
@@ -63,28 +64,27 @@ def waiting_time(spark, d):
 
 
 @query("G6_ordered_lists", uses="audit_events submissions vehicles", sql="""
-select 'audit' as list, cast(event_id as varchar) as id, row_number() over (
-  order by ts desc, event_id) as position from audit_events qualify position <= 100
-union all select * from (select 'cycles' as list, cast(submission_id as varchar) as id,
-  row_number() over (order by cycle, created_at, submission_id) as position from submissions
-  qualify position <= 100)
-union all select * from (select 'vehicles' as list, vehicle_id as id, row_number() over (
-  order by vehicle_id) as position from vehicles qualify position <= 100)""")
+select 'audit' as list, cast(submission_id as varchar) as owner, cast(event_id as varchar) as id,
+  row_number() over (partition by submission_id order by ts desc, event_id) as position
+from audit_events
+union all select 'cycles', cast(engagement_id as varchar), cast(submission_id as varchar),
+  row_number() over (partition by engagement_id order by cycle, created_at, submission_id)
+from submissions
+union all select 'vehicles', cast(engagement_id as varchar), vehicle_id,
+  row_number() over (partition by engagement_id order by vehicle_id) from vehicles""")
 def ordered_lists(spark, d):
-    """The first page of each ordered list."""
-    def first_page(df, name, key, sort):
-        top = df.orderBy(*sort).limit(100)
-        place = F.row_number().over(Window.orderBy(*sort))
-        return top.select(F.lit(name).alias("list"), F.col(key).cast("string").alias("id"),
-                          place.alias("position"))
-
-    return (first_page(views.audit_events(spark, d), "audit", "event_id",
-                       [F.col("ts").desc(), F.col("event_id")])
-            .unionByName(first_page(views.submissions(spark, d), "cycles", "submission_id",
-                                    [F.col("cycle"), F.col("created_at"),
-                                     F.col("submission_id")]))
-            .unionByName(first_page(views.vehicles(spark, d), "vehicles", "vehicle_id",
-                                    [F.col("vehicle_id")])))
+    """Every row of each list with its place in the list of its owner."""
+    def listed(df, name, owner, key, order):
+        return with_position(df, owner, order, "position").select(
+            F.lit(name).alias("list"), F.col(owner).cast("string").alias("owner"),
+            F.col(key).cast("string").alias("id"), "position")
+
+    events = views.audit_events(spark, d).withColumn("back", -F.unix_micros("ts"))
+    return (listed(events, "audit", "submission_id", "event_id", ["back", "event_id"])
+            .unionByName(listed(views.submissions(spark, d), "cycles", "engagement_id",
+                                "submission_id", ["cycle", "created_at", "submission_id"]))
+            .unionByName(listed(views.vehicles(spark, d), "vehicles", "engagement_id",
+                                "vehicle_id", ["vehicle_id"])))
 
 
 ov.VIEWS["transitions"] = "select * from (values " + ", ".join(

@@ -65,9 +65,9 @@ SQL_NORM = """array_to_string(list_transform(list_filter(
     '[^a-z0-9 ]+', ' ', 'g')), ' +'), lambda w: w <> '' and w not in ({stop})),
   lambda w: case when length(w) > 4 and w like '%s' and w not like '%ss'
     then left(w, length(w) - 1) else w end), ' ')"""
-SQL_SLUG = """coalesce(nullif(left(array_to_string(list_filter(
+SQL_SLUG = """coalesce(nullif(array_to_string(list_filter(
   regexp_split_to_array(trim(regexp_replace(regexp_replace(lower({x}), '\\([^)]*\\)', ' ', 'g'),
-    '[^a-z0-9 ]+', ' ', 'g')), ' +'), lambda w: w <> '' and w not in ({stop})), '-'), 60), ''),
+    '[^a-z0-9 ]+', ' ', 'g')), ' +'), lambda w: w <> '' and w not in ({stop})), '-'), ''),
   'unnamed')"""
 
 
@@ -146,16 +146,16 @@ def body_hash(spark, d):
 
 
 @query("B9_titles", uses="records", sql="""
-with t as (select ordinal, left(coalesce(nullif(case info_type
+with t as (select ordinal, coalesce(nullif(case info_type
    when 'pricing_item' then item when 'sla_item' then category
    when 'reporting_requirement' then report_name when 'definition' then term
    when 'online_tool' then tool_name when 'responsibility' then task when 'signature' then name
    when 'information_section' then topic else item end, ''),
-   case when info_type = 'pricing_item' then nullif(program, '') end, info_type), 300) as title,
-  left(nullif(case info_type when 'pricing_item' then program
+   case when info_type = 'pricing_item' then nullif(program, '') end, info_type) as title,
+  nullif(case info_type when 'pricing_item' then program
    when 'sla_item' then contract_sub_section when 'reporting_requirement' then frequency
    when 'online_tool' then platform when 'responsibility' then responsible_party
-   when 'signature' then company end, ''), 300) as sub from records)
+   when 'signature' then company end, '') as sub from records)
 select ordinal, title, case when lower(trim(sub)) <> lower(trim(title)) then sub end as subtitle
 from t""")
 def titles(spark, d):
@@ -236,7 +236,7 @@ M = "|".join(fv.MONTHS)
 
 def _sql_date(pattern, y, m, dd, named=True):
     def x(group):
-        return f"regexp_extract(left(full_text, 20000), '{pattern}', {group}, 'i')"
+        return f"regexp_extract(full_text, '{pattern}', {group}, 'i')"
 
     month = (f"cast(list_position([{ov.quoted(fv.MONTHS)}], lower({x(m)})) as varchar)"
              if named else x(m))
@@ -619,15 +619,17 @@ ov.VIEWS["scoped"] = """select engagement_id, case when l and s then 'LEASE_AND_
   select engagement_id, coalesce(bool_or(doc_type = 'MLA'), false) as l,
    coalesce(bool_or(doc_type = 'MSA'), false) as s,
    list(distinct doc_type) filter (where doc_type <> 'UNKNOWN') as present
-  from typed where created_ord % 3 <> 0 group by engagement_id)"""
+  from (select * replace (case when created_ord % 3 = 0 then -engagement_id else engagement_id
+   end as engagement_id) from typed) group by engagement_id)"""
 
 
 def scopes(spark, d):
-    """Scope and types present per engagement, over two thirds of the agreements."""
+    """Scope and types present per engagement; a third of the agreements belongs to others."""
     kind = documents.classify_doc_type(F.col("full_text")).doc_type
     return rec.scope_by_engagement(
-        views.agreements(spark, d).filter("created_ord % 3 <> 0")
-        .select("engagement_id", kind.alias("doc_type")))
+        views.agreements(spark, d).select(
+            F.when(F.col("created_ord") % 3 == 0, -F.col("engagement_id")).otherwise(
+                F.col("engagement_id")).alias("engagement_id"), kind.alias("doc_type")))
 
 
 @query("B37_missing_types", uses="agreements typed scoped", sql=f"""

@@ -165,14 +165,18 @@ select engagement_id, count(*) as items, cast(sum(billed) as double) as amount
 from ({SQL_LINES}) where billed is not null group by all""")
 def write_billing_configs(spark, d):
     path = durable_dir(spark, "billing-configs")
-    parts = billing.config_parts(billed(spark, d))
-    tables.write_billing_configs(parts, path)
-    schema = parts.schema.add("bucket", IntegerType())
-    return (spark.read.schema(schema).json(path)
-            .select("engagement_id", F.explode("pricing_items").alias("i"))
-            .groupBy("engagement_id")
-            .agg(F.count("*").alias("items"),
-                 F.sum("i.fee.amount").cast("double").alias("amount")))
+    header, lines = billing.config_documents(billed(spark, d))
+    tables.write_billing_configs(header, lines, path)
+
+    def stored(name, df):
+        return spark.read.schema(df.schema.add("bucket", IntegerType())).json(f"{path}/{name}")
+
+    counted = stored("lines", lines).groupBy("engagement_id").agg(
+        F.count("*").alias("n"), F.sum("fee.amount").cast("double").alias("billed"))
+    # Headers say what the lines add up to.
+    return (stored("headers", header).join(counted, "engagement_id")
+            .filter("items = n and abs(amount - billed) < 0.005")
+            .select("engagement_id", "items", F.col("amount").cast("double")))
 
 
 @query("A8_write_extraction", uses="records stored_terms calls", sql="""

@@ -329,3 +329,44 @@ def test_payload_salvage(spark):
     assert counts == {1: 2, 2: 1, 4: 1}
     assert sorted(r.reason for r in refused.collect()) == [
         "expected an object", "no records in payload", "term is required", "unknown info_type"]
+
+
+def test_payload_salvage_of_deep_objects(spark):
+    deep = '{"info_type":"definition","term":"a","definition":"d","x":{"a":{"b":{"c":{"d":{"e":1}}}}}}'
+    good = '{"info_type":"definition","term":"a","definition":"d"}'
+    frame = spark.createDataFrame([(1, f"[{good},{deep},{good},{good},"),
+                                   (2, f'[{good},{{"term":"half }}')], "document_id int, payload string")
+    ok, _ = payloads.ingest_records(frame)
+    assert {r.document_id: r["count"] for r in ok.groupBy("document_id").count().collect()} == {1: 4, 2: 1}
+
+
+def test_effective_date_behind_long_text(spark):
+    from tallypact.functions.documents import effective_date
+
+    text = "words " * 5000 + "This agreement is effective as of January 5, 2021."
+    got = spark.createDataFrame([(text,)], "t string").select(effective_date(F.col("t"))).first()[0]
+    assert str(got) == "2021-01-05"
+
+
+def test_long_names_stay_apart(spark):
+    from tallypact.functions.text import slugify
+
+    rows = [("word " * 30 + "one",), ("word " * 30 + "two",)]
+    assert spark.createDataFrame(rows, "n string").select(slugify(F.col("n"))).distinct().count() == 2
+
+
+def test_equal_keys_match_without_significant_words(spark):
+    from tallypact.plans import quality
+
+    schema = "run_id int, info_type string, record_no string, program string, amount double"
+    want = spark.createDataFrame([(1, "pricing_item", "a", "Program Fee", 1.0)], schema)
+    found = quality.match_records(quality.keyed(want, ["program"]), quality.keyed(want, ["program"]))
+    assert [(r.chooser, r.candidate) for r in found.collect()] == [("a", "a")]
+
+
+def test_positions_cross_chunks(spark):
+    from tallypact.operators.ordered import with_position
+
+    rows = [(k, (i * 7) % 50) for k in (1, 2, None) for i in range(50)]
+    out = with_position(spark.createDataFrame(rows, "k int, v int"), "k", ["v"], "p", size=4)
+    assert out.count() == 150 and out.filter("p <> v + 1").count() == 0
