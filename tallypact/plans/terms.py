@@ -99,20 +99,18 @@ def merge_terms(existing: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 # --- duplicate readings ----------------------------------------------------------------------
-SCALARS = ["program", "item", "sub_category", "frequency", "amount", "calculation", "included",
-           "rate_pct", "notes"]
-
-
 def fold_readings(records: DataFrame, list_fields: list[str],
                   info_types: list[str] | None = None) -> DataFrame:
     """One reading per identity: the richer reading wins, gaps are filled, lists are united.
 
-    Readings of one identity rank by filled fields, then by ``ordinal``; each field takes the
-    first filled value in that order. All parts are aggregates that combine before the shuffle.
+    Readings of one identity rank by filled fields, then by ``ordinal``; each field of ``BODY`` that
+    the records have takes the first filled value in that order. All parts are aggregates that
+    combine before the shuffle.
     """
+    scalars = [c for c in BODY if c in records.columns and c != "info_type"]
     keys = DOCUMENT + ["record_id"]
     rows = (records.withColumn("record_id", fn.record_id(info_types))
-            .withColumn("filled", fn.completeness(SCALARS) + sum(
+            .withColumn("filled", fn.completeness(scalars) + sum(
                 F.when(F.size(c) > 0, 1).otherwise(0) for c in list_fields)))
     # Ordinals ascend, so the best rank is the smallest (-filled, ordinal).
     rank = F.struct((-F.col("filled")).alias("f"), F.col("ordinal"))
@@ -125,7 +123,7 @@ def fold_readings(records: DataFrame, list_fields: list[str],
         return F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
 
     folded = rows.groupBy(*keys).agg(
-        *[first_filled(c) for c in SCALARS + ["info_type"]], *[united(c) for c in list_fields],
+        *[first_filled(c) for c in [*scalars, "info_type"]], *[united(c) for c in list_fields],
         F.count("*").alias("readings"), F.min("ordinal").alias("ordinal"),
         F.min_by(F.struct(*[F.coalesce(F.size(c), F.lit(0)).alias(c) for c in list_fields]),
                  rank).alias("had"))

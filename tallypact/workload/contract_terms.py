@@ -473,65 +473,83 @@ def readings_before_after(spark, d):
     return existing, fresh
 
 
-ov.VIEWS["readings"] = f"""select engagement_id, document_id, version, 'pricing_item' as info_type,
-  program, case when not (l_partkey % 9 = 0 and w = 3) then item end as item,
-  cast(null as varchar) as sub_category, frequency,
-  case when not (w = 3 and l_suppkey % 7 = 0) then amount end as amount,
-  case when w = 2 then 'per schedule' end as calculation, false as included,
-  cast(null as decimal(18,2)) as rate_pct, case when w = 1 then 'first' end as notes,
-  case w when 1 then ['1-100:' || amount] when 2 then ['101-:' || rate_pct] else [] end as bands,
-  concat(term_key, '-', w) as ordinal
-  from pricing_terms, (select unnest([1, 2, 3]) as w)"""
-ov.VIEWS["identified"] = f"""select *, {ov.SQL_PRICING_ID} as record_id, {ov.SQL_LINE_KEY} as line_key,
+FOLDED = [c for c in terms.BODY if c != "info_type"]
+# What a window does not see of a term: the field, and when it is missing.
+UNSEEN = {"item": "w = 3 and info_type = 'pricing_item' and partkey % 9 = 0",
+          "amount": "w = 3 and suppkey % 7 = 0", "definition": "w = 1", "platform": "w = 2",
+          "description": "w = 3", "contract_sub_section": "w <> 2", "frequency": "w = 2 and amount is null",
+          "responsible_party": "w = 1", "company": "w = 3", "notes": "w <> 1"}
+ov.VIEWS["readings"] = """with r as (select records.* exclude (calculation, quote, ordinal), w,
+  cast(split_part(ordinal, '-', 3) as int) as partkey,
+  cast(split_part(ordinal, '-', 4) as int) as suppkey,
+  case when w = 2 and info_type = 'pricing_item' then 'per schedule' end as calculation,
+  case when info_type = 'pricing_item' then case w when 1 then ['1-100:' || coalesce(cast(
+   amount as varchar), '')] when 2 then ['101-:' || rate_pct] else [] end else [] end as bands,
+  case when quote is null then [] else [quote, quote || ' ' || w] end as quotes,
+  concat(ordinal, '-', w) as ordinal
+  from records, (select unnest([1, 2, 3]) as w))
+ select * replace (""" + ", ".join(
+    f"case when not ({when}) then {c} end as {c}" for c, when in UNSEEN.items()) + ") from r"
+ov.VIEWS["identified"] = f"""select *, {ov.SQL_RECORD_ID} as record_id, {ov.SQL_LINE_KEY} as line_key,
   {" + ".join(f"case when coalesce(cast({c} as varchar), '') <> '' then 1 else 0 end"
-              for c in terms.SCALARS)} + case when len(bands) > 0 then 1 else 0 end as filled
-  from readings"""
+              for c in FOLDED)} + case when len(bands) > 0 then 1 else 0 end
+  + case when len(quotes) > 0 then 1 else 0 end as filled from readings"""
 ov.VIEWS["folded"] = """select engagement_id, document_id, version, record_id, """ + ", ".join(
     f"first({c} order by filled desc, ordinal) filter (where coalesce(cast({c} as varchar), '') "
-    f"<> '') as {c}" for c in terms.SCALARS) + """, count(*) as readings, min(line_key) as line_key,
+    f"<> '') as {c}" for c in FOLDED) + """, min(info_type) as info_type,
+  count(*) as readings, min(line_key) as line_key,
   len(list_distinct(flatten(list(bands)))) as bands,
+  len(list_distinct(flatten(list(quotes)))) as quotes,
   len(list_distinct(flatten(list(bands)))) > first(len(bands) order by filled desc, ordinal)
+   or len(list_distinct(flatten(list(quotes)))) > first(len(quotes) order by filled desc, ordinal)
    as gained from identified group by engagement_id, document_id, version, record_id"""
-ov.VIEWS["survivors"] = """select f.*, item is null and exists (select 1 from folded p
-   where p.document_id = f.document_id and p.version = f.version and p.program = f.program
-   and p.item is not null) as bare from folded f"""
-FOLD = "pricing_terms readings identified folded survivors"
+ov.VIEWS["survivors"] = """select f.*, f.info_type = 'pricing_item' and coalesce(f.item, '') = ''
+   and p.program is not null as bare from folded f left join (select distinct document_id, version,
+   program from folded where info_type = 'pricing_item' and coalesce(item, '') <> '') p
+   on p.document_id = f.document_id and p.version = f.version and p.program = f.program"""
+FOLD = "records readings identified folded survivors"
+
+
+LISTS = ["tier_bands", "citations"]
 
 
 def duplicate_readings(spark, d):
-    """Every term read in three windows; the windows see different parts of it."""
-    rows = views.pricing_terms(spark, d).withColumn(
-        "w", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
-    w = F.col("w")
+    """Every record of all nine types read in three windows that see different parts of it."""
+    key = F.split("ordinal", "-")
+    rows = (views.records(spark, d)
+            .withColumn("partkey", key[2].cast("int")).withColumn("suppkey", key[3].cast("int"))
+            .withColumn("w", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))))
+    w, priced = F.col("w"), F.col("info_type") == "pricing_item"
     none = F.array().cast("array<struct<min_units:int,max_units:int,amount:decimal(18,2)>>")
-    return rows.select(
-        *terms.DOCUMENT, F.lit("pricing_item").alias("info_type"), "program",
-        F.when(~((F.col("l_partkey") % 9 == 0) & (w == 3)), F.col("item")).alias("item"),
-        F.lit(None).cast("string").alias("sub_category"), "frequency",
-        F.when(~((w == 3) & (F.col("l_suppkey") % 7 == 0)), F.col("amount")).alias("amount"),
-        F.when(w == 2, "per schedule").alias("calculation"), F.lit(False).alias("included"),
-        F.lit(None).cast("decimal(18,2)").alias("rate_pct"), F.when(w == 1, "first")
-        .alias("notes"),
-        F.when(w == 1, F.array(band(F.lit(1), F.lit(100), F.col("amount"))))
-        .when(w == 2, F.array(band(F.lit(101), F.lit(None), F.col("rate_pct"))))
-        .otherwise(none).alias("tier_bands"),
-        F.concat_ws("-", "term_key", w.cast("string")).alias("ordinal"))
-
-
-@query("J5_duplicate_reading_fold", uses=FOLD, sql="""
-select document_id, version, record_id, program, item, cast(amount as double) as amount,
-  calculation, notes, readings, bands from survivors where not bare""")
+    quote = F.col("citations")[0].quote
+    read = rows.withColumns({
+        "calculation": F.when((w == 2) & priced, "per schedule"),
+        "tier_bands": F.when((w == 1) & priced, F.array(
+            band(F.lit(1), F.lit(100), F.col("amount")))).when((w == 2) & priced, F.array(
+                band(F.lit(101), F.lit(None), F.col("rate_pct")))).otherwise(none),
+        "citations": F.when(F.col("citations").isNull(), F.array().cast(
+            "array<struct<quote:string>>")).otherwise(F.array(
+                F.struct(quote.alias("quote")),
+                F.struct(F.concat_ws(" ", quote, w.cast("string")).alias("quote")))),
+        "ordinal": F.concat_ws("-", "ordinal", w.cast("string"))})
+    return read.withColumns({c: F.when(~F.expr(when), F.col(c)) for c, when in UNSEEN.items()})
+
+
+@query("J5_duplicate_reading_fold", uses=FOLD, sql=f"""
+select document_id, version, record_id, info_type, readings, bands, quotes,
+  cast(amount as double) as amount, cast(rate_pct as double) as rate_pct,
+  {", ".join(c for c in FOLDED if c not in ("amount", "rate_pct"))} from survivors where not bare""")
 def duplicate_reading_fold(spark, d):
-    kept, _ = terms.drop_bare(terms.fold_readings(duplicate_readings(spark, d), ["tier_bands"],
-                                 ["pricing_item"]))
-    return kept.select("document_id", "version", "record_id", "program", "item",
-                       F.col("amount").cast("double"), "calculation", "notes", "readings",
-                       F.size("tier_bands").alias("bands"))
+    kept, _ = terms.drop_bare(terms.fold_readings(duplicate_readings(spark, d), LISTS))
+    return kept.select("document_id", "version", "record_id", "info_type", "readings",
+                       F.size("tier_bands").alias("bands"), F.size("citations").alias("quotes"),
+                       *[F.col(c).cast("double") if c in ("amount", "rate_pct") else F.col(c)
+                         for c in FOLDED])
 
 
 @query("J5_fold_report", uses=FOLD, sql="""
 with c as (select document_id, version, line_key from survivors where not bare
-  group by all having count(distinct coalesce(cast(amount as varchar), 'None')) > 1)
+  and info_type = 'pricing_item' group by all having count(distinct coalesce(cast(amount as varchar), 'None')) > 1)
 select s.document_id, s.version, cast(sum(readings - 1) as bigint) as collapsed,
   count(*) filter (where gained) as unioned, count(*) filter (where not bare) as kept,
   count(*) filter (where bare) as bare_dropped, coalesce(max(n), 0) as conflicts
@@ -539,7 +557,7 @@ from survivors s left join (select document_id, version, count(*) as n from c gr
  on c.document_id = s.document_id and c.version = s.version group by all""")
 def fold_report(spark, d):
     records = duplicate_readings(spark, d)
-    folded = terms.fold_readings(records, ["tier_bands"], ["pricing_item"])
+    folded = terms.fold_readings(records, LISTS)
     kept, dropped = terms.drop_bare(folded)
     conflicts = terms.amount_conflicts(kept)
     return terms.fold_report(records, folded, kept, dropped, conflicts).drop("engagement_id")
@@ -548,10 +566,9 @@ def fold_report(spark, d):
 @query("E27_amount_conflicts", uses=FOLD, sql="""
 select document_id, version, line_key, array_to_string(list_sort(list(distinct
   coalesce(cast(amount as varchar), 'None'))), ', ') as amounts from survivors where not bare
-group by all having count(distinct coalesce(cast(amount as varchar), 'None')) > 1""")
+  and info_type = 'pricing_item' group by all having count(distinct coalesce(cast(amount as varchar), 'None')) > 1""")
 def amount_conflicts(spark, d):
-    kept, _ = terms.drop_bare(terms.fold_readings(duplicate_readings(spark, d), ["tier_bands"],
-                                 ["pricing_item"]))
+    kept, _ = terms.drop_bare(terms.fold_readings(duplicate_readings(spark, d), LISTS))
     return terms.amount_conflicts(kept).select(
         "document_id", "version", "line_key", F.array_join("amounts", ", ").alias("amounts"))
 
@@ -560,8 +577,7 @@ def amount_conflicts(spark, d):
 select document_id, version, record_id, array_to_string(list_sort(list_distinct(flatten(
   list(bands)))), '|') as bands from identified group by all""")
 def united_lists(spark, d):
-    folded = terms.fold_readings(duplicate_readings(spark, d), ["tier_bands"],
-                                 ["pricing_item"])
+    folded = terms.fold_readings(duplicate_readings(spark, d), LISTS)
     text = F.array_sort(F.transform("tier_bands", lambda t: F.concat(
         t.min_units.cast("string"), F.lit("-"), F.coalesce(t.max_units.cast("string"), F.lit("")),
         F.lit(":"), t.amount.cast("string"))))
@@ -576,10 +592,10 @@ union all select ordinal, null, null from readings where len(bands) = 0""")
 def exploded_bands(spark, d):
     text = F.concat(F.col("b.min_units").cast("string"), F.lit("-"),
                     F.coalesce(F.col("b.max_units").cast("string"), F.lit("")), F.lit(":"),
-                    F.col("b.amount").cast("string"))
+                    F.coalesce(F.col("b.amount").cast("string"), F.lit("")))
     return (duplicate_readings(spark, d)
             .select("ordinal", F.posexplode_outer("tier_bands").alias("position", "b"))
-            .select("ordinal", "position", text.alias("band")))
+            .select("ordinal", "position", F.when(F.col("b").isNotNull(), text).alias("band")))
 
 
 # --- change sets -----------------------------------------------------------------------------
