@@ -580,7 +580,7 @@ def united_lists(spark, d):
     folded = terms.fold_readings(duplicate_readings(spark, d), LISTS)
     text = F.array_sort(F.transform("tier_bands", lambda t: F.concat(
         t.min_units.cast("string"), F.lit("-"), F.coalesce(t.max_units.cast("string"), F.lit("")),
-        F.lit(":"), t.amount.cast("string"))))
+        F.lit(":"), F.coalesce(t.amount.cast("string"), F.lit("")))))
     return folded.select("document_id", "version", "record_id",
                          F.coalesce(F.array_join(text, "|"), F.lit("")).alias("bands"))
 
