@@ -140,9 +140,19 @@ def test_passages(spark):
     known = spark.createDataFrame([(10, "alphabeta"), (11, "beta"), (12, "beta"), (13, "")],
                                   "quote_id long, stream string")
     want = {(1, 10), (1, 11), (1, 12), (2, 11), (2, 12)}
-    for batch in (1000, 5):
-        got = passages_in(docs, known, batch).collect()
-        assert {(r.document_id, r.quote_id) for r in got} == want and len(got) == len(want)
+    got = passages_in(docs, known).collect()
+    assert {(r.document_id, r.quote_id) for r in got} == want and len(got) == len(want)
+
+
+def test_passages_of_all_lengths(spark):
+    rng = random.Random(8)
+    texts = [(i, "".join(rng.choice("ab$9") for _ in range(rng.randrange(200)))) for i in range(30)]
+    asked = [(n, t[a:a + rng.choice([1, 3, 4, 9, 16, 30, 48, 70])]) for n, (_, t) in enumerate(texts * 4)
+             for a in [rng.randrange(len(t) + 1)]]
+    want = {(i, q) for i, t in texts for q, p in asked if p and p in t}
+    got = passages_in(spark.createDataFrame(texts, "document_id long, stream string"),
+                      spark.createDataFrame(asked, "quote_id long, stream string"))
+    assert {(r.document_id, r.quote_id) for r in got.collect()} == want
 
 
 def brute_windows(pages, target, ceiling, overlap=1):
