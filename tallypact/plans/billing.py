@@ -123,6 +123,18 @@ def service_lines(lines: DataFrame) -> DataFrame:
         F.bool_and("approved").alias("approved"))
 
 
+def config_lines(lines: DataFrame, in_force: DataFrame) -> DataFrame:
+    """Billed lines of the agreements in force, each with the clause it was read from.
+
+    ``lines`` are :func:`billed_lines`; ``in_force`` has engagement_id, doc_type, document_id and
+    version of the agreements that count. Lines of other versions are not billed.
+    """
+    terms = lines.drop("engagement_id")
+    return (in_force.join(terms, ["document_id", "version"]).select(
+        "engagement_id", "document_id", "version", "doc_type", F.col("term_key").alias("record_id"),
+        "program", "item", "frequency", "fee", "approved", "confidence"))
+
+
 def excluded_programs(engagements: DataFrame, programs: DataFrame, lines: DataFrame) -> DataFrame:
     """How many active programs an engagement's agreements do not name.
 

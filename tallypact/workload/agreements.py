@@ -10,9 +10,10 @@ from tallypact.functions import documents as doc_fn
 from tallypact.functions.text import norm_text
 from tallypact.operators.containment import passages_in, quote_streams
 from tallypact.operators.records import TIERS
-from tallypact.plans import citations, documents, review
+from tallypact.plans import billing, citations, documents, review
 from tallypact.session import cut_lineage
 from tallypact.workload import oracle_views as ov
+from tallypact.workload.money import SQL_LINES, billed
 from tallypact.workload.registry import query
 from tallypact.workload.scalars import SQL_REQUIRED, page_text, sql_money, sql_norm
 
@@ -189,14 +190,50 @@ select r.engagement_id, r.doc_type, t.term_key from ranked r join pricing_terms
 on t.document_id = r.document_id and t.version = r.current_version
 where ranked_standing = 'CURRENT' and doc_type <> 'UNKNOWN' and not superseded""")
 def billing_input(spark, d):
+    terms = views.pricing_terms(spark, d).filter("not superseded").select(
+        "document_id", "version", "term_key")
+    return (in_force(spark, d).join(terms, ["document_id", "version"])
+            .select("engagement_id", "doc_type", "term_key"))
+
+
+def in_force(spark, d):
+    """The agreements that bill: engagement_id, doc_type, document_id and version."""
     ranked = documents.rank_standing(docs(spark, d))
     slotted = documents.slots(ranked).select(
         "engagement_id", F.explode("slots").alias("doc_type", "document_id"))
     current = ranked.select("document_id", F.col("current_version").alias("version"))
-    terms = views.pricing_terms(spark, d).filter("not superseded").select(
-        "document_id", "version", "term_key")
-    return (slotted.join(current, "document_id").join(terms, ["document_id", "version"])
-            .select("engagement_id", "doc_type", "term_key"))
+    return slotted.join(current, "document_id")
+
+
+ov.VIEWS["config_lines"] = f"""select r.engagement_id, r.document_id, r.doc_type, t.version,
+  t.term_key as record_id, t.program, t.item, t.frequency, t.billed, t.unit_basis, t.billing_class,
+  t.approved, t.confidence, t.l_suppkey from ranked r join ({SQL_LINES}) t
+  on t.document_id = r.document_id and t.version = r.current_version
+  where ranked_standing = 'CURRENT' and doc_type <> 'UNKNOWN'"""
+CONFIG = f"{DOCS} ranked pricing_terms priced_terms config_lines"
+
+
+@query("J9_billing_config", uses=CONFIG, sql="""
+select engagement_id, document_id, version, doc_type, record_id, program, item, frequency,
+  cast(billed as double) as amount, unit_basis, billing_class, approved,
+  cast(confidence as double) as confidence,
+  concat_ws(',', case when l_suppkey % 6 = 0 then 'amount' end) as corrected
+from config_lines where billed is not null""")
+def billing_config(spark, d):
+    lines = billing.config_lines(billed(spark, d), in_force(spark, d))
+    return lines.filter("fee is not null").select(
+        "engagement_id", "document_id", "version", "doc_type", "record_id", "program", "item",
+        "frequency", F.col("fee.amount").cast("double").alias("amount"), "fee.unit_basis",
+        "fee.billing_class", "approved", F.col("confidence").cast("double"),
+        F.array_join("fee.corrected", ",").alias("corrected"))
+
+
+@query("J9_service_lines", uses=CONFIG, sql="""
+select engagement_id, program, count(billed) as fee_items, cast(sum(billed) as double) as amount,
+  bool_and(approved) as approved from config_lines group by all""")
+def config_service_lines(spark, d):
+    lines = billing.config_lines(billed(spark, d), in_force(spark, d))
+    return billing.service_lines(lines).withColumn("amount", F.col("amount").cast("double"))
 
 
 # --- containment and citations ---------------------------------------------------------------

@@ -467,19 +467,6 @@ def excluded_programs(spark, sf):
     return billing.excluded_programs(views.engagements(spark, sf), programs, billed(spark, sf))
 
 
-@query("J9_billing_config", uses="engagements pricing_terms priced_terms", sql=f"""
-select engagement_id, program, item, frequency, cast(billed as double) as amount, unit_basis,
-  billing_class, approved, term_key,
-  concat_ws(',', case when l_suppkey % 6 = 0 then 'amount' end) as corrected
-from ({SQL_LINES}) where billed is not null""")
-def billing_config(spark, sf):
-    return billed(spark, sf).filter("fee is not null").select(
-        "engagement_id", "program", "item", "frequency",
-        F.col("fee.amount").cast("double").alias("amount"), "fee.unit_basis",
-        "fee.billing_class", "approved", "term_key",
-        F.array_join("fee.corrected", ",").alias("corrected"))
-
-
 @query("J10_payment_schedule", uses=SCHEDULE, sql=f"""
 with had as (select distinct engagement_id as eid from engagements where engagement_id % 2 = 0)
 select s.engagement_id, seq, strftime(due_date, '%Y-%m-%d') as due_date, eid is null as is_new,
