@@ -274,6 +274,12 @@ def test_kneser_ney_sums_to_one(spark, docs):
     assert np.allclose(table.sum(1), 1, atol=1e-4) and table.min() > 0
 
 
+def test_trusted_rows_either_way(spark, docs):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (2, 0), (3, None), (None, 1), (5, 1), (5, 1)], "doc_id long, quality int")
+    for limit in (10, 0):
+        assert sorted(r["doc_id"] for r in kneser_ney.trusted_of(docs, labels, limit).collect()) == [1, 5]
+
+
 def test_kneser_ney_by_hand(spark):
     """Counts of one text, done with dicts."""
     text = "abab abcab ab! abc" * 3
