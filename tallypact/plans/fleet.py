@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallypact import fixed_values as fv
@@ -108,6 +108,22 @@ def decide_assignments(requests: DataFrame, vehicles: DataFrame,
                     reason.alias("refused")))
 
 
+def assign(vehicles: DataFrame, decided: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """(vehicles, history) after a batch of decided requests; refused ones change nothing.
+
+    ``history`` holds the rows to append: vehicle_id, engagement_id and assigned_at. Of several
+    accepted requests for one vehicle the one with the smallest engagement counts.
+    """
+    taken = (decided.filter("refused is null").groupBy("vehicle_id")
+             .agg(F.min("target_engagement").alias("taken_by")))
+    to = F.col("taken_by")
+    units = (vehicles.join(taken, "vehicle_id", "left")
+             .withColumn("status", F.when(to.isNotNull(), "ASSIGNED").otherwise(F.col("status")))
+             .withColumn("engagement_id", F.coalesce(to, "engagement_id")).drop("taken_by"))
+    history = taken.select("vehicle_id", to.alias("engagement_id"), at.alias("assigned_at"))
+    return units, history
+
+
 def release(vehicles: DataFrame, released: DataFrame) -> DataFrame:
     """Vehicles after a batch of releases; a customer's unit is never back in stock."""
     gone = released.select("vehicle_id").distinct().withColumn("released", F.lit(True))

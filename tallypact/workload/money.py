@@ -8,7 +8,7 @@ from tallypact import fixed_values as fv
 from tallypact import views
 from tallypact.functions import billing as bill_fn
 from tallypact.operators.records import TIERS, band
-from tallypact.plans import billing, finance, lifecycle
+from tallypact.plans import billing, finance, lifecycle, payments
 from tallypact.views import AS_OF, as_of
 from tallypact.workload import fixtures as fx
 from tallypact.workload import oracle_views as ov
@@ -571,12 +571,25 @@ union all select engagement_id, seq, 'remind', case when paid then 'this payment
   when engagement_id % 4 = 0 then 'no client on this engagement to remind' end,
   cast(amount as double) from r where not asked_pay""")
 def payment_posting(spark, sf):
-    from tallypact.plans.payments import decide_requests
+    return doubles(asked_payments(spark, sf), "amount")
 
+
+def asked_payments(spark, sf):
     rows = fx.schedule(spark, sf)
     asks = rows.select("engagement_id", "seq", F.when(
         (F.col("engagement_id") + F.col("seq")) % 3 == 0, "pay").otherwise("remind")
         .alias("request"))
     clients = (views.engagements(spark, sf).filter("engagement_id % 4 <> 0")
                .select("engagement_id"))
-    return doubles(decide_requests(rows, asks, clients), "amount")
+    return payments.decide_requests(rows, asks, clients)
+
+
+@query("J25_posted_payments", uses=SCHEDULE, sql="""
+select engagement_id, seq, paid or (asked and payable) as paid,
+  cast(case when paid or (asked and payable) then amount end as double) as amount_paid
+from (select *, (engagement_id + seq) % 3 = 0 as asked, status in ('due', 'overdue')
+   or (status = 'upcoming' and seq = next_early) as payable from schedule)""")
+def posted_payments(spark, sf):
+    """The schedule's payments after the batch: accepted ones are paid at the amount asked."""
+    posted = payments.post_payments(fx.schedule(spark, sf), asked_payments(spark, sf))
+    return doubles(posted.select("engagement_id", "seq", "paid", "amount_paid"), "amount_paid")

@@ -188,12 +188,25 @@ with e as (select engagement_id, case when customer_id % 2 = 0 then upper(client
 select engagement_id, sha1(lower(trim(client_name))) as customer_key,
   coalesce(fleet_size_override, 100) as fleet_size_override from e""")
 def customer_backfill(spark, d):
+    return linked_engagements(spark, d).select(
+        "engagement_id", "customer_key", "fleet_size_override")
+
+
+def linked_engagements(spark, d):
     raw = views.engagements(spark, d).withColumn(
         "client_name", F.when(F.col("customer_id") % 2 == 0, F.upper("client_name"))
         .otherwise(F.concat(F.lit(" "), "client_name", F.lit(" ")))).withColumn(
         "fleet_size", F.lit(100))
-    return migrations.link_customers(raw).select(
-        "engagement_id", "customer_key", "fleet_size_override")
+    return migrations.link_customers(raw)
+
+
+@query("J21_customers_from_names", uses="engagements", sql="""
+select sha1(lower(trim(client_name))) as customer_key,
+  first(trim(client_name) order by engagement_id) as legal_name
+from (select engagement_id, case when customer_id % 2 = 0 then upper(client_name)
+  else concat(' ', client_name, ' ') end as client_name from engagements) group by 1""")
+def customers_from_names(spark, d):
+    return migrations.customers_from_names(linked_engagements(spark, d))
 
 
 @query("J22_status_since", uses="engagements review_cycles cycle_in_force", sql="""
@@ -536,6 +549,27 @@ def batch_assign_release(spark, d):
     return fleet.release(units, gone).select("vehicle_id", "status", "engagement_id")
 
 
+@query("J24_assigned_vehicles", uses="vehicles engagements", sql="""
+with rq as (select vehicle_id, coalesce(engagement_id, cast(split_part(vehicle_id, '-', 1) as
+   bigint)) + case when substr(vehicle_id, length(vehicle_id), 1) = '3' then 1 else 0 end as t
+  from vehicles),
+ ok as (select rq.vehicle_id, t from rq join vehicles v on v.vehicle_id = rq.vehicle_id
+  join engagements e on e.engagement_id = t where not (coalesce(v.engagement_id <> t, false)
+   or v.status = 'RETIRED' or (ownership = 'CUSTOMER_OWNED' and
+   coalesce(owner_customer_id <> e.customer_id, false))))
+select v.vehicle_id, case when t is not null then 'ASSIGNED' else status end as status,
+  coalesce(t, engagement_id) as engagement_id, t is not null as in_history
+from vehicles v left join ok on ok.vehicle_id = v.vehicle_id""")
+def assigned_vehicles(spark, d):
+    """Vehicles after a batch of assignments, and which of them got a history row."""
+    units, history = fleet.assign(views.vehicles(spark, d), decided_assignments(spark, d),
+                                  views.as_of())
+    logged = history.select("vehicle_id", F.lit(True).alias("in_history"))
+    return (units.join(logged, "vehicle_id", "left")
+            .select("vehicle_id", "status", "engagement_id",
+                    F.coalesce("in_history", F.lit(False)).alias("in_history")))
+
+
 @query("J24_assignment_outcome", uses="vehicles engagements", sql="""
 with rq as (select vehicle_id, coalesce(engagement_id, cast(split_part(vehicle_id, '-', 1) as
    bigint)) + case when substr(vehicle_id, length(vehicle_id), 1) = '3' then 1 else 0 end as t
