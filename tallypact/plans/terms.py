@@ -220,6 +220,18 @@ def engagement_coverage(coverage_: DataFrame, programs: DataFrame,
         .join(item_rows, "engagement_id", "left").na.fill(0, ["items_availed"]))
 
 
+def program_rows(coverage_: DataFrame, items: DataFrame) -> DataFrame:
+    """Per engagement and availed program: items availed and offered, priced lines, documents."""
+    offered = items.groupBy("program_id").agg(F.count_distinct("item_id").alias("items_total"))
+    keys = ["engagement_id", "program_id"]
+    used = (coverage_.select(*keys, F.explode("item_ids").alias("item_id")).groupBy(*keys)
+            .agg(F.count_distinct("item_id").alias("items_availed")))
+    return (coverage_.groupBy(*keys).agg(
+        F.sum("priced_items").alias("priced_items"),
+        F.count_distinct("document_id").alias("documents"))
+        .join(offered, "program_id").join(used, keys, "left").na.fill(0, ["items_availed"]))
+
+
 def queue_order() -> list[Column]:
     """The review queue: needs-review first, then least confident."""
     return [(~F.col("needs_review")).asc(), F.col("confidence").asc()]

@@ -269,13 +269,29 @@ def engagement_coverage(spark, d):
             .withColumn("k", F.lit(1)).join(F.broadcast(total), "k").drop("k"))
 
 
+@query("E17_program_rows", uses="pricing_terms coverage programs", sql="""
+with i as (select p_name || ' Program' as program_id, count(distinct p_brand) as items_total
+  from part group by all),
+ u as (select engagement_id, program_id, unnest(item_ids) as item from coverage)
+select c.engagement_id, c.program_id, any_value(items_total) as items_total,
+  cast(sum(priced_items) as bigint) as priced_items,
+  count(distinct document_id) as documents, coalesce(any_value(n), 0) as items_availed
+from coverage c join i on i.program_id = c.program_id
+left join (select engagement_id, program_id, count(distinct item) as n from u group by all) x
+  on x.engagement_id = c.engagement_id and x.program_id = c.program_id
+group by c.engagement_id, c.program_id""")
+def program_rows(spark, d):
+    """The availed rows of each engagement's coverage; the others are what is left of the total."""
+    return terms.program_rows(coverage_rows(spark, d), coverage_items(spark, d))
+
+
 def pricing_tables(spark, d):
     """A table per page: every third line heads a program, the others label items."""
     pages = views.document_pages(spark, d).select("document_id", F.explode("pages").alias("p"))
     heading = lambda line: F.concat(F.upper(F.trim(F.regexp_replace(
-        F.substring(line, 1, 24), "[^A-Za-z ]", ""))), F.lit(" PROGRAM"))
+        line, "[^A-Za-z ]", ""))), F.lit(" PROGRAM"))
     rows = F.transform("p.lines", lambda line, i: F.array(
-        F.when(i % 3 == 0, heading(line)).otherwise(F.substring(line, 1, 40)),
+        F.when(i % 3 == 0, heading(line)).otherwise(line),
         F.lit("$1.00")))
     return pages.select(F.col("document_id").alias("contract"), rows.alias("rows"))
 
@@ -285,8 +301,8 @@ TITLE_SQL = """regexp_replace(replace(replace(replace(replace(array_to_string(li
   lambda r: upper(left(r, 1)) || lower(substr(r, 2))), ''), 'Mvr', 'MVR'), 'Dot', 'DOT'),
   'Ev ', 'EV '), 'Sow', 'SOW'), '^\\s+|\\s+$', '', 'g')"""
 ov.VIEWS["scanned"] = f"""with c as (select document_id, page_number, line_no, case when
-    (line_no - (page_number - 1) * 5 - 1) % 3 = 0 then upper(trim(regexp_replace(left(line, 24),
-     '[^A-Za-z ]', '', 'g'))) || ' PROGRAM' else left(line, 40) end as cell from (
+    (line_no - (page_number - 1) * 5 - 1) % 3 = 0 then upper(trim(regexp_replace(line,
+     '[^A-Za-z ]', '', 'g'))) || ' PROGRAM' else line end as cell from (
     select *, (line_no - 1) // 5 + 1 as page_number from doc_lines)),
  h as (select *, regexp_replace(trim(regexp_replace(cell, '\\s+', ' ', 'g')), '^ | $', '', 'g')
    as label from c),
