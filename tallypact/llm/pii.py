@@ -4,8 +4,9 @@ Validated matches (``KINDS``: email, ip, card, phone) always count. Generators w
 overlapping spans. Each candidate is described by small whole numbers for its format and its context, so all
 candidates of the corpus are counted by pattern, exactly and with partial aggregation. Boosted trees learn from those counts how
 likely a pattern is personal data; the label is whether a validated match of the kind covers the candidate, and
-the validators themselves (Luhn, the range of address parts) are no features. The threshold is calibrated on the
-counts: the lowest score at which at least ``PRECISION`` of all candidates from there up are validated.
+the validators themselves (Luhn, the range of address parts) are no features. Trees are fitted on one half of the texts
+and the threshold is calibrated on the other: for each kind the lowest score at which at least ``PRECISION`` of all
+candidates from there up are validated.
 Candidates of the patterns above it are redacted too.
 
 Patterns are few: their number is bounded by the product of the features' ranges and checked (``MAX_PATTERNS``). Texts never
@@ -176,10 +177,19 @@ def _text(docs: DataFrame) -> Column:
 
 
 def patterns(docs: DataFrame) -> DataFrame:
-    """features, n, n_known: how many candidates of the corpus have a pattern, and how many are validated."""
-    found = docs.select(let(_text(docs), lambda t: let(base_spans(t), lambda b: candidates(t, b))).alias("c"))
-    each = found.select(F.explode("c").alias("c")).select("c.features", "c.known")
-    return each.groupBy("features").agg(F.count("*").alias("n"), F.sum(F.col("known").cast("long")).alias("n_known"))
+    """kind, features, and how many candidates of the corpus have them: n and n_known (validated) to fit, m and m_known
+    to calibrate. Texts are dealt to the two halves by their hash, so copies stay together.
+    """
+    half = F.pmod(F.xxhash64("text"), F.lit(2)).alias("half")
+    found = docs.select(half, let(_text(docs), lambda t: let(base_spans(t), lambda b: candidates(t, b))).alias("c"))
+    each = found.select("half", F.explode("c").alias("c")).select("half", "c.kind", "c.features", "c.known")
+
+    def total(condition, name):
+        return F.count_if(condition).alias(name)
+
+    fits, known = F.coalesce(F.col("half") == 0, F.lit(True)), F.col("known")
+    return each.groupBy("kind", "features").agg(total(fits, "n"), total(fits & known, "n_known"), total(~fits, "m"),
+                                        total(~fits & known, "m_known"))
 
 
 def fit(docs: DataFrame, precision: float = PRECISION) -> list[str]:
@@ -195,27 +205,30 @@ def fit(docs: DataFrame, precision: float = PRECISION) -> list[str]:
     if size > MAX_PATTERNS:
         raise ValueError(f"{size} patterns; the features' ranges allow no more than {MAX_PATTERNS}")
     names = [f"f{i}" for i in range(N_FEATURES)]
-    wide = counted.select("features", *[F.get("features", F.lit(i)).cast("double").alias(f) for i, f in enumerate(names)],
-                          F.inline(F.array(
-                              F.struct(F.lit(1.0).alias("label"), F.col("n_known").cast("double").alias("weight")),
-                              F.struct(F.lit(0.0).alias("label"), (F.col("n") - F.col("n_known")).cast("double")
-                                       .alias("weight")))))
-    ready = VectorAssembler(inputCols=names, outputCol="vector").transform(wide.filter("weight > 0").coalesce(1))
+    wide = counted.select("*", *[F.get("features", F.lit(i)).cast("double").alias(f) for i, f in enumerate(names)])
+    vectors = VectorAssembler(inputCols=names, outputCol="vector").transform(wide)
+    weighted = vectors.select("vector", F.inline(F.array(
+        F.struct(F.lit(1.0).alias("label"), F.col("n_known").cast("double").alias("weight")),
+        F.struct(F.lit(0.0).alias("label"), (F.col("n") - F.col("n_known")).cast("double").alias("weight")))))
     model = GBTClassifier(featuresCol="vector", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH,
-                          seed=7, maxBins=16).fit(ready)
-    scored = (model.transform(ready).withColumn("score", F.round(vector_to_array("probability")[1], 9))
-              .groupBy(F.array_join("features", ",").alias("pattern"))
-              .agg(F.max("score").alias("score"), F.sum("weight").alias("n"),
-                   F.sum(F.col("weight") * F.col("label")).alias("known")))
+                          seed=7, maxBins=16).fit(weighted.filter("weight > 0").coalesce(1))
     # At most MAX_PATTERNS rows: calibrate on the driver.
-    rows = sorted(scored.collect(), key=lambda r: -r["score"])
-    chosen, seen, right, pending = 0, 0.0, 0.0, 0
+    rows = model.transform(vectors).select(
+        "kind", F.array_join("features", ",").alias("pattern"), "m", "m_known",
+        F.round(vector_to_array("probability")[1], 9).alias("score")).collect()
+    return sorted(p for kind in range(len(KINDS)) for p in _above([r for r in rows if r["kind"] == kind], precision))
+
+
+def _above(rows: list, precision: float) -> list[str]:
+    """Patterns of a kind from the lowest score on at which enough of all that score as much are validated."""
+    rows = sorted(rows, key=lambda r: -r["score"])
+    chosen, seen, right = 0, 0, 0
     for i, row in enumerate(rows):
-        seen, right, pending = seen + row["n"], right + row["known"], i + 1
+        seen, right = seen + row["m"], right + row["m_known"]
         last = i + 1 == len(rows) or rows[i + 1]["score"] < row["score"]
-        if last and right >= precision * seen:
-            chosen = pending
-    return sorted(r["pattern"] for r in rows[:chosen])
+        if last and seen and right >= precision * seen:
+            chosen = i + 1
+    return [r["pattern"] for r in rows[:chosen]]
 
 
 def find(docs: DataFrame, selected: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
