@@ -4,6 +4,9 @@ A document is a sequence of units (words or bytes). Every window of ``window`` u
 ``gram`` units; the one with the least hash is the window's *seed*. Equal windows have equal seeds, so
 seeds decide what has to meet:
 
+0. ``exact_copies``: of equal texts only the one with the smallest doc_id goes through the steps below. The others
+   lose every window by definition. Their keys are broadcast behind a check of their number (``max_copies``); beyond
+   it, copies simply go the long way too.
 1. ``seed_filter``: each batch of documents sends its distinct seed slots, sorted and packed; a slot that
    two documents have is set in a bitmap of fixed size. The bitmap only saves shuffling: a slot that two
    different seeds share lets more candidates through and never loses one, and a full bitmap lets
@@ -34,9 +37,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallypact.llm.common import chunks, utf8
+from tallypact.llm.common import chunks, utf8, written
 
 CHUNK_BYTES = 1 << 20
+#: Length of a span that covers the whole text.
+ALL = -1
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -55,6 +60,8 @@ class Units:
     fine_bits: int = 33
     slot_bits: int = 29
     parts: int = 128
+    #: So many keys of exact copies (16 bytes each) are broadcast at most.
+    max_copies: int = 2_000_000
 
     @property
     def part_bits(self) -> int:
@@ -134,10 +141,49 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _rows(batch: pa.RecordBatch, units: Units):
-    """Chunks of a batch: seeds, slice function, ids and text hashes."""
+def text_hash(text: bytes) -> int:
+    """XXH64 as Spark's ``xxhash64`` gives it."""
+    value = xxhash.xxh64_intdigest(text, 42)
+    return value - ((value >> 63) << 64)
+
+
+def exact_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash of the documents whose text a document with a smaller doc_id has too."""
+    text = F.coalesce("text", F.lit(""))
+    marked = docs.filter("doc_id is not null").select(
+        "doc_id", F.xxhash64(text).alias("text_hash"), F.md5(text).alias("digest"), F.length(text).alias("size"))
+    first = marked.groupBy("digest", "size").agg(F.min("doc_id").alias("first"))
+    return marked.join(first, ["digest", "size"]).filter("doc_id > first").select("doc_id", "text_hash").distinct()
+
+
+class Copies:
+    """The broadcast keys of exact copies, sorted by doc_id."""
+
+    def __init__(self, copies: DataFrame, limit: int):
+        rows = copies.toPandas() if copies.count() <= limit else None
+        self.used = rows is not None and len(rows) > 0
+        if self.used:
+            rows = rows.sort_values("doc_id")
+            self.keys = copies.sparkSession.sparkContext.broadcast(
+                (rows["doc_id"].to_numpy(np.int64), rows["text_hash"].to_numpy(np.int64)))
+
+    def among(self, batch: pa.RecordBatch) -> np.ndarray:
+        """Which rows of a batch are copies."""
+        ids = np.asarray(batch.column(0).fill_null(0), np.int64)
+        out = np.zeros(len(ids), bool)
+        if self.used:
+            known, hashes = self.keys.value
+            a, b = np.searchsorted(known, ids), np.searchsorted(known, ids, "right")
+            for k in np.flatnonzero(a < b).tolist():
+                text = (batch.column(1)[k].as_py() or "").encode()
+                out[k] = text_hash(text) in hashes[a[k]:b[k]].tolist()
+        return out
+
+
+def _rows(batch: pa.RecordBatch, units: Units, copies: Copies):
+    """Chunks of a batch without exact copies: seeds, slice function, ids and bytes."""
     ids = batch.column(0)
-    keep = np.flatnonzero(np.asarray(ids.is_valid()))
+    keep = np.flatnonzero(np.asarray(ids.is_valid()) & ~copies.among(batch))
     if len(keep) < len(ids):
         batch = batch.take(pa.array(keep))
     ids = np.asarray(batch.column(0), np.int64)
@@ -153,14 +199,14 @@ def _bounded(batches: Iterator[pa.RecordBatch], limit: int = 2048) -> Iterator[p
             yield batch.slice(a, limit)
 
 
-def seed_filter(docs: DataFrame, units: Units) -> DataFrame:
+def seed_filter(docs: DataFrame, units: Units, copies: Copies) -> DataFrame:
     """One packed bitmap per part of the slots; bits are set where two documents have a seed's slot."""
     part_bits, parts = units.part_bits, units.parts
 
     def send(batches):
         for batch in _bounded(batches, 4096):
             found = []
-            for seeds, _, _, ids, _, _ in _rows(batch, units):
+            for seeds, _, _, ids, _, _ in _rows(batch, units, copies):
                 row, hashes = seeds.distinct()
                 found.append((units.slots(hashes), ids[row]))
             slot = np.concatenate([x[0] for x in found] or [np.zeros(0, np.int64)])
@@ -256,18 +302,22 @@ def _phrases(seeds: Seeds, bits: np.ndarray, units: Units):
 def removed_spans(docs: DataFrame, units: Units, match: Callable, per_shard: int) -> DataFrame:
     """Spans of units that a document with a smaller doc_id has too: doc_id, text_hash, spans.
 
+    An exact copy has a span of length ``ALL``.
+
     ``docs``: doc_id long, text string. ``match(phrases, first, last)`` gets the distinct phrases of a
     shard with their smallest and largest document and yields (phrase, offset, windows, document):
     runs of windows and the smallest document that has them.
     """
     spark = docs.sparkSession
     window = units.window
-    bitmap = Filter(seed_filter(docs, units).collect(), spark, units)
+    found_copies = written(exact_copies(docs), "copies")
+    copies = Copies(found_copies, units.max_copies)
+    bitmap = Filter(seed_filter(docs, units, copies).collect(), spark, units)
 
     def dictionary(batches):
         for batch in _bounded(batches):
             low, high = {}, {}
-            for seeds, _, piece, ids, _, _ in _rows(batch, units):
+            for seeds, _, piece, ids, _, _ in _rows(batch, units, copies):
                 found = _phrases(seeds, bitmap.bits(), units)
                 if found is None:
                     continue
@@ -290,7 +340,7 @@ def removed_spans(docs: DataFrame, units: Units, match: Callable, per_shard: int
 
     def occurrences(batches):
         for batch in _bounded(batches):
-            for seeds, first, piece, ids, raw, offsets in _rows(batch, units):
+            for seeds, first, piece, ids, raw, offsets in _rows(batch, units, copies):
                 found = _phrases(seeds, bitmap.bits(), units)
                 if found is None:
                     continue
@@ -299,8 +349,7 @@ def removed_spans(docs: DataFrame, units: Units, match: Callable, per_shard: int
                 key = np.fromiter((digest(x) for x in piece(start, count + window - 1)), np.uint64, len(start))
                 mark = np.zeros(len(ids), np.int64)
                 for r in np.unique(row).tolist():
-                    mark[r] = np.array(xxhash.xxh64_intdigest(
-                        raw[offsets[r]:offsets[r + 1]], 42), np.uint64).astype(np.int64)
+                    mark[r] = text_hash(raw[offsets[r]:offsets[r + 1]].tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((hashes >> 31).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(ids[row]),
                      pa.array(mark[row]), pa.array((start - first[row]).astype(np.int32))],
@@ -331,10 +380,12 @@ def removed_spans(docs: DataFrame, units: Units, match: Callable, per_shard: int
                 lambda t: compare(t), "seed int, key long, offset int, windows int, source long"))
     found = docs.mapInArrow(
         occurrences, "seed int, key long, doc_id long, text_hash long, start int")
-    return (found.join(runs, ["seed", "key"]).filter("source < doc_id")
-            .groupBy("doc_id", "text_hash")
-            .agg(F.collect_list(F.struct((F.col("start") + F.col("offset")).alias("start"),
-                                         (F.col("windows") + window - 1).alias("length"))).alias("spans")))
+    spans = found.join(runs, ["seed", "key"]).filter("source < doc_id").select(
+        "doc_id", "text_hash", (F.col("start") + F.col("offset")).alias("start"),
+        (F.col("windows") + window - 1).alias("length"))
+    whole = found_copies.select("doc_id", "text_hash", F.lit(0).alias("start"), F.lit(ALL).alias("length"))
+    return (spans.unionByName(whole).groupBy("doc_id", "text_hash")
+            .agg(F.collect_list(F.struct("start", "length")).alias("spans")))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -343,8 +394,10 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return marked.join(spans, ["doc_id", "text_hash"], "left").select("doc_id", "text", "spans")
 
 
-def mask(n: int, spans) -> np.ndarray:
-    """True where a unit is covered."""
+def mask(n: int, spans, window: int) -> np.ndarray:
+    """True where a unit is covered; a span of length ``ALL`` covers every window there is."""
+    if any(s["length"] == ALL for s in spans or ()):
+        return np.full(n, n >= window)
     edge = np.zeros(n + 1, np.int64)
     for s in spans or ():
         edge[s["start"]] += 1

@@ -137,16 +137,16 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **si
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **sizes) -> DataFrame:
     """doc_id, n_words, n_removed, kept: the text of the words that stay, joined by one space."""
-    return _cut(repeated_spans(docs, window, gram, **sizes), "kept string", lambda kept: kept.decode())
+    return _cut(repeated_spans(docs, window, gram, **sizes), window, "kept string", lambda kept: kept.decode())
 
 
 def digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **sizes) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
-    return _cut(repeated_spans(docs, window, gram, **sizes), "kept_sha256 string",
+    return _cut(repeated_spans(docs, window, gram, **sizes), window, "kept_sha256 string",
                 lambda kept: hashlib.sha256(kept).hexdigest())
 
 
-def _cut(marked: DataFrame, column: str, finish) -> DataFrame:
+def _cut(marked: DataFrame, window: int, column: str, finish) -> DataFrame:
     def cut(batches):
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
@@ -156,7 +156,7 @@ def _cut(marked: DataFrame, column: str, finish) -> DataFrame:
                 spans = batch.column(2)[k].as_py()
                 n_words.append(len(words))
                 if spans:
-                    gone = repeats.mask(len(words), spans)
+                    gone = repeats.mask(len(words), spans, window)
                     n_removed.append(int(gone.sum()))
                     words = [words[i] for i in np.flatnonzero(~gone).tolist()]
                 else:

@@ -104,16 +104,16 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **si
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **sizes) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept: the bytes that stay."""
-    return _cut(repeated_spans(docs, window, gram, **sizes), "kept binary", lambda kept: kept)
+    return _cut(repeated_spans(docs, window, gram, **sizes), window, "kept binary", lambda kept: kept)
 
 
 def digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **sizes) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return _cut(repeated_spans(docs, window, gram, **sizes), "kept_sha256 string",
+    return _cut(repeated_spans(docs, window, gram, **sizes), window, "kept_sha256 string",
                 lambda kept: hashlib.sha256(kept).hexdigest())
 
 
-def _cut(marked: DataFrame, column: str, finish) -> DataFrame:
+def _cut(marked: DataFrame, window: int, column: str, finish) -> DataFrame:
     name, kind = column.split()
 
     def cut(batches):
@@ -124,9 +124,9 @@ def _cut(marked: DataFrame, column: str, finish) -> DataFrame:
                 data = raw[offsets[k]:offsets[k + 1]]
                 spans = batch.column(2)[k].as_py()
                 if spans:
-                    gone = repeats.mask(len(data), spans)
+                    gone = repeats.mask(len(data), spans, window)
                     removed.append(int(gone.sum()))
-                    runs.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
+                    runs.append(int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()))
                     data = data[~gone]
                 else:
                     removed.append(0)

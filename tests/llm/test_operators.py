@@ -72,6 +72,11 @@ def test_few_slots_change_nothing(docs):
     same(substring_dedup.digest(docs, fine_bits=14, slot_bits=11, parts=4), brute.op1(TEXTS))
 
 
+def test_copies_that_go_the_long_way(docs):
+    same(suffix_array.digest(docs, max_copies=0), brute.op4(TEXTS))
+    same(substring_dedup.digest(docs, max_copies=0), brute.op1(TEXTS))
+
+
 def test_substring_dedup_small_window(docs):
     same(substring_dedup.digest(docs, 5, 3), brute.op1(TEXTS, 5))
 
