@@ -3,7 +3,7 @@
 ``repeated_spans`` confirms the passages that come in several documents (``repeats``: candidates by seeds,
 compared word by word inside a shard), compiles one Aho-Corasick automaton per shard from the confirmed windows
 and streams the phrases of all documents through it, so every occurrence is located. Words are coded as
-single characters inside a shard, so a window costs one automaton node per word.
+two characters inside a shard, so a window costs two automaton nodes per word.
 
 Defined results: null, blank and empty texts have no words; a text shorter than a window loses none; equal rows
 are reported as often as they come and never remove each other's words; an empty table gives an empty result;
@@ -60,16 +60,20 @@ def cut_words(raw: np.ndarray, offsets: np.ndarray):
 
 
 class _Codes(dict):
-    """A character for each word of a shard; surrogates are left out."""
+    """A number for each word of a shard, from 256 on; lower ones are no words."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self) + 256
+        return n
 
-    def __missing__(self, word: bytes) -> str:
-        n = len(self) + 1
-        c = self[word] = chr(n if n < 0xD800 else n + 0x800)
-        return c
 
+def _as_text(codes: np.ndarray) -> str:
+    """Two characters per word, its high and low part, from ranges that do not meet.
 
-#: Stands between phrases; no window has it.
-BREAK = "\U0010FFFF"
+    An automaton looks children up one by one, so its nodes must not have a child for each word.
+    """
+    pairs = np.stack([(codes >> 8) + 1, (codes & 255) + 0xE000], 1).astype("<u4")
+    return pairs.tobytes().decode("utf-32-le")
 
 
 def _window_classes(codes: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,12 +100,13 @@ def match_with_automaton(window: int):
         if not phrases:
             return
         table = _Codes()
-        coded = ["".join(map(table.__getitem__, p.split(b" "))) for p in phrases]
-        size = np.fromiter(map(len, coded), np.int64, len(coded)) + 1
-        text = BREAK.join(coded)
-        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        words = [p.split(b" ") for p in phrases]
+        # A zero, which no window has, stands after each phrase.
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        codes = np.fromiter((c for p in words for c in (*map(table.__getitem__, p), 0)), np.uint32, int(size.sum()))
+        text = _as_text(codes)
         first, count = np.cumsum(size) - size, size - window
-        phrase = np.repeat(np.arange(len(coded)), count)
+        phrase = np.repeat(np.arange(len(words)), count)
         starts = np.arange(len(phrase)) - np.repeat(np.cumsum(count) - count, count) + first[phrase]
         low, high = np.array(low), np.array(high)
         of, sample = _window_classes(codes, starts, window)
@@ -112,12 +117,12 @@ def match_with_automaton(window: int):
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for k in np.flatnonzero(source < latest).tolist():
             at = int(sample[k])
-            automaton.add_word(text[at:at + window], k)
+            automaton.add_word(text[2 * at:2 * (at + window)], k)
         if not len(automaton):
             return
         automaton.make_automaton()
         found = np.fromiter((x for pair in automaton.iter(text) for x in pair), np.int64).reshape(-1, 2)
-        start = found[:, 0] - (window - 1)
+        start = found[:, 0] // 2 - (window - 1)
         phrase = np.searchsorted(first, start, "right") - 1
         yield from repeats.grouped_runs(phrase, start - first[phrase], source[found[:, 1]], high)
 
