@@ -14,20 +14,24 @@ def in_order_matches(edges: DataFrame, group: list[str]) -> DataFrame:
     ``edges`` has the group columns, ``chooser`` and ``candidate`` (ids that sort in order of
     choice and of preference among equals) and ``score``. Going through choosers one by one gives
     the only matching in which no chooser could have had a better candidate from a later one, so
-    it is found in rounds: everybody asks for their best remaining candidate, a candidate keeps
-    the earliest asker, and every edge a candidate has refused is dropped. A round is two
-    aggregates over the remaining edges.
+    it is found in rounds: a pair is settled when the candidate is the chooser's best and no
+    earlier chooser has an edge to it; settled choosers and candidates leave with all their edges.
+    Edges shrink from round to round, and what is left of them is written out.
     """
     keys = [*group]
     remaining = cut_lineage(edges.select(*keys, "chooser", "candidate", "score"), "edges")
+    settled = None
     while True:
-        held = _best(remaining, keys).groupBy(*keys, "candidate").agg(F.min("chooser").alias("holder"))
-        marked = remaining.join(held, [*keys, "candidate"], "left")
-        refused = F.coalesce(F.col("holder") < F.col("chooser"), F.lit(False))
-        kept = cut_lineage(marked.withColumn("refused", refused).drop("holder"), "edges")
-        if kept.filter("refused").isEmpty():
-            return _best(remaining, keys)
-        remaining = kept.filter(~F.col("refused")).drop("refused")
+        first = remaining.groupBy(*keys, "candidate").agg(F.min("chooser").alias("first"))
+        pairs = cut_lineage(
+            _best(remaining, keys).join(first, [*keys, "candidate"])
+            .filter("first = chooser").drop("first"), "pairs")
+        settled = pairs if settled is None else settled.unionByName(pairs)
+        remaining = cut_lineage(
+            remaining.join(pairs.select(*keys, "chooser"), [*keys, "chooser"], "left_anti")
+            .join(pairs.select(*keys, "candidate"), [*keys, "candidate"], "left_anti"), "edges")
+        if remaining.isEmpty():
+            return settled
 
 
 def _best(edges: DataFrame, keys: list[str]) -> DataFrame:

@@ -134,18 +134,22 @@ def raw_names(spark, sf_dir):
     return raw_names_of(_lines_with_parts(spark, sf_dir))
 
 
-def raw_names_of(lines: DataFrame) -> DataFrame:
+def raw_name() -> Column:
+    """The wording an extraction observed; reads the columns of a line with its part."""
     name = F.col("p_name")
     size = F.length(name)
-    raw = (
+    return (
         F.when(F.col("l_suppkey") % 5 == 0, name)
         .when(F.col("l_suppkey") % 5 == 1, F.concat(F.upper(name), F.lit(" PROGRAM (SECTION 2)")))
         .when(F.col("l_suppkey") % 5 == 2, F.concat(name, F.lit(" Services")))
         .when(F.col("l_suppkey") % 5 == 3,
               F.concat(F.substr(name, F.lit(1), size - 2), F.substr(name, size, F.lit(1))))
         .otherwise(F.concat(F.lit("unlisted "), F.col("p_type"))))
+
+
+def raw_names_of(lines: DataFrame) -> DataFrame:
     return lines.select(
-        F.col("l_orderkey").alias("engagement_id"), raw.alias("raw"),
+        F.col("l_orderkey").alias("engagement_id"), raw_name().alias("raw"),
         F.col("p_brand").alias("item_raw"), line_id().alias("term_key"), "l_shipdate")
 
 

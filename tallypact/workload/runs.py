@@ -79,11 +79,8 @@ def expected_got(spark, d):
     The catalog name is expected and the observed wording is what an extraction returned; every
     twelfth part was filed under another type.
     """
-    lines = views._lines_with_parts(spark, d)
-    names = views.raw_names(spark, d).select("term_key", "raw")
-    rows = (lines.select(views.line_id().alias("term_key"), "l_orderkey", "l_partkey",
-                         "l_suppkey", "p_name", "p_brand", "l_discount")
-            .join(names, "term_key"))
+    rows = views._lines_with_parts(spark, d).withColumns(
+        {"term_key": views.line_id(), "raw": views.raw_name()})
     want = rows.select(
         F.col("l_orderkey").alias("run_id"), F.lit("pricing_item").alias("info_type"),
         F.col("term_key").alias("record_no"), F.concat("p_name", F.lit(" Program"))
