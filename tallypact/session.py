@@ -11,9 +11,12 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def local_session(app: str = "tallypact", cores: str = "*", shuffle_partitions: int = 8,
-                  driver_memory: str = "8g") -> SparkSession:
-    """A local session for tests and the bench; clusters bring their own session."""
-    spark = (
+                  driver_memory: str = "8g", spread: int | None = None) -> SparkSession:
+    """A local session for tests and the bench; clusters bring their own session.
+
+    ``spread`` deals tables that are single files to so many tasks (``views.SPREAD``).
+    """
+    builder = (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", driver_memory)
@@ -22,8 +25,10 @@ def local_session(app: str = "tallypact", cores: str = "*", shuffle_partitions:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if spread:
+        builder = builder.config("spark.tallypact.spread", str(spread))
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

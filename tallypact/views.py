@@ -14,9 +14,17 @@ def as_of() -> Column:
     return F.lit(AS_OF).cast("date")
 
 
+#: Session setting: tables read from single files are dealt to so many tasks before anything else.
+#: Unset on a cluster, where a table has many files.
+SPREAD = "spark.tallypact.spread"
+SPREAD_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "documents": "doc_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One supplied table."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    tasks = spark.conf.get(SPREAD, None)
+    return df.repartition(int(tasks), SPREAD_KEYS[name]) if tasks and name in SPREAD_KEYS else df
 
 
 def by_value(col: Column, mapping: dict, default=None) -> Column:
