@@ -208,14 +208,18 @@ def first_of_group(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     rows one. Rows without a doc_id are kept as one group each text.
     """
     found = components(docs, shingle)
+    # Plain key columns, so that the join and the numbering below share one shuffle.
+    keys = ["__id", "__none", "__hash"]
     first = (found.groupBy(F.coalesce(F.col("component_id").cast("string"), F.hex("fp")).alias("group"))
-             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")).alias("k"))
-             .select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash")))
-    marked = docs.withColumn("__hash_of", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = marked.join(first, marked["doc_id"].eqNullSafe(first["__id"]) & (marked["__hash_of"] == first["__hash"]))
-    others = [F.xxhash64(*[f"`{c}`" for c in docs.columns]).alias("__row")]
-    place = F.row_number().over(W.partitionBy("__hash_of", "__id").orderBy("__row"))
-    return (kept.select("*", *others).withColumn("__place", place).filter("__place = 1")
+             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
+             .select(F.coalesce("k.doc_id", F.lit(0)).alias("__id"), F.col("k.none").alias("__none"),
+                     F.col("k.text_hash").alias("__hash")))
+    marked = docs.withColumns({
+        "__id": F.coalesce("doc_id", F.lit(0)), "__none": F.col("doc_id").isNull(),
+        "__hash": F.xxhash64(F.coalesce("text", F.lit(""))),
+        "__row": F.xxhash64(*[f"`{c}`" for c in docs.columns])})
+    place = F.row_number().over(W.partitionBy(*keys).orderBy("__row"))
+    return (marked.join(first, keys).withColumn("__place", place).filter("__place = 1")
             .select(*[f"`{c}`" for c in docs.columns]))
 
 
