@@ -152,7 +152,9 @@ def exact_copies(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     marked = docs.filter("doc_id is not null").select(
         "doc_id", F.xxhash64(text).alias("text_hash"), F.md5(text).alias("digest"), F.length(text).alias("size"))
-    first = marked.groupBy("digest", "size").agg(F.min("doc_id").alias("first"))
+    # Only texts that come again go on, which are few beside the corpus.
+    first = (marked.groupBy("digest", "size").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+             .filter("first < last").drop("last"))
     return marked.join(first, ["digest", "size"]).filter("doc_id > first").select("doc_id", "text_hash").distinct()
 
 
