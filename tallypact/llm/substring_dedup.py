@@ -17,7 +17,6 @@ import hashlib
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
 from tallypact.llm import repeats
@@ -27,36 +26,52 @@ WINDOW = 13
 GRAM = 7
 #: Bytes of corpus text per shard of phrases; a shard is compared and compiled in one task.
 SHARD_BYTES = 4 << 20
-#: Word hashes that a worker remembers between batches.
-REMEMBERED = 400_000
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+#: True for the six ASCII white-space bytes; a random number for every byte, and the base of word hashes.
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_SCRAMBLED = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
+    return out[:n]
 
 
-_hashes = _Hashes()
+_POWERS = _powers(_BASE, (1 << 20) + 1)
+_INVERSES = _powers(pow(_BASE, -1, 1 << 64), (1 << 20) + 1)
 
 
 def cut_words(raw: np.ndarray, offsets: np.ndarray):
-    """Word hashes of consecutive texts, the first word of each, and the joined words from a word on."""
-    words: list[bytes] = []
-    first = [0]
-    data = raw[offsets[0]:offsets[-1]].tobytes()
-    base = int(offsets[0])
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        words += data[a - base:b - base].split()
-        first.append(len(words))
-    units = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    """Word hashes of consecutive texts, the first word of each, and the joined words from a word on.
+
+    A word's hash is a difference of sums over the bytes, moved to the place zero, so all words are hashed at once.
+    """
+    data = raw[offsets[0]:offsets[-1]]
+    n = len(data)
+    edge = np.zeros(n + 1, bool)
+    edge[offsets - offsets[0]] = True
+    inside = ~_SPACE[data]
+    before = np.append(False, inside[:-1]) if n else inside
+    starts = np.flatnonzero(inside & (~before | edge[:-1]))
+    after = np.append(inside[1:], False) if n else inside
+    ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
+    powers, inverses = (_POWERS, _INVERSES) if n < len(_POWERS) else (
+        _powers(_BASE, n + 1), _powers(pow(_BASE, -1, 1 << 64), n + 1))
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_SCRAMBLED[data] * powers[:n], out=sums[1:])
+    units = (sums[ends] - sums[starts]) * inverses[starts]
+    units ^= units >> np.uint64(32)
+    text = data.tobytes()
 
     def piece(start, length):
-        return [b" ".join(words[s:s + n]) for s, n in zip(start.tolist(), length.tolist(), strict=True)]
+        return [b" ".join(text[a:b].split()) for a, b in
+                zip(starts[start].tolist(), ends[start + length - 1].tolist(), strict=True)]
 
-    return units, np.array(first, np.int64), piece
+    return units, np.searchsorted(starts, offsets - offsets[0]), piece
 
 
 class _Codes(dict):
