@@ -123,62 +123,68 @@ def local_roots(values: np.ndarray, radius: int = RADIUS) -> np.ndarray:
         label = new.astype(np.int32)
 
 
-def _compare(batches):
-    """Sorted (slot, key, fp) rows -> edges (a, b), or (a, null) for a member of a long run."""
-    rest = None
+def _compare(max_run: int):
+    """Sorted (key, fp) rows -> edges (a, b), or (a, null) for a member of a run longer than ``max_run``."""
 
-    def blocks(key, fp, last):
-        """Runs of two or more, small ones gathered; the last run may go on and is kept back."""
+    def members(fp):
+        return pa.RecordBatch.from_arrays([pa.array(fp), pa.nulls(len(fp), pa.int64())], ["a", "b"])
+
+    def linked(gathered):
+        values = np.unique(np.concatenate(gathered))
+        root = local_roots(values.view(np.uint64))
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([pa.array(values[moved]), pa.array(values[root[moved]])], ["a", "b"])
+
+    def edges(key, fp):
+        """Whole runs: long ones by member, the others gathered into blocks of lanes."""
         cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(cut, len(key)))
-        if not last:
-            cut, size = cut[:-1], size[:-1]
         gathered, lanes = [], 0
         for at, n in zip(cut[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-            if n > MAX_RUN:
-                yield fp[at:at + n], True
+            if n > max_run:
+                yield members(fp[at:at + n])
                 continue
             gathered.append(fp[at:at + n])
             lanes += n
             if lanes >= LANES:
-                yield np.unique(np.concatenate(gathered)), False
+                yield linked(gathered)
                 gathered, lanes = [], 0
         if gathered:
-            yield np.unique(np.concatenate(gathered)), False
+            yield linked(gathered)
 
-    def edges(key, fp, last):
-        for values, hot in blocks(key, fp, last):
-            if hot:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(values), pa.nulls(len(values), pa.int64())], ["a", "b"])
+    def run(batches):
+        # The last run of a batch may go on; once it is too long it is passed on as it comes.
+        rest_key, rest_fp, long_key = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        for batch in batches:
+            key = np.concatenate([rest_key, np.asarray(batch.column(0), np.int64)])
+            fp = np.concatenate([rest_fp, np.asarray(batch.column(1), np.int64)])
+            if long_key is not None:
+                n = int(np.searchsorted(key, long_key, "right"))
+                yield members(fp[:n])
+                key, fp = key[n:], fp[n:]
+            if not len(key):
+                rest_key, rest_fp = key, fp
                 continue
-            root = local_roots(values.view(np.uint64))
-            moved = np.flatnonzero(root != np.arange(len(root)))
-            if len(moved):
-                yield pa.RecordBatch.from_arrays([pa.array(values[moved]), pa.array(values[root[moved]])], ["a", "b"])
-
-    for batch in batches:
-        key = np.asarray(batch.column(0), np.int64)
-        fp = np.asarray(batch.column(1), np.int64)
-        if rest is not None:
-            key, fp = np.concatenate([rest[0], key]), np.concatenate([rest[1], fp])
-        if not len(key):
-            continue
-        yield from edges(key, fp, False)
-        start = int(np.searchsorted(key, key[-1]))
-        rest = key[start:], fp[start:]
-    if rest is not None:
-        yield from edges(*rest, True)
-
-
-def links(nodes: DataFrame) -> DataFrame:
+            long_key = None
+            start = int(np.searchsorted(key, key[-1]))
+            yield from edges(key[:start], fp[:start])
+            rest_key, rest_fp = key[start:], fp[start:]
+            if len(rest_key) > max_run:
+                yield members(rest_fp)
+                long_key, rest_key, rest_fp = int(rest_key[-1]), rest_key[:0], rest_fp[:0]
+        yield from edges(rest_key, rest_fp)
+
+    return run
+
+
+def links(nodes: DataFrame, max_run: int = MAX_RUN) -> DataFrame:
     """Edges that join all fingerprints within the radius into components; ``nodes``: distinct fp."""
     blocks = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
     keys = F.array(*[
         F.lit(t << 32).bitwiseOR(F.shiftleft(blocks[i].cast("long"), 16)).bitwiseOR(blocks[j]).alias(f"k{t}")
         for t, (i, j) in enumerate(TABLES)])
     keyed = nodes.select(F.explode(keys).alias("key"), "fp")
-    found = written(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "a long, b long"),
+    found = written(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(max_run), "a long, b long"),
                     "links")
     hot = found.filter("b is null").select("a").distinct()
     one = F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)),
@@ -189,11 +195,11 @@ def links(nodes: DataFrame) -> DataFrame:
     return found.filter("b is not null").unionByName(star)
 
 
-def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def components(docs: DataFrame, shingle: int = SHINGLE, max_run: int = MAX_RUN) -> DataFrame:
     """doc_id, text_hash, fp, component_id: the smallest doc_id that links lead to."""
     marked = written(fingerprints(docs, shingle), "fingerprints")
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    root = roots(links(nodes.select("fp")))
+    root = roots(links(nodes.select("fp"), max_run))
     rooted = nodes.join(root, nodes["fp"] == root["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -223,7 +229,7 @@ def first_of_group(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             .select(*[f"`{c}`" for c in docs.columns]))
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, max_run: int = MAX_RUN) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id."""
-    return components(docs).select(
+    return components(docs, max_run=max_run).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

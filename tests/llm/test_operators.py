@@ -5,6 +5,7 @@ import random
 import brute
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,12 +134,23 @@ def test_ablation(docs):
 
 
 @pytest.mark.parametrize("longest", [2048, 1])
-def test_simhash(docs, monkeypatch, longest):
-    monkeypatch.setattr(simhash, "MAX_RUN", longest)
-    same(simhash.digest(docs), brute.op3(TEXTS))
+def test_simhash(docs, longest):
+    same(simhash.digest(docs, longest), brute.op3(TEXTS))
 
 
-def test_simhash_links(spark, monkeypatch):
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_runs_cross_batches(size):
+    """A run is compared or passed on whole, however its rows are cut into batches."""
+    keys = np.repeat([1, 2, 3, 4], [1, 3, 9, 2])
+    fps = np.array([5, 8, 9, 7 << 40, *range(100, 109), 7, 6], np.int64)
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i:i + size]), pa.array(fps[i:i + size])], ["key", "fp"])
+               for i in range(0, len(keys), size)]
+    out = [r for b in simhash._compare(4)(batches) for r in b.to_pylist()]
+    assert sorted(r["a"] for r in out if r["b"] is None) == list(range(100, 109))
+    assert sorted((r["a"], r["b"]) for r in out if r["b"] is not None) == [(7, 6), (9, 8)]
+
+
+def test_simhash_links(spark):
     base = [rng.getrandbits(64) for _ in range(60)]
     values = set(base)
     for v in base[:30]:
@@ -155,8 +167,7 @@ def test_simhash_links(spark, monkeypatch):
         label = [min(label[b] for b in want[a]) for a in range(len(values))]
     nodes = spark.createDataFrame(signed, "fp long")
     for longest in (2048, 2):
-        monkeypatch.setattr(simhash, "MAX_RUN", longest)
-        root = {r["node"]: r["root"] for r in simhash.roots(simhash.links(nodes)).collect()}
+        root = {r["node"]: r["root"] for r in simhash.roots(simhash.links(nodes, longest)).collect()}
         groups = {}
         for k, (v,) in enumerate(signed):
             groups.setdefault(label[k], set()).add(root.get(v, v))
