@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -213,10 +213,14 @@ def first_of_group(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     The one with the smallest doc_id stays; of several texts with that id the one with the least hash, of equal
     rows one. Rows without a doc_id are kept as one group each text.
     """
-    found = components(docs, shingle)
+    return kept_of(docs, components(docs, shingle), F.hex("fp"))
+
+
+def kept_of(docs: DataFrame, found: DataFrame, nameless: Column) -> DataFrame:
+    """One document of each group of ``found`` (doc_id, text_hash, component_id); ``nameless`` tells groups without an id apart."""
     # Plain key columns, so that the join and the numbering below share one shuffle.
     keys = ["__id", "__none", "__hash"]
-    first = (found.groupBy(F.coalesce(F.col("component_id").cast("string"), F.hex("fp")).alias("group"))
+    first = (found.groupBy(F.coalesce(F.col("component_id").cast("string"), nameless).alias("group"))
              .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
              .select(F.coalesce("k.doc_id", F.lit(0)).alias("__id"), F.col("k.none").alias("__none"),
                      F.col("k.text_hash").alias("__hash")))
