@@ -9,8 +9,9 @@ and the threshold is calibrated on the other: for each kind the lowest score at
 candidates from there up are validated.
 Candidates of the patterns above it are redacted too.
 
-Patterns are few: their number is bounded by the product of the features' ranges and checked (``MAX_PATTERNS``). Texts never
-leave their row: spans are arrays of it, and nothing but pattern counts is shuffled.
+A pattern is a number below ``PATTERNS``, the product of the features' ranges, so the selected ones are a bitmap of at most
+0.6 MB. Patterns are fitted and calibrated as tables; what the driver reads is sums by rounded score, and the bitmap's
+bytes. Texts never leave their row: spans are arrays of it, and nothing but pattern counts is shuffled.
 
 Defined results: null and empty texts have no spans; equal rows are reported as often as they come; a null doc_id is
 kept; without candidates, or with labels of one kind only, nothing is added to the validated matches; an empty table gives
@@ -19,6 +20,8 @@ no rows; other columns are ignored or passed through. U+0001 in a text matches n
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,10 +52,16 @@ CONTEXTS: list[str] = [
 ]
 CONTEXT_CHARS = 24
 PRECISION = 0.97
-MAX_PATTERNS = 20_000
+#: Patterns in a partition of the table that trees are fitted on.
+FIT_ROWS = 20_000
+#: Scores are calibrated in so many steps.
+SCORES = 10_000
 TREES, DEPTH = 10, 4
 MARK, OTHER = "\u0001", "\u0002"
-N_FEATURES = 12
+#: How many values each feature has.
+RANGES = [3, 9, 5, 4, 4, 2, 2, 2, 5, 6, 3, 3]
+N_FEATURES = len(RANGES)
+PATTERNS = math.prod(RANGES)
 
 
 def _places(text: Column, pattern: str) -> Column:
@@ -192,53 +201,80 @@ def patterns(docs: DataFrame) -> DataFrame:
                                         total(~fits & known, "m_known"))
 
 
-def fit(docs: DataFrame, precision: float = PRECISION) -> list[str]:
-    """The patterns to redact, as text."""
+def _code(features: Column) -> Column:
+    """The number of a pattern."""
+    code = F.lit(0)
+    for i, size in enumerate(RANGES):
+        code = code * size + F.get(features, F.lit(i))
+    return code
+
+
+def fit(docs: DataFrame, precision: float = PRECISION) -> bytes:
+    """The patterns to redact, as a bitmap up to the last one; empty if there are none."""
+    return select(written(patterns(docs), "patterns"), precision)
+
+
+def select(counted: DataFrame, precision: float = PRECISION) -> bytes:
+    """``fit`` of the patterns' counts."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    counted = written(patterns(docs), "patterns")
     size, n, known = counted.agg(F.count("*"), F.sum("n"), F.sum("n_known")).first()
     if not n or known in (0, n):
-        return []
-    if size > MAX_PATTERNS:
-        raise ValueError(f"{size} patterns; the features' ranges allow no more than {MAX_PATTERNS}")
+        return b""
     names = [f"f{i}" for i in range(N_FEATURES)]
     wide = counted.select("*", *[F.get("features", F.lit(i)).cast("double").alias(f) for i, f in enumerate(names)])
-    vectors = VectorAssembler(inputCols=names, outputCol="vector").transform(wide)
-    weighted = vectors.select("vector", F.inline(F.array(
-        F.struct(F.lit(1.0).alias("label"), F.col("n_known").cast("double").alias("weight")),
-        F.struct(F.lit(0.0).alias("label"), (F.col("n") - F.col("n_known")).cast("double").alias("weight")))))
+    vectors = VectorAssembler(inputCols=names, outputCol="vector").transform(wide.withColumn("code", _code(F.col("features"))))
+    weighted = vectors.repartition(-(-size // FIT_ROWS), "code").sortWithinPartitions("code", "kind").select(
+        "vector", F.inline(F.array(
+            F.struct(F.lit(1.0).alias("label"), F.col("n_known").cast("double").alias("weight")),
+            F.struct(F.lit(0.0).alias("label"), (F.col("n") - F.col("n_known")).cast("double").alias("weight")))))
     model = GBTClassifier(featuresCol="vector", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH,
-                          seed=7, maxBins=16).fit(weighted.filter("weight > 0").coalesce(1))
-    # At most MAX_PATTERNS rows: calibrate on the driver.
-    rows = model.transform(vectors).select(
-        "kind", F.array_join("features", ",").alias("pattern"), "m", "m_known",
-        F.round(vector_to_array("probability")[1], 9).alias("score")).collect()
-    return sorted(p for kind in range(len(KINDS)) for p in _above([r for r in rows if r["kind"] == kind], precision))
-
-
-def _above(rows: list, precision: float) -> list[str]:
-    """Patterns of a kind from the lowest score on at which enough of all that score as much are validated."""
-    rows = sorted(rows, key=lambda r: -r["score"])
-    chosen, seen, right = 0, 0, 0
-    for i, row in enumerate(rows):
+                          seed=7, maxBins=16).fit(weighted.filter("weight > 0"))
+    scored = written(model.transform(vectors).select(
+        "kind", "code", "m", "m_known",
+        F.round(vector_to_array("probability")[1] * SCORES).cast("int").alias("score")), "scores")
+    # At most SCORES + 1 sums a kind.
+    sums = scored.groupBy("kind", "score").agg(F.sum("m").alias("m"), F.sum("m_known").alias("m_known")).collect()
+    least = {k: _least([r for r in sums if r["kind"] == k], precision) for k in range(len(KINDS))}
+    chosen = F.lit(False)
+    for kind, score in least.items():
+        if score is not None:
+            chosen = chosen | ((F.col("kind") == kind) & (F.col("score") >= score))
+    bits = (scored.filter(chosen).select("code").distinct().groupBy((F.col("code") / 8).cast("int").alias("byte"))
+            .agg(F.sum(F.call_function("shiftleft", F.lit(1), F.col("code") % 8)).cast("int").alias("bits")))
+    out = bytearray(-(-PATTERNS // 8))
+    for row in bits.toLocalIterator():
+        out[row["byte"]] = row["bits"]
+    return bytes(out.rstrip(b"\0"))
+
+
+def _least(rows: list, precision: float) -> int | None:
+    """The lowest score of a kind at which enough of all that score as much are validated."""
+    found, seen, right = None, 0, 0
+    for row in sorted(rows, key=lambda r: -r["score"]):
         seen, right = seen + row["m"], right + row["m_known"]
-        last = i + 1 == len(rows) or rows[i + 1]["score"] < row["score"]
-        if last and seen and right >= precision * seen:
-            chosen = i + 1
-    return [r["pattern"] for r in rows[:chosen]]
+        if seen and right >= precision * seen:
+            found = row["score"]
+    return found
+
+
+def _selected(features: Column, selected: bytes) -> Column:
+    """Whether a pattern's bit is set."""
+    return let(_code(features), lambda code: F.coalesce(F.conv(F.hex(F.substring(
+        F.lit(bytearray(selected)), (code / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int"), F.lit(0)).bitwiseAND(
+            F.call_function("shiftleft", F.lit(1), code % 8)) != 0)
 
 
-def find(docs: DataFrame, selected: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+def find(docs: DataFrame, selected: bytes, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, base and spans (start, kind number, end): validated ones, and those with the added ones.
 
     ``keep`` names columns that come through, with two underscores before their names.
     """
     def both(t):
         def more(b):
-            added = F.filter(candidates(t, b), lambda c: ~c["known"] & F.array_join(c["features"], ",").isin(selected))
+            added = F.filter(candidates(t, b), lambda c: ~c["known"] & _selected(c["features"], selected))
             plain = F.transform(added, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"),
                                                           c["end"].alias("end")))
             every = F.sort_array(F.array_distinct(F.concat(b, plain))) if selected else b
