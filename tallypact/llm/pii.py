@@ -54,6 +54,8 @@ CONTEXT_CHARS = 24
 PRECISION = 0.97
 #: Patterns in a partition of the table that trees are fitted on.
 FIT_ROWS = 20_000
+#: So many selected patterns are listed in a plan; more are a bitmap.
+MAX_LISTED = 2000
 #: Scores are calibrated in so many steps.
 SCORES = 10_000
 TREES, DEPTH = 10, 4
@@ -261,7 +263,10 @@ def _least(rows: list, precision: float) -> int | None:
 
 
 def _selected(features: Column, selected: bytes) -> Column:
-    """Whether a pattern's bit is set."""
+    """Whether a pattern's bit is set. Few bits are listed instead, which keeps plans small on the driver."""
+    codes = [8 * at + bit for at, byte in enumerate(selected) if byte for bit in range(8) if byte >> bit & 1]
+    if len(codes) <= MAX_LISTED:
+        return _code(features).isin(codes)
     return let(_code(features), lambda code: F.coalesce(F.conv(F.hex(F.substring(
         F.lit(bytearray(selected)), (code / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int"), F.lit(0)).bitwiseAND(
             F.call_function("shiftleft", F.lit(1), code % 8)) != 0)
