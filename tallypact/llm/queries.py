@@ -5,10 +5,13 @@ from __future__ import annotations
 from tallypact.llm import (
     chat,
     decontaminate,
+    fill_middle,
+    hard_negatives,
     kneser_ney,
     packing,
     pii,
     quality_rules,
+    sharding,
     simhash,
     substring_dedup,
     suffix_array,
@@ -33,8 +36,14 @@ QUERIES = {
     "op8_chat": lambda spark, sf_dir: chat.digest(chat.with_probe(table(spark, sf_dir, "conversations"))),
     "op9_toxicity": _documents(toxicity.digest, "labels"),
     "op10_pii": _documents(pii.digest),
+    "op11_fill_middle": _documents(fill_middle.digest),
+    "op12_hard_negatives": lambda spark, sf_dir: hard_negatives.digest(table(spark, sf_dir, "embeddings")),
+    "op13_sharding": _documents(sharding.digest),
 }
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.ORACLE,
     "op8_chat": chat.ORACLE,
+    "op11_fill_middle": fill_middle.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
+    "op13_sharding": sharding.ORACLE,
 }

@@ -169,3 +169,61 @@ def check_packing(rows, texts, encode, size=1024):
         assert at <= size
         padding += 0 if at & (at - 1) == 0 else size - at
     return padding
+
+
+def op11(docs, seed=7, rate=100, first=50):
+    out = []
+    for i, t in docs:
+        t = t or ""
+        lines = re.findall(r"[^\n]*\n|[^\n]+", t)
+        h = sha(f"{seed}:{'' if i is None else i}")
+        h1, h2, h3, h4 = (int(h[k:k + 8], 16) for k in (0, 8, 16, 24))
+        a, b = sorted((h1 % (len(lines) + 1), h2 % (len(lines) + 1)))
+        p, m, s = ("".join(x) for x in (lines[:a], lines[a:b], lines[b:]))
+        if not t or any(x in t for x in ("<P>", "<S>", "<M>")) or h3 % 100 >= rate:
+            out.append((i, len(lines), "plain", None, None, sha(t), sha(t)))
+        elif h4 % 100 < first:
+            out.append((i, len(lines), "spm", len(p), len(m), sha(f"<S>{s}<P>{p}<M>{m}"), sha(t)))
+        else:
+            out.append((i, len(lines), "psm", len(p), len(m), sha(f"<P>{p}<S>{s}<M>{m}"), sha(t)))
+    return out
+
+
+def op12(rows, every=100, positives=5, negatives=10):
+    """rows: (vec_id, vector, label)."""
+    taking = {}
+    for i, v, label in rows:
+        if i is None or label is None or v is None or not all(x is not None and np.isfinite(x) for x in v):
+            continue
+        entry = ((label + 1) % 10 if i % 7 == 0 else label, [int(np.floor(256 * float(np.float32(x)))) for x in v])
+        taking[i] = min(taking.get(i, entry), entry)
+    out = []
+    for a, (label, v) in taking.items():
+        if a % every:
+            continue
+        score = {i: sum(x * y for x, y in zip(v, w, strict=False)) for i, (_, w) in taking.items()}
+        ranked = sorted((i for i in taking if i != a), key=lambda i: (-score[i], i))
+        for p in [i for i in ranked if taking[i][0] == label][:positives]:
+            hard = [i for i in ranked if taking[i][0] != label and 30 * score[p] <= 100 * score[i] <= 90 * score[p]]
+            out += [(a, p, k + 1, i, score[p], score[i]) for k, i in enumerate(hard[:negatives])]
+    return out
+
+
+def op13(docs, shards=40, seed=13):
+    """docs: (doc_id, text, source)."""
+    by = {}
+    for i, t, source in docs:
+        t = t or ""
+        name = f"{seed}:{'' if i is None else i}:{hashlib.md5(t.encode()).hexdigest()}"
+        by.setdefault("" if source is None else "=" + source, []).append(
+            (int(hashlib.md5(name.encode()).hexdigest()[:15], 16), -1 if i is None else i, i, t))
+    order = []
+    for stratum, members in by.items():
+        for r, (h, key, i, t) in enumerate(sorted(members)):
+            order.append(((2 * r + 1) / (2 * len(members)), stratum, h, key, i, t))
+    n, used, out = len(order), [0] * shards, []
+    for place, (*_, i, t) in enumerate(sorted(order, key=lambda x: x[:4])):
+        shard = place * shards // n
+        out.append((i, len(t.encode()) + 16, zlib.crc32(t.encode()), "rows", shard, used[shard], None))
+        used[shard] += 1
+    return out
