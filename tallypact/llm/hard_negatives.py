@@ -7,10 +7,10 @@ are exact. A leaf is multiplied in float64 only where no sum can reach 2^53, els
 
 Per anchor a task keeps the best ``POSITIVES`` rows of the same label over all tiles it reads; these heaps are merged by
 anchor. In a second pass it keeps, per anchor and positive, the best ``NEGATIVES`` rows of other labels
-whose score is in the positive's window. Only heaps are shuffled: at most 5 or 50 rows per anchor and task. Which rows are
-anchors is stated beforehand, and every row meets every anchor as part of one block product; anchors are a table of blocks,
-broadcast only if Spark finds it small, else joined by block number. A task that holds heaps of too many blocks lets go
-of what it has, since heaps of one anchor may be merged in any parts.
+whose score is in the positive's window. Heaps are shuffled as at most 5 or 50 rows per anchor and task. Which rows are
+anchors is stated beforehand, and every row meets every anchor as part of one block product. Nothing is broadcast: tiles and
+blocks meet in the cells of a grid, for which a tile is copied once per ``BLOCK`` anchors and a block once per ``CELL`` tiles. A
+task that holds heaps of too many anchors lets go of what it has, since heaps of one anchor may be merged in any parts.
 
 Defined results: rows with a null label, vector or component or one that is not finite take no part, nor do rows with a null
 vec_id or with an integer component of ``LARGEST`` or more (a score might not fit). Vectors shorter than the longest are
@@ -20,6 +20,8 @@ positive, and positives without a negative, give no rows; an empty table gives n
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -36,6 +38,8 @@ ANCHORS_EVERY, RELABEL_EVERY, LABELS = 100, 7, 10
 LARGEST = 1 << 22
 #: Tiles of at most so many anchors and rows; a side of a product of at most ``LEAF`` is not halved.
 ANCHOR_TILE, ROW_TILE, LEAF = 1024, 2048, 32
+#: Anchors of a block, which a tile of rows meets as a whole; tiles of a cell of the grid; most partitions of the grid.
+BLOCK, CELL, CELLS = 8192, 4, 20_000
 #: Heap entries a task holds before it lets go of them.
 HELD = 1 << 20
 
@@ -104,12 +108,18 @@ def _tiles(rows: DataFrame, most: int) -> DataFrame:
         run, "ids array<long>, labels array<long>, width int, parts binary")
 
 
-def _met(blocks: DataFrame, tiles: DataFrame, buckets: int) -> DataFrame:
-    """Every tile of rows with every block of anchors (columns ``a_...``), by way of the blocks' buckets."""
-    dealt = blocks.select(F.pmod(F.xxhash64("block"), F.lit(buckets)).alias("bucket"),
-                          *[F.col(c).alias(f"a_{c}") for c in blocks.columns])
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))).alias("bucket")
-    return tiles.select("*", every).join(dealt, "bucket")
+def _met(blocks: DataFrame, tiles: DataFrame, buckets: int, parts: int) -> DataFrame:
+    """Every tile of rows with every block of anchors (columns ``a_...``), a cell of a grid per bucket of blocks and part of tiles."""
+    number = {"bucket": buckets, "part": parts}
+
+    def place(rows, column, mine, other):
+        of = F.pmod(F.xxhash64(column), F.lit(number[mine])).alias(mine)
+        rows = rows.select("*", of)
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(number[other] - 1).cast("long"))).alias(other)
+        return rows.select("*", every).repartition(min(buckets * parts, CELLS), "bucket", "part")
+
+    dealt = place(blocks.select(*[F.col(c).alias(f"a_{c}") for c in blocks.columns]), "a_block", "bucket", "part")
+    return place(tiles, F.col("ids")[0], "part", "bucket").join(dealt.hint("merge"), ["bucket", "part"])
 
 
 def _matrix(batch, i: int, prefix: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,12 +128,14 @@ def _matrix(batch, i: int, prefix: str) -> tuple[np.ndarray, np.ndarray, np.ndar
     return ids, labels, parts.reshape(len(ids), batch.column(prefix + "width")[i].as_py()).astype(np.int64)
 
 
-def _scores(batch, i: int):
-    """Anchors' ids and labels, rows' ids and labels, all scores."""
+def _scores(batch, i: int, most: int):
+    """Anchors' ids and labels, rows' ids and labels, all scores; up to ``most`` anchors at a time."""
     a_ids, a_labels, a = _matrix(batch, i, "a_")
     ids, labels, b = _matrix(batch, i, "")
     width = min(a.shape[1], b.shape[1])
-    return a_ids, a_labels, ids, labels, strassen(a[:, :width], b[:, :width].T)
+    b = np.ascontiguousarray(b[:, :width].T)
+    for at in range(0, len(a), most):
+        yield a_ids[at:at + most], a_labels[at:at + most], ids, labels, strassen(a[at:at + most, :width], b)
 
 
 def _best(group: np.ndarray, score: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
@@ -174,57 +186,69 @@ class _Heaps:
                 self.parts, self.size, self.floor = [], 0, 0
 
 
-def positives(blocks: DataFrame, tiles: DataFrame, buckets: int, most: int = POSITIVES) -> DataFrame:
+class Grid(NamedTuple):
+    """Tiles of all rows, blocks of anchors, and by how many buckets and parts they meet."""
+
+    blocks: DataFrame
+    tiles: DataFrame
+    buckets: int
+    parts: int
+    anchor_tile: int = ANCHOR_TILE
+
+
+def positives(grid: Grid, most: int = POSITIVES) -> DataFrame:
     """anchor_id, positive_id, positive_score: the best other rows of the anchor's label."""
     names = ("anchor_id", "score", "id")
+    side = grid.anchor_tile
 
     def run(batches):
         heaps = _Heaps(most, names)
         for batch in batches:
             for i in range(len(batch)):
-                a_ids, a_labels, ids, labels, scores = _scores(batch, i)
-                ok = (a_labels[:, None] == labels) & (a_ids[:, None] != ids)
-                line, column = _candidates(ok, scores, most)
-                heaps.add(a_ids[line], scores[line, column], ids[column])
-                yield from heaps.batches()
+                for a_ids, a_labels, ids, labels, scores in _scores(batch, i, side):
+                    ok = (a_labels[:, None] == labels) & (a_ids[:, None] != ids)
+                    line, column = _candidates(ok, scores, most)
+                    heaps.add(a_ids[line], scores[line, column], ids[column])
+                    yield from heaps.batches()
         yield from heaps.batches(last=True)
 
-    found = _met(blocks, tiles, buckets).mapInArrow(run, "anchor_id long, score long, id long")
+    found = _met(grid.blocks, grid.tiles, grid.buckets, grid.parts).mapInArrow(run, "anchor_id long, score long, id long")
     rank = F.row_number().over(Window.partitionBy("anchor_id").orderBy(F.desc("score"), "id"))
     return (found.withColumn("rank", rank).filter(F.col("rank") <= most)
             .select("anchor_id", F.col("id").alias("positive_id"), F.col("score").alias("positive_score")))
 
 
-def negatives(blocks: DataFrame, tiles: DataFrame, buckets: int, found: DataFrame, most: int = NEGATIVES,
-              window: tuple[int, int] = WINDOW) -> DataFrame:
+def negatives(grid: Grid, found: DataFrame, most: int = NEGATIVES, window: tuple[int, int] = WINDOW) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score."""
     low, high = window
     names = ("anchor_id", "positive_id", "positive_score", "score", "id")
+    side = grid.anchor_tile
     # Windows travel with the block of their anchor.
-    member = blocks.select("block", F.explode("ids").alias("anchor_id"))
-    windows = (found.join(member, "anchor_id").groupBy("block").agg(F.collect_list(
-        F.struct("anchor_id", "positive_id", "positive_score")).alias("windows")))
+    member = grid.blocks.select("block", F.explode("ids").alias("anchor_id"))
+    windows = (found.join(member, "anchor_id").groupBy("block").agg(F.array_sort(F.collect_list(
+        F.struct("anchor_id", "positive_id", "positive_score"))).alias("windows")))
 
     def run(batches):
         heaps = _Heaps(most, names)
         for batch in batches:
             for i in range(len(batch)):
-                a_ids, a_labels, ids, labels, scores = _scores(batch, i)
                 entry = batch.column("a_windows")[i].values
                 anchor, positive, bar = (np.asarray(entry.field(c), np.int64) for c in names[:3])
-                order = np.argsort(a_ids)
-                line = order[np.searchsorted(a_ids, anchor, sorter=order)]
-                # Few windows at a time, so that their scores need no more room than a tile.
-                for at in range(0, len(line), ANCHOR_TILE):
-                    part = line[at:at + ANCHOR_TILE]
-                    of, score = bar[at:at + ANCHOR_TILE, None], scores[part]
-                    ok = (a_labels[part, None] != labels) & (low * of <= 100 * score) & (100 * score <= high * of)
-                    row, column = _candidates(ok, score, most)
-                    heaps.add(anchor[at + row], positive[at + row], bar[at + row], score[row, column], ids[column])
-                    yield from heaps.batches()
+                for a_ids, a_labels, ids, labels, scores in _scores(batch, i, side):
+                    order = np.argsort(a_ids)
+                    mine = np.flatnonzero(np.isin(anchor, a_ids))
+                    line = order[np.searchsorted(a_ids, anchor[mine], sorter=order)]
+                    # As many windows at a time as a tile has anchors, so that they need no more room.
+                    for at in range(0, len(line), side):
+                        part, of = line[at:at + side], mine[at:at + side]
+                        score, mark = scores[part], bar[of, None]
+                        ok = (a_labels[part, None] != labels) & (low * mark <= 100 * score) & (100 * score <= high * mark)
+                        row, column = _candidates(ok, score, most)
+                        heaps.add(anchor[of[row]], positive[of[row]], bar[of[row]], score[row, column], ids[column])
+                        yield from heaps.batches()
         yield from heaps.batches(last=True)
 
-    mined = _met(blocks.join(windows, "block"), tiles, buckets).mapInArrow(
+    mined = _met(grid.blocks.join(windows, "block"), grid.tiles, grid.buckets, grid.parts).mapInArrow(
         run, "anchor_id long, positive_id long, positive_score long, score long, id long")
     rank = F.row_number().over(Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("score"), "id"))
     return (mined.withColumn("rank", rank).filter(F.col("rank") <= most)
@@ -233,16 +257,17 @@ def negatives(blocks: DataFrame, tiles: DataFrame, buckets: int, found: DataFram
 
 
 def mine(rows: DataFrame, is_anchor: Column, label: Column | None = None, positives_per_anchor: int = POSITIVES,
-         negatives_per_positive: int = NEGATIVES, window: tuple[int, int] = WINDOW, anchor_tile: int = ANCHOR_TILE,
-         row_tile: int = ROW_TILE) -> DataFrame:
+         negatives_per_positive: int = NEGATIVES, window: tuple[int, int] = WINDOW, block: int = BLOCK,
+         anchor_tile: int = ANCHOR_TILE, row_tile: int = ROW_TILE, cell: int = CELL) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score; ``is_anchor`` is over vec_id and label."""
     encoded = written(encode(rows, label), "vectors")
     tiles = written(_tiles(encoded, row_tile), "tiles")
     anchors = encoded.filter(is_anchor)
-    buckets = max(1, -(-anchors.count() // anchor_tile))
-    blocks = written(_tiles(anchors.repartition(buckets), anchor_tile).withColumn("block", F.col("ids")[0]), "blocks")
-    found = written(positives(blocks, tiles, buckets, positives_per_anchor), "positives")
-    return negatives(blocks, tiles, buckets, found, negatives_per_positive, window)
+    buckets = max(1, -(-anchors.count() // block))
+    blocks = written(_tiles(anchors.repartition(buckets), block).withColumn("block", F.col("ids")[0]), "blocks")
+    grid = Grid(blocks, tiles, buckets, max(1, -(-tiles.count() // cell)), anchor_tile)
+    found = written(positives(grid, positives_per_anchor), "positives")
+    return negatives(grid, found, negatives_per_positive, window)
 
 
 def digest(rows: DataFrame) -> DataFrame:

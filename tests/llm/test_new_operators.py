@@ -128,7 +128,7 @@ def test_hard_negatives(spark, embeddings):
 
 
 def test_hard_negatives_in_small_tiles(embeddings):
-    got = hard_negatives.mine(embeddings, F.col("vec_id") % 10 == 0, hard_negatives.relabelled(), 3, 4, anchor_tile=3, row_tile=7)
+    got = hard_negatives.mine(embeddings, F.col("vec_id") % 10 == 0, hard_negatives.relabelled(), 3, 4, block=10, anchor_tile=3, row_tile=7, cell=2)
     same(got, brute.op12(vectors(), 10, 3, 4))
 
 
