@@ -227,3 +227,24 @@ def op13(docs, shards=40, seed=13):
         out.append((i, len(t.encode()) + 16, zlib.crc32(t.encode()), "rows", shard, used[shard], None))
         used[shard] += 1
     return out
+
+
+def jaccard_groups(docs, size=5):
+    """The smallest doc_id of every document's group."""
+    found = []
+    for i, text in docs:
+        words = (text or "").encode().lower().split()
+        found.append((i, {tuple(words[k:k + size]) for k in range(max(1, len(words) - size + 1))}))
+    root = {i: i for i, _ in found}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, (a, x) in enumerate(found):
+        for b, y in found[:k]:
+            if len(x & y) * 5 >= 4 * len(x | y):
+                a_, b_ = sorted((find(a), find(b)))
+                root[b_] = a_
+    return {i: find(i) for i, _ in found}
