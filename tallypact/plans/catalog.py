@@ -136,6 +136,13 @@ def resolve(wordings: DataFrame, programs: DataFrame, items: DataFrame) -> DataF
                     F.coalesce(weaker, F.lit("unmatched")).alias("kind")))
 
 
+def unplaced(sightings: DataFrame, programs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows whose ``raw`` names no program of the catalog, by the whole ladder of :func:`resolve`."""
+    names = sightings.filter("raw is not null").select(F.col("raw").alias("program_raw"), F.lit(None).cast("string").alias("item_raw"))
+    lost = resolve(names, programs, items).filter("program_id is null").select(F.col("program_raw").alias("raw"))
+    return sightings.join(lost, "raw", "left_semi")
+
+
 def unmatched_queue(sightings: DataFrame, examples: int = 5) -> DataFrame:
     """Names the catalog could not place: count, first and last seen, a few examples.
 
@@ -156,6 +163,33 @@ def unmatched_queue(sightings: DataFrame, examples: int = 5) -> DataFrame:
     return counts.join(few, "normalised")
 
 
+QUEUE = ("normalised string, raw string, seen long, first_seen long, last_seen long, "
+         "examples array<struct<at: long, example: string>>")
+
+
+def queue_of(sightings: DataFrame, examples: int = 5) -> DataFrame:
+    """Sightings (raw, example, seen_at as a number) as rows of ``QUEUE``, which :func:`merge_queue` adds up."""
+    found = unmatched_queue(sightings, examples)
+    at = F.transform("examples", lambda e: F.struct(F.col("first_seen").cast("long").alias("at"), e.alias("example")))
+    return found.select("normalised", "raw", F.col("seen").cast("long").alias("seen"), F.col("first_seen").cast("long").alias("first_seen"),
+                        F.col("last_seen").cast("long").alias("last_seen"), at.alias("examples"))
+
+
+def merge_queue(stored: DataFrame, fresh: DataFrame, examples: int = 5) -> DataFrame:
+    """The queue after more sightings: counts add up, the first few different examples stay."""
+    new = fresh.select("normalised", *[F.col(c).alias(f"n_{c}") for c in fresh.columns if c != "normalised"])
+    both = stored.join(new, "normalised", "full_outer")
+    known = F.transform("examples", lambda e: e.example)
+    more = F.filter("n_examples", lambda e: ~F.coalesce(F.array_contains(known, e.example), F.lit(False)))
+    none = F.array().cast("array<struct<at: long, example: string>>")
+    kept = F.slice(F.concat(F.coalesce("examples", none), F.coalesce(more, none)), 1, examples)
+    zero = F.lit(0)
+    return both.select("normalised", F.coalesce("raw", "n_raw").alias("raw"),
+                       (F.coalesce("seen", zero) + F.coalesce("n_seen", zero)).alias("seen"),
+                       F.least("first_seen", "n_first_seen").alias("first_seen"),
+                       F.greatest("last_seen", "n_last_seen").alias("last_seen"), kept.alias("examples"))
+
+
 # --- derivation ------------------------------------------------------------------------------
 def scan_headings(tables: DataFrame) -> DataFrame:
     """(contract, program, item) pairs of pricing tables; a heading holds until the next one.

@@ -136,7 +136,7 @@ def _ordered_chunks(events: DataFrame) -> DataFrame:
     return in_chunks(slim, ["submission_id", "ts", "event_id"], CHUNK, "replay-chunks")
 
 
-def _entry_states(chunks: DataFrame) -> DataFrame:
+def _entry_states(chunks: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """State of each submission at the start of each of its chunks.
 
     A chunk acts on the machine as a map from every status to a status, held as one string with a
@@ -151,11 +151,16 @@ def _entry_states(chunks: DataFrame) -> DataFrame:
                     .agg(F.array_sort(F.collect_list(F.struct("chunk", "effect"))).alias("maps"))
                     .select("submission_id", F.col("run").alias("chunk"), "maps",
                             _compose("maps").alias("effect")))
-        upper = _entry_states(composed.drop("maps"))
+        upper = _entry_states(composed.drop("maps"), start)
         return _walk(composed.drop("effect").join(upper, ["submission_id", "chunk"]))
     whole = chunks.groupBy("submission_id").agg(
         F.array_sort(F.collect_list(F.struct("chunk", "effect"))).alias("maps"))
-    return _walk(whole.withColumn("entry", F.lit(lc.LETTERS["DRAFT"])))
+    if start is None:
+        return _walk(whole.withColumn("entry", F.lit(lc.LETTERS["DRAFT"])))
+    letter = lc.status_letter(F.col("status"))
+    begun = start.select("submission_id", letter.alias("entry"))
+    return _walk(whole.join(begun, "submission_id", "left").withColumn(
+        "entry", F.coalesce("entry", F.lit(lc.LETTERS["DRAFT"]))))
 
 
 def _compose(maps: str) -> Column:
@@ -175,8 +180,11 @@ def _walk(df: DataFrame) -> DataFrame:
             .select("submission_id", "e.chunk", "e.entry"))
 
 
-def replay(events: DataFrame) -> DataFrame:
-    """Every event with the status before and after it, and why it was refused if it was."""
+def replay(events: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """Every event with the status before and after it, and why it was refused if it was.
+
+    A submission starts from its status in ``start`` (submission_id, status), else as a draft.
+    """
     numbered = _ordered_chunks(events)
     packed = (numbered.groupBy("submission_id", "chunk")
               .agg(F.array_sort(F.collect_list(
@@ -184,7 +192,7 @@ def replay(events: DataFrame) -> DataFrame:
                   .alias("events")))
     effects = packed.select("submission_id", "chunk", F.aggregate(
         "events", F.lit(lc.IDENTITY), _apply).alias("effect"))
-    entries = _entry_states(effects)
+    entries = _entry_states(effects, start)
     start = F.struct(F.col("entry").alias("state"),
                      F.array().cast("array<string>").alias("before"))
     states = F.aggregate("events", start, lambda acc, e: F.struct(

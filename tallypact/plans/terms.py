@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallypact import fixed_values as fv
 from tallypact.functions import billing as bill_fn
@@ -58,6 +59,22 @@ def materialise(records: DataFrame, programs: DataFrame, items: DataFrame,
         "confidence", "needs_review", "body_hash", "calculation", "notes")
 
 
+def stored_schema(records: StructType) -> str:
+    """DDL of what :func:`materialise` makes of records of a schema."""
+    of = {f.name: f.dataType.simpleString() for f in records}
+    fixed = {"record_id": "string", "category": "string", "title": "string", "subtitle": "string", "unit_basis": "string",
+             "billing_class": "string", "program_id": "string", "item_id": "string", "catalog_match": "string",
+             "needs_review": "boolean", "body_hash": "string"}
+    names = [*DOCUMENT, "record_id", "ordinal", "info_type", "category", "title", "subtitle", "amount", "frequency",
+             "unit_basis", "billing_class", "program", "program_id", "item_id", "catalog_match", "confidence",
+             "needs_review", "body_hash", "calculation", "notes"]
+    return ", ".join(f"{c} {fixed.get(c) or of[c]}" for c in names)
+
+
+#: DDL of coverage rows beside the document version.
+COVERAGE = "program_id string, item_ids array<string>, priced_items bigint"
+
+
 def unmatched_names(terms: DataFrame) -> DataFrame:
     """Program wordings of terms the catalog could not place, once per document version."""
     return terms.filter("category = 'pricing' and program_id is null and program is not null"
@@ -98,6 +115,51 @@ def merge_terms(existing: DataFrame, fresh: DataFrame) -> DataFrame:
         (F.col("action") == "supersede").alias("superseded_now"))
 
 
+REVIEW_STATE = "approved boolean, corrected boolean, superseded boolean, changed_since_approval boolean, created_in long"
+
+
+def apply_reading(stored: DataFrame, fresh: DataFrame, reading: Column) -> DataFrame:
+    """Stored terms after a new reading of some document versions, by the rules of :func:`merge_terms`.
+
+    ``stored`` has the columns of ``fresh`` and ``REVIEW_STATE``. Terms of document versions that were not read
+    again stay as they are; ``reading`` is the number a term that is new keeps as ``created_in``.
+    """
+    keys = DOCUMENT + ["record_id"]
+    read = fresh.select(*DOCUMENT).distinct()
+    state = [c.split()[0] for c in REVIEW_STATE.split(", ")]
+    no = F.lit(False)
+    new = fresh.withColumns({"approved": no, "corrected": no, "superseded": no, "changed_since_approval": no,
+                             "created_in": reading.cast("long")})
+    columns = [*fresh.columns, *state]
+    old_side = stored.join(read, DOCUMENT, "left_semi").select(*keys, F.struct(*columns).alias("o"))
+    new_side = new.select(*keys, F.struct(*columns).alias("n"))
+    both = old_side.join(new_side, keys, "full_outer")
+    moved = (F.col("n").withField("needs_review", F.lit(True))
+             .withField("changed_since_approval", F.col("o.approved")).withField("corrected", F.col("o.corrected"))
+             .withField("notes", F.coalesce(F.col("o.notes"), F.col("n.notes")))
+             .withField("created_in", F.coalesce(F.col("o.created_in"), F.col("n.created_in"))))
+    after = (F.when(F.col("o").isNull(), F.col("n"))
+             .when(F.col("n").isNull(), F.col("o").withField("superseded", F.lit(True)))
+             .when(F.col("o.body_hash") == F.col("n.body_hash"), F.col("o").withField("superseded", no))
+             .otherwise(moved))
+    untouched = stored.join(read, DOCUMENT, "left_anti").select(*columns)
+    return both.select(after.alias("t")).select("t.*").unionByName(untouched)
+
+
+def approve(stored: DataFrame, decided: DataFrame) -> DataFrame:
+    """Stored terms with analysts' approvals; ``decided`` has the keys of a term and ``approved``."""
+    said = decided.select(*DOCUMENT, "record_id", F.col("approved").alias("said"))
+    return (stored.join(said, DOCUMENT + ["record_id"], "left")
+            .withColumn("changed_since_approval", F.when(F.col("said").isNull(), F.col("changed_since_approval")).otherwise(False))
+            .withColumn("approved", F.coalesce("said", "approved")).drop("said"))
+
+
+def replace_coverage(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Coverage after a reading: that of the document versions in ``fresh`` is rebuilt, other rows stay."""
+    read = fresh.select(*DOCUMENT).distinct()
+    return stored.join(read, DOCUMENT, "left_anti").unionByName(coverage(fresh).select(*stored.columns))
+
+
 # --- duplicate readings ----------------------------------------------------------------------
 def fold_readings(records: DataFrame, list_fields: list[str],
                   info_types: list[str] | None = None) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,16 +33,11 @@ def local_session(app: str = "tallypact", cores: str = "*", shuffle_partitions:
 
 
 def durable_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the shared checkpoint folder of this session.
+    """A fresh folder below the one the cluster names in ``spark.checkpoint.dir``, else below the warehouse.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only a local session, where every
-    task shares one disk, may fall back to a temporary folder.
+    Both can be reached by every executor.
     """
-    root = spark.conf.get(CHECKPOINT_KEY, None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="tallypact-")
+    root = spark.conf.get(CHECKPOINT_KEY, None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/tallypact"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -13,6 +13,7 @@ from tallypact.plans import catalog, changes, review, terms
 from tallypact.views import AS_OF
 from tallypact.workload import oracle_views as ov
 from tallypact.workload.money import ratio_sql
+from tallypact.workload.name_sql import UNPLACED
 from tallypact.workload.registry import query
 from tallypact.workload.scalars import sql_norm, sql_slug
 
@@ -103,6 +104,11 @@ def sightings(spark, d):
     return views.raw_names(spark, d)
 
 
+def unplaced(spark, d, names):
+    """The rows whose wording the catalog cannot place."""
+    return catalog.unplaced(names, views.catalog_programs(spark, d), views.catalog_items(spark, d))
+
+
 @query("D10_catalog_ladder", uses="raw_names programs program_keys", sql=f"""
 with r as (select distinct trim(raw) as raw from raw_names),
  a as (select *, {sql_norm("name || ' Plan'")} as alias_key from program_keys)
@@ -125,7 +131,16 @@ def catalog_ladder(spark, d):
                       F.coalesce("kind", F.lit("not equal")).alias("kind"))
 
 
-@query("J2_catalog_resolution")
+_RANKS = ov.quoted(fv.MATCH_KINDS)
+
+
+@query("J2_catalog_resolution", uses=f"{UNPLACED} item_names item_spellings item_ladder", sql=f"""
+select w.program_raw, w.item_raw, p.entry_id as program_id, i.entry_id as item_id,
+ case when i.entry_id is null then p.kind else ([{_RANKS}])[greatest(list_position([{_RANKS}], p.kind),
+   list_position([{_RANKS}], i.kind))] end as kind
+from (select distinct raw as program_raw, item_raw from raw_names) w
+join program_ladder p on p.raw = w.program_raw
+left join item_ladder i on i.scope = p.entry_id and i.raw = w.item_raw""")
 def catalog_resolution(spark, d):
     """Program and item of every distinct wording, similarity included."""
     wordings = sightings(spark, d).select(F.col("raw").alias("program_raw"),
@@ -134,9 +149,9 @@ def catalog_resolution(spark, d):
                            views.catalog_items(spark, d))
 
 
-@query("E20_unmatched_queue", uses="raw_names", sql=f"""
+@query("E20_unmatched_queue", uses=UNPLACED, sql=f"""
 with s as (select *, {sql_norm('raw')} as normalised, cast(engagement_id as varchar) as example
-  from raw_names where raw like 'unlisted%'),
+  from raw_names where raw in (from unplaced)),
  x as (select * from (select normalised, example, row_number() over (partition by normalised
   order by first_at, example) as n from (select normalised, example, min(l_shipdate) as first_at
   from s group by all)) where n <= 5)
@@ -146,7 +161,7 @@ select s.normalised, s.seen, strftime(first_seen, '%Y-%m-%d') as first_seen,
  from s group by all) s join (select normalised, string_agg(example, ',' order by n) as examples
  from x group by all) x using (normalised)""")
 def unmatched_queue(spark, d):
-    rows = sightings(spark, d).filter("raw like 'unlisted%'").select(
+    rows = unplaced(spark, d, sightings(spark, d)).select(
         "raw", F.col("engagement_id").cast("string").alias("example"),
         F.col("l_shipdate").alias("seen_at"))
     return catalog.unmatched_queue(rows).select(
@@ -649,8 +664,7 @@ def corrections(spark, d):
 
 
 def queue_rows(spark, d):
-    return (sightings(spark, d).filter("raw like 'unlisted%'").select("raw")
-            .distinct().withColumn("normalised", normalise_name(F.col("raw"))))
+    return (unplaced(spark, d, sightings(spark, d).select("raw").distinct()).withColumn("normalised", normalise_name(F.col("raw"))))
 
 
 @query("J27_catalog_aliases", uses="raw_names programs program_keys", sql=f"""
@@ -665,19 +679,18 @@ def catalog_aliases(spark, d):
         "program_id", F.array_join("aliases", "|").alias("aliases"))
 
 
-@query("J27_queue_after_edits", uses="raw_names", sql=f"""
-select distinct {sql_norm('raw')} as normalised from raw_names where raw like 'unlisted%'
-and raw not like '% TIN' and raw not like '%BRASS'""")
+@query("J27_queue_after_edits", uses=UNPLACED, sql=f"""
+select distinct {sql_norm('raw')} as normalised from unplaced where {sql_norm('raw')} not in (
+ select {sql_norm('raw')} from unplaced where raw like '% TIN' or raw like '%BRASS' or raw like 'cold%')""")
 def queue_after_edits(spark, d):
     queue = queue_rows(spark, d)
-    edits = queue.filter("raw like '% TIN' or raw like '%BRASS'").select(
+    edits = queue.filter("raw like '% TIN' or raw like '%BRASS' or raw like 'cold%'").select(
         F.col("raw").alias("alias"))
     return changes.close_unmatched(queue, edits).select("normalised").distinct()
 
 
-@query("J27_promotions", uses="raw_names", sql=f"""
-with q as (select distinct raw, {sql_norm('raw')} as normalised from raw_names
-  where raw like 'unlisted%'),
+@query("J27_promotions", uses=UNPLACED, sql=f"""
+with q as (select distinct raw, {sql_norm('raw')} as normalised from unplaced),
  p as (select raw, case when length(raw) % 2 = 0 then 'Promoted ' || raw else raw end as name
   from q) select {sql_slug('name')} as program_id, name,
   case when raw <> name then raw else '' end as aliases from p""")

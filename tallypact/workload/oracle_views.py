@@ -275,3 +275,16 @@ from audit_events a join (values {", ".join(
     f"('{a}', '{t}', '{r}')" for a, sends in fv.NOTIFICATION_ROUTES.items()
     for t, roles in sends for r in roles)}) v(act, template, r) on act = action
 join memberships m on m.engagement_id = a.submission_id and m.role = r"""
+
+#: Events that arrive in three parts, each in order of time after the parts before.
+LATE_REPLAY_SQL = f"""
+with recursive ev as (select *, row_number() over (partition by submission_id order by event_id % 3, ts, event_id) as rn
+  from ({VIEWS["audit_events"]})),
+ walk as (select submission_id, 0::bigint as rn, null::bigint as event_id, null::varchar as status_before,
+   'DRAFT' as status_after from (select distinct submission_id from ev)
+  union all select e.submission_id, e.rn, e.event_id, w.status_after, coalesce(t.target, w.status_after)
+  from walk w join ev e on e.submission_id = w.submission_id and e.rn = w.rn + 1
+  left join transitions t on t.source = w.status_after and t.act = e.action and t.role = e.actor_role)
+select submission_id, event_id, status_before, exists(select 1 from transitions t, ev e where e.event_id = w.event_id
+  and t.source = status_before and t.act = e.action and t.role = e.actor_role) as accepted, status_after
+from walk w where rn > 0"""

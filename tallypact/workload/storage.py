@@ -15,8 +15,9 @@ from tallypact.workload import oracle_views as ov
 from tallypact.workload.agreements import DOCS
 from tallypact.workload.contract_terms import CATEGORY_SQL, stored_terms
 from tallypact.workload.money import SQL_LINES, billed
+from tallypact.workload.name_sql import UNPLACED
 from tallypact.workload.registry import query
-from tallypact.workload.scalars import sql_money, sql_norm, sql_slug
+from tallypact.workload.scalars import reuploads, sql_money, sql_norm, sql_slug
 
 
 # --- sources and sinks -----------------------------------------------------------------------
@@ -223,32 +224,122 @@ def money_boundary(spark, d):
 
 
 # --- streams ---------------------------------------------------------------------------------
-@query("K1_document_arrival", uses=f"{DOCS} ranked", sql="""
-select document_id, engagement_id, doc_type, ranked_standing from ranked""")
-def document_arrival(spark, d):
-    stream = jobs.arrivals(spark, d, "documents")
-    return jobs.document_arrival(views.agreements_of(stream)).select(
-        "document_id", "engagement_id", "doc_type", "ranked_standing")
+ARRIVALS, BUCKETS = 3, 8
 
 
-@query("K2_lifecycle_state", uses="audit_events transitions replayed", sql="""
-select submission_id, event_id, status_before, accepted, status_after from replayed""")
-def lifecycle_state(spark, d):
-    stream = jobs.arrivals(spark, d, "events")
-    return jobs.lifecycle_state(views.audit_events_of(stream))
+def arriving(spark, rows, purpose, part, run):
+    """``rows`` arrive in three parts, the files of each in the folder before ``run`` is called on a stream over it.
 
+    ``part`` numbers a row's part from 0. Every call of ``run`` goes on with the same state.
+    """
+    folder, state = durable_dir(spark, f"{purpose}-in"), durable_dir(spark, purpose)
+    out = None
+    for n in range(ARRIVALS):
+        rows.filter(part == n).write.mode("append").parquet(folder)
+        out = run(spark.readStream.schema(rows.schema).parquet(folder), state)
+    return out
 
-@query("K3_term_arrival", uses="records", sql=f"""
-with r as (select document_id, version, {ov.SQL_RECORD_ID} as record_id, {CATEGORY_SQL} as kind,
-  ordinal from records)
-select document_id, version, record_id, kind as category from r qualify row_number() over (
- partition by document_id, version, record_id order by ordinal) = 1""")
+
+@query("K1_document_arrival", uses=f"{DOCS} ranked sanity", sql="""
+select document_id, engagement_id, doc_type, ranked_standing,
+ case when document_id % 3 = 0 and reasons <> '' then 'refused' else 'parsed' end as version_status,
+ case when document_id % 3 = 0 then reasons else '' end as reasons from ranked join sanity using (document_id)""")
+def document_arrival(spark, d):
+    """Later parts replace earlier winners; every third document is a re-upload and passes the gate or not."""
+    rows = reuploads(spark, d).withColumnRenamed("client", "client_name").withColumn(
+        "reupload", F.col("document_id") % 3 == 0)
+    out = arriving(spark, rows, "documents", F.pmod(F.col("document_id") * 7, F.lit(ARRIVALS)),
+                   lambda stream, state: jobs.document_arrival(stream, state, BUCKETS))
+    return out.select("document_id", "engagement_id", "doc_type", "ranked_standing", "version_status", "reasons")
+
+
+@query("K2_lifecycle_state", uses="transitions", sql=ov.LATE_REPLAY_SQL)
+def lifecycle_state(spark, d):
+    """Events arrive in three parts that overlap in time; a late event applies when it arrives."""
+    rows = views.audit_events(spark, d)
+    return arriving(spark, rows, "events", F.pmod(F.col("event_id"), F.lit(ARRIVALS)),
+                    lambda stream, state: jobs.lifecycle_state(stream, state, BUCKETS))
+
+
+READING_SQL = f"""
+with lined as (select *, split_part(ordinal, '-', 2)::int as line, split_part(ordinal, '-', 3)::bigint as part,
+   split_part(ordinal, '-', 4)::bigint as supp from records),
+ read as (select l.* replace (case when info_type = 'pricing_item' and supp % 5 = 4 then 'unlisted zone ' || supp
+    else program end as program, case when g = 2 and supp % 3 = 0 then 'moved' else notes end as notes), g
+  from lined l, range(3) r(g) where (line + part + g) % 4 <> 0),
+ keyed as (select *, {ov.SQL_RECORD_ID} as record_id, {CATEGORY_SQL} as term_category from read),
+ fresh as (select *, md5(concat_ws('|', info_type, coalesce(program, '~'), coalesce(item, '~'), coalesce(frequency, '~'),
+    coalesce(amount::varchar, '~'), coalesce(calculation, '~'), coalesce(included::varchar, '~'), coalesce(rate_pct::varchar, '~'),
+    coalesce(category, '~'), coalesce(contract_sub_section, '~'), coalesce(report_name, '~'), coalesce(term, '~'),
+    coalesce(definition, '~'), coalesce(tool_name, '~'), coalesce(platform, '~'), coalesce(topic, '~'), coalesce(task, '~'),
+    coalesce(responsible_party, '~'), coalesce(company, '~'), coalesce(name, '~'), coalesce(description, '~'),
+    coalesce(notes, '~'))) as body,
+   (confidence <= 0.8 or quote is null or (info_type = 'pricing_item' and (program like 'unlisted%' or (item is not null
+    and not included and amount is null and calculation is null)))) as review
+  from keyed qualify row_number() over (partition by document_id, version, record_id, g order by ordinal) = 1),
+ last_read as (select document_id, version, max(g) as g from fresh group by all)"""
+
+
+def readings(spark, d):
+    """Every document version read up to three times: lines come and go, and the last reading changes notes."""
+    part = F.split("ordinal", "-")
+    line, p, supp = part[1].cast("int"), part[2].cast("long"), part[3].cast("long")
+    rows = views.records(spark, d).withColumn("g", F.explode(F.array(*[F.lit(g) for g in range(ARRIVALS)])))
+    rows = rows.filter((line + p + F.col("g")) % 4 != 0)
+    lost = (F.col("info_type") == "pricing_item") & (supp % 5 == 4)
+    return (rows.withColumn("program", F.when(lost, F.concat(F.lit("unlisted zone "), supp.cast("string"))).otherwise(F.col("program")))
+            .withColumn("notes", F.when((F.col("g") == 2) & (supp % 3 == 0), "moved").otherwise(F.col("notes"))))
+
+
+def arrived(spark, d) -> jobs.TermArrival:
+    programs, items = views.catalog_programs(spark, d), views.catalog_items(spark, d)
+    return arriving(spark, readings(spark, d), "records", F.col("g"),
+                    lambda stream, state: jobs.term_arrival(stream.drop("g"), programs, items, state, BUCKETS))
+
+
+@query("K3_term_arrival", uses="records", sql=f"""{READING_SQL},
+ steps as (select *, lag(body) over w as was, first_value(review) over w as first_review, first_value(g) over w as first_g
+  from fresh window w as (partition by document_id, version, record_id order by g))
+select document_id, version, record_id, arg_max(term_category, s.g) as category, max(s.g) <> l.g as superseded,
+ bool_or(first_review or was <> body) as needs_review, min(first_g)::bigint as created_in
+from steps s join last_read l using (document_id, version) group by document_id, version, record_id, l.g""")
 def term_arrival(spark, d):
-    stream = jobs.arrivals(spark, d, "lineitem")
-    records = views.records_of(views.with_parts(spark, d, stream))
-    return jobs.term_arrival(records, views.catalog_programs(spark, d),
-                             views.catalog_items(spark, d)).select(
-        "document_id", "version", "record_id", "category")
+    """Three readings of every document, merged batch by batch."""
+    return arrived(spark, d).terms.rows().select(
+        "document_id", "version", "record_id", "category", "superseded", "needs_review", "created_in")
+
+
+@query("K3_arrival_effects", uses="records", sql=f"""{READING_SQL},
+ filed as (select o_orderkey as document_id, o_custkey as engagement_id, (1 + o_orderkey % 2)::int as current_version
+  from orders where o_orderstatus <> 'P'),
+ live as (select f.* from fresh f join last_read using (document_id, version, g)),
+ covered as (select document_id, version, program, count(*) filter (amount is not null or coalesce(calculation, '') <> '')
+   as priced from live where term_category = 'pricing' and program not like 'unlisted%' group by all),
+ sighted as (select distinct document_id, version, g, program from fresh
+  where term_category = 'pricing' and program like 'unlisted%')
+select 'coverage' as effect, document_id::varchar as name, count(*)::bigint as rows, sum(priced)::bigint as total
+ from covered group by document_id
+union all select 'unmatched', {sql_norm('program')}, count(*)::bigint,
+ (least(5, count(distinct document_id)) + 10 * min(g) + 100 * max(g))::bigint from sighted group by 2
+union all select 'ready', engagement_id::varchar, count(*)::bigint, bool_and(version is not null)::bigint
+ from filed left join (select distinct document_id, version from fresh) x on x.document_id = filed.document_id
+  and version = current_version group by engagement_id""")
+def arrival_effects(spark, d):
+    """What arrival keeps beside the terms: coverage, the queue of unmatched names, and who may go on."""
+    tables = arrived(spark, d)
+    filed = views.table(spark, d, "orders").filter("o_orderstatus <> 'P'").select(
+        F.col("o_orderkey").alias("document_id"), F.col("o_custkey").alias("engagement_id"),
+        (1 + F.col("o_orderkey") % 2).cast("int").alias("current_version"), F.lit("CURRENT").alias("standing"))
+    text = lambda c: F.col(c).cast("string").alias("name")
+    covered = tables.coverage.rows().groupBy("document_id").agg(
+        F.count("*").alias("rows"), F.sum("priced_items").alias("total"))
+    ready = tables.ready(filed).join(filed.groupBy("engagement_id").agg(F.count("*").alias("rows")), "engagement_id")
+    queue = tables.unmatched.rows()
+    return (covered.select(F.lit("coverage").alias("effect"), text("document_id"), "rows", "total")
+            .unionByName(queue.select(F.lit("unmatched").alias("effect"), text("normalised"), F.col("seen").alias("rows"), (
+                F.size("examples") + 10 * F.col("first_seen") + 100 * F.col("last_seen")).cast("long").alias("total")))
+            .unionByName(ready.select(F.lit("ready").alias("effect"), text("engagement_id"), "rows",
+                                      F.col("all_extracted").cast("long").alias("total"))))
 
 
 @query("K4_notification_outbox", uses="audit_events memberships", sql=ov.OUTBOX_SQL)
@@ -258,10 +349,10 @@ def notification_outbox(spark, d):
     return jobs.notification_outbox(stream, views.memberships(spark, d))
 
 
-@query("K5_unmatched_counter", uses="raw_names", sql=f"""
-select {sql_norm('raw')} as normalised, count(*) as seen from raw_names
-where raw like 'unlisted%' group by 1""")
+@query("K5_unmatched_counter", uses=UNPLACED, sql=f"""
+select {sql_norm('raw')} as normalised, count(*) as seen from raw_names where raw in (from unplaced) group by 1""")
 def unmatched_counter(spark, d):
-    stream = jobs.arrivals(spark, d, "lineitem")
-    names = views.raw_names_of(views.with_parts(spark, d, stream)).filter("raw like 'unlisted%'")
-    return jobs.unmatched_counter(names)
+    programs, items = views.catalog_programs(spark, d), views.catalog_items(spark, d)
+    return arriving(spark, views.raw_names(spark, d).select("raw", "engagement_id"), "names",
+                    F.pmod(F.col("engagement_id"), F.lit(ARRIVALS)),
+                    lambda stream, state: jobs.unmatched_counter(stream, programs, items, state, BUCKETS))
