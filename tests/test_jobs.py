@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallypact import fixed_values as fv
-from tallypact.operators import similarity
+from tallypact.operators import containment, similarity
 from tallypact.operators.containment import passages_in
 from tallypact.operators.matching import in_order_matches
 from tallypact.operators.ordered import with_next
@@ -380,3 +380,28 @@ def test_positions_cross_chunks(spark):
     rows = [(k, (i * 7) % 50) for k in (1, 2, None) for i in range(50)]
     out = with_position(spark.createDataFrame(rows, "k int, v int"), "k", ["v"], "p", size=4)
     assert out.count() == 150 and out.filter("p <> v + 1").count() == 0
+
+
+@pytest.mark.parametrize("direct", [0, 256])
+def test_many_quotes_of_one_document(spark, monkeypatch, direct):
+    """Quotes found whole, in part, on a hinted page, or nowhere; with and without seeds."""
+    monkeypatch.setattr(containment, "DIRECT", direct)
+    rng = random.Random(9)
+    pages = [(n, [" ".join(rng.choice(WORDS) for _ in range(30))]) for n in range(1, 41)]
+    docs = spark.createDataFrame([(1, pages), (2, [(1, ["other words"])])],
+                                 "document_id int, pages array<struct<page_number:int,lines:array<string>>>")
+    streams = {n: "".join(lines[0].split()) for n, lines in pages}
+    asks, want = [], {}
+    for k in range(800):
+        n, at, size = rng.randint(1, 40), rng.randint(0, 15), rng.randint(1, 12)
+        words = pages[n - 1][1][0].split()[at:at + size]
+        cut = k % 3 == 0 and size >= 4
+        asks.append((str(k), 1, " ".join(words + (["zz9"] if cut else [])), n if k % 2 else None))
+        text = "".join(words)
+        holding = [p for p, s in streams.items() if text in s]
+        want[str(k)] = (n if k % 2 else holding[0], text)
+    asks += [("none", 1, "qq ww rr tt yy", None), ("blank", 1, "  ", None), ("elsewhere", 2, pages[0][1][0], None)]
+    found = citations.locate(spark.createDataFrame(asks, "citation_id string, document_id int, quote string, page_hint int"), docs)
+    got = {r.citation_id: (r.page_number, r.found) for r in found.collect()}
+    assert all(got[k] == v for k, v in want.items())
+    assert got["none"] == got["blank"] == got["elsewhere"] == (None, None)
