@@ -122,16 +122,28 @@ def amount_agreement(pairs: DataFrame, by: list[str]) -> DataFrame:
 def programs_matched(expected: DataFrame, got: DataFrame) -> DataFrame:
     """Expected program names that were found: equal, or the words of one within the other's.
 
-    Both inputs are distinct (run_id, program). Pairs come from shared words. A name without
-    significant words is within every name, so any name of the run matches it.
+    Both inputs are distinct (run_id, program). A name can only be within another that has its rarest word, so a pair
+    meets on the rarest word of one of its names; a word that all names share brings no pair together unless it is all that
+    a name has. A name without significant words is within every name, so any name of the run matches it.
     """
     def worded(df, name):
         return df.select("run_id", F.col("program").alias(name),
                          key_words(F.col("program")).alias(f"{name}_words"))
 
     want, have = worded(expected, "want"), worded(got, "have")
-    pairs = (want.withColumn("w", F.explode("want_words"))
-             .join(have.withColumn("w", F.explode("have_words")), ["run_id", "w"]))
+    each_want = want.withColumn("w", F.explode("want_words"))
+    each_have = have.withColumn("w", F.explode("have_words"))
+    uses = (each_want.select("run_id", "w").unionByName(each_have.select("run_id", "w"))
+            .groupBy("run_id", "w").agg(F.count("*").alias("uses")))
+
+    def rarest(each, name):
+        return (each.join(uses, ["run_id", "w"]).groupBy("run_id", name)
+                .agg(F.min(F.struct("uses", "w")).alias("r"), F.first(f"{name}_words").alias(f"{name}_words"))
+                .select("run_id", F.col("r.w").alias("w"), name, f"{name}_words"))
+
+    columns = ["run_id", "want", "want_words", "have", "have_words"]
+    pairs = (rarest(each_want, "want").join(each_have, ["run_id", "w"]).select(*columns)
+             .unionByName(rarest(each_have, "have").join(each_want, ["run_id", "w"]).select(*columns)))
     inside = ((F.size(F.array_except("want_words", "have_words")) == 0)
               | (F.size(F.array_except("have_words", "want_words")) == 0))
     hit = pairs.filter(inside).select("run_id", "want")
