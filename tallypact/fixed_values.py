@@ -54,6 +54,9 @@ CLIENT_VISIBLE_ACTIONS = [
     "approve_billing", "user_invited", "user_added",
 ]
 
+#: Number of the format that stored change reviews are kept under.
+REVIEW_FORMAT = 3
+
 THREAD_LABELS = {
     "engagement_created": "Engagement created",
     "submit_to_client": "Terms submitted to client",

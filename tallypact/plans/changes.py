@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tallypact.functions import terms as term_fn
 from tallypact.functions.text import normalise_name, slugify
 from tallypact.operators.records import last_by
+from tallypact.session import cut_lineage
+from tallypact.sources.batch_table import BatchTable
 
 
 def apply_overrides(terms: DataFrame, patches: DataFrame, key: str) -> DataFrame:
@@ -68,6 +70,15 @@ def upsert(base: DataFrame, changes: DataFrame, keys: list[str], order: Column)
     return last_by(both, keys, rank, values).select(*base.columns)
 
 
+def upsert_into(table: BatchTable, number: int, batch: DataFrame, order: Column) -> None:
+    """Batch ``number`` of changes written into a keyed table, last writer per key; a retry changes nothing.
+
+    Files of buckets without a change stay as they are. ``order`` reads the batch, and rows stored before give way to it.
+    """
+    given = cut_lineage(batch.withColumn("_at", order), "upsert")
+    table.merge(number, given, lambda old, new: upsert(old, new, table.key, F.col("_at")))
+
+
 def add_aliases(programs: DataFrame, edits: DataFrame) -> DataFrame:
     """Catalog aliases after a batch of (program_id, alias) edits; names are never aliases."""
     fresh = (edits.withColumn("alias", F.trim("alias")).filter("alias <> ''").distinct()

@@ -9,6 +9,7 @@ from tallypact import fixed_values as fv
 from tallypact.functions import lifecycle as lc
 from tallypact.operators.ordered import CHUNK, in_chunks
 from tallypact.operators.records import last_by
+from tallypact.plans.documents import stored_slots
 
 
 def _cycle_order(preferred: Column) -> Column:
@@ -83,6 +84,21 @@ def amendment_eligibility(cycles: DataFrame, documents: DataFrame) -> DataFrame:
                     refusal.alias("discard_refused")))
 
 
+def open_amendments(cycles: DataFrame) -> DataFrame:
+    """The draft that opens on every engagement whose current cycle may be amended.
+
+    It starts from the agreements of the cycle it amends: ``cycles`` has the map document_ids and the older fields
+    msa_document_id and mla_document_id, and the draft's map is made of either.
+    """
+    held = cycles.select("submission_id", stored_slots(
+        F.col("document_ids"), F.col("msa_document_id"), F.col("mla_document_id")).alias("document_ids"))
+    slim = cycles.select("engagement_id", "submission_id", "cycle", "created_at", "status")
+    return (open_cycle(slim).filter(lc.can_amend(F.col("status")))
+            .join(next_cycle(slim), "engagement_id").join(held, "submission_id")
+            .select("engagement_id", F.col("submission_id").alias("amends"), F.col("next_cycle").alias("cycle"),
+                    F.lit("DRAFT").alias("status"), "document_ids"))
+
+
 def document_eligibility(current: DataFrame) -> DataFrame:
     """What may be done with an engagement's agreements in the status of its open cycle."""
     status = F.coalesce("status", F.lit("DRAFT"))

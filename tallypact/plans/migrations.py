@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallypact.plans.documents import stored_slots
+
 
 def name_key(name: Column) -> Column:
     return F.lower(F.trim(name))
@@ -27,6 +29,16 @@ def customers_from_names(linked: DataFrame) -> DataFrame:
         F.min_by(F.trim("client_name"), "engagement_id").alias("legal_name"))
 
 
+def fill_slots(cycles: DataFrame) -> DataFrame:
+    """Cycles with their slot map filled from the two older fields where it is empty; ``filled`` tells where that was.
+
+    A filled map is kept, so a rerun changes nothing.
+    """
+    slots = stored_slots(F.col("document_ids"), F.col("msa_document_id"), F.col("mla_document_id"))
+    bare = F.coalesce(F.size("document_ids"), F.lit(0)) <= 0
+    return (cycles.withColumn("filled", bare & (F.size(slots) > 0)).withColumn("document_ids", slots))
+
+
 def duplicate_customers(customers: DataFrame) -> DataFrame:
     """Names that more than one customer carries, ignoring case and outer spaces."""
     return (customers.groupBy(name_key(F.col("legal_name")).alias("name_key"))

@@ -76,13 +76,39 @@ def changed_programs(pairs: DataFrame, lines: DataFrame) -> DataFrame:
         joined("old_n").alias("before"), joined("new_n").alias("after"))
 
 
-def comparison_signature(pairs: DataFrame) -> DataFrame:
-    """What a stored review depends on: both sides of the comparison."""
-    return pairs.select("document_id", F.concat(
-        F.col("document_id").cast("string"), F.lit(":"),
-        F.col("current_version").cast("string"), F.lit("<"),
-        F.col("previous_id").cast("string"), F.lit(":"),
-        F.col("previous_version").cast("string")).alias("signature"))
+def reviews(in_force: DataFrame, pairs: DataFrame, requests: DataFrame) -> DataFrame:
+    """Per engagement what its client asked for and the key a stored review is kept under.
+
+    ``in_force`` has engagement_id, doc_type, document_id and version; ``requests`` engagement_id and requested. The
+    key names both sides of every comparison and the request, so a change of either drops the stored review.
+    Engagements none of whose agreements has an earlier reading are left out.
+    """
+    earlier = pairs.select("document_id", F.concat(
+        F.lit("<"), F.col("previous_id").cast("string"), F.lit(":"),
+        F.col("previous_version").cast("string")).alias("earlier"))
+    side = F.concat(F.col("document_id").cast("string"), F.lit(":"), F.col("version").cast("string"),
+                    F.coalesce("earlier", F.lit("")))
+    # An engagement has a slot per type, so at most two agreements are in force.
+    signed = (in_force.join(earlier, "document_id", "left").groupBy("engagement_id")
+              .agg(F.array_sort(F.collect_list(F.struct("doc_type", side.alias("side")))).alias("sides"),
+                   F.count("earlier").alias("compared"))
+              .filter("compared > 0"))
+    asked = F.coalesce("requested", F.lit(""))
+    key = F.concat(F.lit(f"v{fv.REVIEW_FORMAT}::"), F.array_join("sides.side", "|"), F.lit("::"),
+                   F.substring(F.md5(asked), 1, 8))
+    return signed.join(requests, "engagement_id", "left").select(
+        "engagement_id", asked.alias("requested"), key.alias("cache_key"))
+
+
+def review_items(in_force: DataFrame, pairs: DataFrame, requests: DataFrame, lines: DataFrame) -> DataFrame:
+    """The changes that the reviews list, one row per program of an agreement in force."""
+    live = in_force.select("engagement_id", "document_id", "doc_type")
+    changes = changed_programs(pairs.join(live.select("document_id"), "document_id", "left_semi"), lines)
+    return (changes.join(live, "document_id")
+            .join(reviews(in_force, pairs, requests), "engagement_id")
+            .select("engagement_id", "document_id", "doc_type", "cache_key", "service",
+                    F.when(F.col("requested") != "", F.col("requested")).otherwise("—").alias("requested"),
+                    F.concat("before", F.lit(" → "), "after").alias("delivered"), F.lit("new").alias("status")))
 
 
 def latest_request(events: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Room for edits between two batches.
 STEP = 1000
@@ -27,6 +28,10 @@ class BatchTable:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
 
+    def _buckets_of(self, keys: DataFrame) -> set[int]:
+        """Buckets that keys fall in; at most one row per bucket comes to the driver."""
+        return {r["bucket"] for r in keys.select(self._bucket().alias("bucket")).distinct().collect()}
+
     def _numbers(self) -> list[int]:
         """Numbers of the changes that have a manifest."""
         root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
@@ -56,18 +61,31 @@ class BatchTable:
 
     def before(self, epoch: int, keys: DataFrame) -> DataFrame:
         """The rows of the buckets of ``keys`` as they were before batch ``epoch``."""
-        touched = {r["bucket"] for r in keys.select(self._bucket().alias("bucket")).distinct().collect()}
+        touched = self._buckets_of(keys)
         return self._read({b: n for b, n in self.files((epoch + 1) * STEP).items() if b in touched})
 
+    def of(self, keys: DataFrame) -> DataFrame:
+        """The rows of the keys in ``keys``; buckets that none of them falls in are not read."""
+        touched = self._buckets_of(keys)
+        rows = self._read({b: n for b, n in self.files().items() if b in touched})
+        return rows.join(keys.select(*self.key).distinct(), self.key, "left_semi")
+
+    def at(self, *values) -> DataFrame:
+        """The rows of one key, given by its values: one bucket, whose row groups the filter prunes (rows are sorted by key)."""
+        types = [StructType.fromDDL(self.schema)[c] for c in self.key]
+        rows = self.of(self.spark.createDataFrame([values], StructType(types)))
+        for name, value in zip(self.key, values, strict=True):
+            rows = rows.filter(F.col(name).eqNullSafe(F.lit(value)))
+        return rows
+
     def _change(self, number: int, batch: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
         before = self.files(number)
-        # At most one row per bucket comes to the driver.
-        touched = {r["bucket"] for r in batch.select(self._bucket().alias("bucket")).distinct().collect()}
+        touched = self._buckets_of(batch)
         old = self._read({b: n for b, n in before.items() if b in touched})
         folder = f"{self.path}/data/{number}"
         names = old.columns
         changed = combine(old, batch).select(*names).withColumn("bucket", self._bucket())
-        changed.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        changed.hint("rebalance", "bucket").sortWithinPartitions("bucket", *self.key).write.mode("overwrite").partitionBy("bucket").parquet(folder)
         # A bucket that came out empty has no folder and no entry.
         kept = self.spark.read.schema(f"{self.schema}, bucket int").parquet(folder).select("bucket").distinct().collect()
         now = {b: n for b, n in before.items() if b not in touched} | {r["bucket"]: number for r in kept}

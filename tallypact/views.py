@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallypact.fixed_values import BODY_CLASSES
+from tallypact.operators.ordered import with_position
 
 AS_OF = "2000-06-30"
 
@@ -78,12 +79,11 @@ def engagements(spark, sf_dir):
 
 def submissions(spark, sf_dir):
     """Review cycles numbered in order of opening; a customer is the engagement here."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, sf_dir, "orders").select(
+    rows = table(spark, sf_dir, "orders").select(
+        "o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus")
+    return with_position(rows, "o_custkey", ["o_orderdate", "o_orderkey"], "cycle").select(
         F.col("o_custkey").alias("engagement_id"), F.col("o_orderkey").alias("submission_id"),
-        F.row_number().over(order).cast("int").alias("cycle"),
+        F.col("cycle").cast("int"),
         F.col("o_orderdate").cast("date").alias("created_at"),
         by_value(F.col("o_orderstatus"), {"F": "ACTIVE", "O": "PENDING_CLIENT_APPROVAL"}, "DRAFT")
         .alias("status"))
@@ -236,7 +236,7 @@ def agreements_of(documents: DataFrame) -> DataFrame:
            "see master lease agreement. ",
     }, "")
     return documents.select(
-        F.col("doc_id").alias("document_id"), (F.col("doc_id") % 50).alias("engagement_id"),
+        F.col("doc_id").alias("document_id"), F.floor(F.col("doc_id") / 20).alias("engagement_id"),
         F.concat(lead, F.col("text")).alias("full_text"), F.col("doc_id").alias("created_ord"))
 
 

@@ -90,18 +90,27 @@ def reconciliation(spark, d):
     return documents.reconcile(docs(spark, d), stored_parties(spark, d))
 
 
-@query("F8_slot_map", uses="submissions", sql="""
-select submission_id, case when cycle % 2 = 0 then 'MSA:' || submission_id else concat_ws(',',
+SQL_SLOTS = """case when cycle % 2 = 0 then 'MSA:' || submission_id else concat_ws(',',
   case when submission_id % 3 <> 0 then 'MLA:' || (submission_id + 1) end,
-  case when submission_id % 5 <> 0 then 'MSA:' || (submission_id + 2) end) end as slots
-from submissions""")
-def slot_map(spark, d):
+  case when submission_id % 5 <> 0 then 'MSA:' || (submission_id + 2) end) end"""
+
+
+def slotted_cycles(spark, d):
+    """Review cycles with their agreements: a slot map, or the two older fields where it is empty."""
     sid = F.col("submission_id")
-    stored = F.when(F.col("cycle") % 2 == 0, F.create_map(F.lit("MSA"), sid)).otherwise(
-        F.create_map().cast("map<string,bigint>"))
-    msa, mla = F.when(sid % 5 != 0, sid + 2), F.when(sid % 3 != 0, sid + 1)
-    return (views.submissions(spark, d)
-            .withColumn("m", documents.stored_slots(stored, msa, mla))
+    return views.submissions(spark, d).withColumns({
+        "document_ids": F.when(F.col("cycle") % 2 == 0, F.create_map(F.lit("MSA"), sid))
+        .otherwise(F.create_map().cast("map<string,bigint>")),
+        "msa_document_id": F.when(sid % 5 != 0, sid + 2),
+        "mla_document_id": F.when(sid % 3 != 0, sid + 1)})
+
+
+@query("F8_slot_map", uses="submissions", sql=f"""
+select submission_id, {SQL_SLOTS} as slots from submissions""")
+def slot_map(spark, d):
+    return (slotted_cycles(spark, d)
+            .withColumn("m", documents.stored_slots(
+                F.col("document_ids"), F.col("msa_document_id"), F.col("mla_document_id")))
             .select("submission_id", documents.slot_text("m").alias("slots")))
 
 
@@ -146,8 +155,7 @@ def all_extracted(spark, d):
     return documents.all_extracted(docs(spark, d), doc_versions(spark, d))
 
 
-@query("D13_predecessor", uses=f"{DOCS} ranked pricing_terms", sql="""
-with t as (select distinct document_id as td, version as tv from pricing_terms),
+ov.VIEWS["predecessors"] = """with t as (select distinct document_id as td, version as tv from pricing_terms),
  older as (select * from ranked r join t on td = document_id and tv = current_version
   where ranked_standing = 'SUPERSEDED'),
  pick as (select d.document_id, d.current_version, o.document_id as previous_id,
@@ -158,7 +166,11 @@ with t as (select distinct document_id as td, version as tv from pricing_terms),
 select document_id, current_version, document_id as previous_id, current_version - 1
   as previous_version from ranked where current_version >= 2
 union all select document_id, current_version, previous_id, previous_version from pick
-where rn = 1""")
+where rn = 1"""
+
+
+@query("D13_predecessor", uses=f"{DOCS} ranked pricing_terms predecessors",
+       sql="select * from predecessors")
 def predecessor(spark, d):
     ranked = documents.rank_standing(docs(spark, d)).withColumn(
         "standing", F.col("ranked_standing"))
@@ -495,16 +507,51 @@ def changed_programs(spark, d):
     return review.changed_programs(revisions(spark, d), term_lines(spark, d))
 
 
-@query("J13_change_review", uses=LINES, sql=f"""
-select document_id, concat(document_id, ':2<', document_id, ':1') as signature, service,
-  before || ' → ' || after as delivered, 'new' as status from ({REVIEW_SQL})""")
+ov.VIEWS["reviews"] = f"""select engagement_id, coalesce(any_value(comment), '') as requested,
+  'v{fv.REVIEW_FORMAT}::' || string_agg(r.document_id || ':' || r.current_version || coalesce('<' ||
+   previous_id || ':' || previous_version, ''), '|' order by doc_type) || '::'
+   || substr(md5(coalesce(any_value(comment), '')), 1, 8) as cache_key
+  from ranked r left join predecessors p on p.document_id = r.document_id
+  left join (select submission_id as sid, comment from audit_events
+   where action = 'client_request_changes' and comment is not null qualify row_number() over (
+   partition by submission_id order by ts desc, event_id desc) = 1) on sid = engagement_id
+  where ranked_standing = 'CURRENT' and doc_type <> 'UNKNOWN' group by engagement_id
+  having count(previous_id) > 0"""
+REVIEWS = f"{DOCS} ranked {LINES} predecessors audit_events reviews"
+
+
+def reviewed(spark, d):
+    """Agreements in force, what each is compared with, and the last request of each client."""
+    requests = review.latest_request(views.audit_events(spark, d)).withColumnRenamed(
+        "submission_id", "engagement_id")
+    return in_force(spark, d), predecessor(spark, d), requests
+
+
+@query("J13_reviews", uses=REVIEWS, sql="select * from reviews")
+def change_reviews(spark, d):
+    return review.reviews(*reviewed(spark, d))
+
+
+@query("J13_change_review", uses=REVIEWS, sql="""
+with p as (select p.*, engagement_id, doc_type from predecessors p join ranked using (document_id)
+  where ranked_standing = 'CURRENT' and doc_type <> 'UNKNOWN'),
+ n as (select p.document_id, l.program_key, l.display, l.pricing from p join priced_programs l
+  on l.document_id = p.document_id and l.version = p.current_version),
+ o as (select p.document_id, l.program_key, l.display, l.pricing from p join priced_programs l
+  on l.document_id = p.previous_id and l.version = p.previous_version),
+ c as (select coalesce(n.document_id, o.document_id) as document_id,
+  coalesce(n.display, o.display) as service, coalesce(o.pricing, '(not present)') as before,
+  coalesce(n.pricing, '(not present)') as after from n full join o
+  on o.document_id = n.document_id and o.program_key = n.program_key
+  where n.pricing is distinct from o.pricing)
+select p.engagement_id, p.document_id, doc_type, cache_key, service,
+  coalesce(nullif(requested, ''), '—') as requested, before || ' → ' || after as delivered,
+  'new' as status from c join p using (document_id)
+join reviews r on r.engagement_id = p.engagement_id""")
 def change_review(spark, d):
-    pairs = revisions(spark, d)
-    changes = review.changed_programs(pairs, term_lines(spark, d))
-    return (changes.join(review.comparison_signature(pairs), "document_id")
-            .select("document_id", "signature", "service", F.concat(
-                "before", F.lit(" → "), "after").alias("delivered"),
-                F.lit("new").alias("status")))
+    """Items of the reviews of :func:`change_reviews`."""
+    live, pairs, requests = reviewed(spark, d)
+    return review.review_items(live, pairs, requests, term_lines(spark, d))
 
 
 THREAD_CASE = ov.case_of("action", fv.THREAD_LABELS)

@@ -118,7 +118,7 @@ VIEWS = {
         from events""",
     "provider_directory": """select s_suppkey as user_id,
         concat('staff', s_suppkey, '@example.com') as email, s_name as name from supplier""",
-    "agreements": """select doc_id as document_id, doc_id % 50 as engagement_id,
+    "agreements": """select doc_id as document_id, doc_id // 20 as engagement_id,
         concat(case doc_id % 5
          when 0 then 'MASTER LEASE AGREEMENT effective as of January 5, 2024. '
          when 1 then 'Master Services Agreement dated as of 3 March 2022. '

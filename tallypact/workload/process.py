@@ -11,8 +11,9 @@ from tallypact.functions import fleet as fleet_fn
 from tallypact.functions import lifecycle as lc
 from tallypact.operators.ordered import with_position
 from tallypact.operators.records import dimension, last_by
-from tallypact.plans import fleet, lifecycle, migrations, people
+from tallypact.plans import documents, fleet, lifecycle, migrations, people
 from tallypact.workload import oracle_views as ov
+from tallypact.workload.agreements import SQL_SLOTS, slotted_cycles
 from tallypact.workload.money import ratio_sql
 from tallypact.workload.registry import query
 from tallypact.workload.scalars import SQL_DUTY
@@ -209,6 +210,14 @@ def customers_from_names(spark, d):
     return migrations.customers_from_names(linked_engagements(spark, d))
 
 
+@query("J21_slots_from_legacy", uses="submissions", sql=f"""
+select submission_id, {SQL_SLOTS} as slots, cycle % 2 = 1 and {SQL_SLOTS} <> '' as filled
+from submissions""")
+def slots_from_legacy(spark, d):
+    return (migrations.fill_slots(slotted_cycles(spark, d))
+            .select("submission_id", documents.slot_text("document_ids").alias("slots"), "filled"))
+
+
 @query("J22_status_since", uses="engagements review_cycles cycle_in_force", sql="""
 select e.engagement_id, strftime(coalesce(case when e.engagement_id % 4 = 0 then e.created_at
   end, s.created_at, e.created_at), '%Y-%m-%d') as status_since
@@ -265,6 +274,18 @@ def amendment_eligibility(spark, d):
     return lifecycle.amendment_eligibility(views.submissions(spark, d), docs)
 
 
+@query("J29_opened_amendments", uses="submissions", sql=f"""
+with cur as ({_ranked("case when status <> 'ACTIVE' then 1 else 0 end")}),
+ nx as (select engagement_id as eid, max(cycle) + 1 as next_cycle from submissions group by all),
+ held as (select submission_id as sid, {SQL_SLOTS} as slots from submissions)
+select engagement_id, submission_id as amends, next_cycle as cycle, 'DRAFT' as status, slots
+from cur join nx on nx.eid = engagement_id join held on sid = submission_id
+where status = 'ACTIVE'""")
+def opened_amendments(spark, d):
+    return (lifecycle.open_amendments(slotted_cycles(spark, d))
+            .withColumn("slots", documents.slot_text("document_ids")).drop("document_ids"))
+
+
 @query("J30_document_eligibility", uses="submissions", sql=f"""
 select engagement_id, status, status in ({ov.quoted(fv.OPEN_FOR_DOCUMENTS)}) as can_upload,
   status in ({ov.quoted(fv.OPEN_FOR_DOCUMENTS)}) as can_delete,
@@ -295,7 +316,11 @@ ov.VIEWS["people"] = """select user_id, min(email) as email, arg_min(name, engag
    count(distinct customer_id) as customers
   from memberships m left join (select engagement_id as eid, customer_id from engagements)
    on eid = engagement_id where role = 'client' group by user_id"""
-ov.VIEWS["staff"] = """select user_id from memberships where role <> 'client'
+#: Every second person is a client wherever they are, so that staff and customers both exist.
+ov.VIEWS["sided"] = """select * replace (case when user_id % 2 = 1 then 'client' else role end
+   as role) from memberships"""
+ov.VIEWS["sided_people"] = ov.VIEWS["people"].replace("memberships", "sided")
+ov.VIEWS["staff"] = """select user_id from sided where role <> 'client'
   union select user_id from provider_directory"""
 PEOPLE = "engagements memberships provider_directory people"
 
@@ -336,43 +361,37 @@ def notification_routing(spark, d):
 
 SQL_CANDIDATES = """with target as (select customer_id, max(engagement_id) as engagement_id
    from engagements group by customer_id),
- pc as (select distinct user_id, customer_id from memberships m join engagements e
+ pc as (select distinct user_id, customer_id from sided m join engagements e
   on e.engagement_id = m.engagement_id where role = 'client'),
  cand as (select t.engagement_id, pc.user_id, p.name, p.email from target t join pc
-  on pc.customer_id = t.customer_id join people p on p.user_id = pc.user_id
-  where not exists (select 1 from memberships m where m.engagement_id = t.engagement_id
+  on pc.customer_id = t.customer_id join sided_people p on p.user_id = pc.user_id
+  where not exists (select 1 from sided m where m.engagement_id = t.engagement_id
    and m.user_id = pc.user_id) and pc.user_id not in (select user_id from staff))"""
 
 
 def candidate_rows(spark, d):
     """Candidates for the newest engagement of each customer."""
     engagements = views.engagements(spark, d)
-    members = views.memberships(spark, d)
+    members = views.memberships(spark, d).withColumn("role", F.when(
+        F.col("user_id") % 2 == 1, "client").otherwise(F.col("role")))
     targets = engagements.groupBy("customer_id").agg(
         F.max("engagement_id").alias("engagement_id"))
     met = people.person_customers(members, engagements, F.col("engagement_id"))
-    return people.candidates(person_rows(spark, d), met, targets, members,
-                             staff_rows(spark, d))
-
-
-def staff_rows(spark, d):
-    """Staff: the directory, and provider-side people who are never clients of anyone.
-
-    In this data everybody has a client row somewhere, so the directory decides.
-    """
-    return views.provider_directory(spark, d).select("user_id")
+    directory = people.person_directory(members, engagements, F.col("engagement_id"))
+    return people.candidates(directory, met, targets, members,
+                             people.staff(members, views.provider_directory(spark, d)))
 
 
-ov.VIEWS["staff"] = "select user_id from provider_directory"
+CANDIDATES = "engagements memberships provider_directory sided sided_people staff"
 
 
-@query("D16_candidates", uses=f"{PEOPLE} staff", sql=f"""
+@query("D16_candidates", uses=CANDIDATES, sql=f"""
 {SQL_CANDIDATES} select engagement_id, user_id from cand""")
 def candidates(spark, d):
     return candidate_rows(spark, d).select("engagement_id", "user_id")
 
 
-@query("G4_candidate_shortlist", uses=f"{PEOPLE} staff", sql=f"""
+@query("G4_candidate_shortlist", uses=CANDIDATES, sql=f"""
 {SQL_CANDIDATES} select engagement_id, user_id, row_number() over (partition by engagement_id
   order by lower(coalesce(name, email)), user_id) as position, count(*) over (
   partition by engagement_id) as total from cand qualify position <= 25""")

@@ -10,16 +10,20 @@ from tallypact.functions.text import decimal_text
 from tallypact.plans import billing, changes
 from tallypact.session import durable_dir
 from tallypact.sources import payloads, tables
+from tallypact.sources.batch_table import BatchTable
 from tallypact.streaming import jobs
 from tallypact.workload import oracle_views as ov
 from tallypact.workload.agreements import DOCS
-from tallypact.workload.contract_terms import CATEGORY_SQL, stored_terms
+from tallypact.workload.contract_terms import CATEGORY_SQL, coverage_rows, stored_terms
 from tallypact.workload.money import SQL_LINES, billed
 from tallypact.workload.name_sql import UNPLACED
 from tallypact.workload.registry import query
 from tallypact.workload.scalars import reuploads, sql_money, sql_norm, sql_slug
 
 
+BUCKETS = 8
+
+
 # --- sources and sinks -----------------------------------------------------------------------
 @query("A1_load_entity", uses="customers", sql="select * from customers")
 def load_entity(spark, d):
@@ -54,6 +58,44 @@ def keyed_reads(spark, d):
     return terms_.unionByName(units)
 
 
+def keyed_table(spark, rows, name, key):
+    """``rows`` as a table that is read by ``key``."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    made = BatchTable(spark, durable_dir(spark, name), schema, [key], BUCKETS)
+    made.merge(0, rows, lambda old, new: new)
+    return made
+
+
+@query("A2_reads_by_key", uses="customers engagements memberships provider_directory vehicles "
+       "pricing_terms coverage", sql="""
+select 'coverage' as source, program_id as key, count(*) as n from coverage
+ where program_id in (select p_name || ' Program' from part) group by 2
+union all select 'engagements', cast(customer_id as varchar), count(*) from engagements
+ where customer_id in (select customer_id from customers where status = 'INACTIVE') group by 2
+union all select 'memberships', cast(user_id as varchar), count(*) from memberships
+ where user_id in (select user_id from provider_directory) group by 2
+union all select 'vehicles', cast(engagement_id as varchar), count(*) from vehicles
+ where engagement_id in (select engagement_id from engagements where status = 'ACTIVE') group by 2""")
+def reads_by_key(spark, d):
+    """Coverage by program, engagements by customer, memberships by user and vehicles by engagement."""
+    deals = views.engagements(spark, d).select("engagement_id", "customer_id", "status")
+    units = views.vehicles(spark, d).select("vehicle_id", "engagement_id").filter("engagement_id is not null")
+    reads = [
+        ("coverage", coverage_rows(spark, d).select("document_id", "version", "program_id"), "program_id",
+         views.programs(spark, d).select(F.concat("name", F.lit(" Program")).alias("program_id"))),
+        ("engagements", deals, "customer_id", views.customers(spark, d).filter("status = 'INACTIVE'")),
+        ("memberships", views.memberships(spark, d).select("engagement_id", "user_id", "role"), "user_id",
+         views.provider_directory(spark, d)),
+        ("vehicles", units, "engagement_id", deals.filter("status = 'ACTIVE'"))]
+    out = None
+    for name, rows, key, asked in reads:
+        found = keyed_table(spark, rows, name, key).of(asked.select(key))
+        part = found.groupBy(F.col(key).cast("string").alias("key")).agg(F.count("*").alias("n")).select(
+            F.lit(name).alias("source"), "key", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def raw_payloads(spark, d):
     """A JSON text per order: whole, cut off, wrapped in a string, junk, or one object."""
     kind = F.when(F.col("l_partkey") % 25 == 0, "mystery").otherwise("pricing_item")
@@ -196,11 +238,19 @@ def write_extraction(spark, d):
         F.count("*").alias("n")).select(F.lit("runs").alias("source"), "n"))
 
 
-@query("A9_upsert", uses="engagements", sql="""
-select engagement_id, case when engagement_id % 4 = 0 then 'SECOND' when engagement_id % 2 = 0
-  then 'FIRST' else status end as status from engagements
-union all select -engagement_id, 'NEW' from engagements where engagement_id % 1000 = 1""")
+UPSERT_SQL = """select engagement_id, case when engagement_id % 4 = 0 then 'SECOND'
+  when engagement_id % 2 = 0 then 'FIRST' else status end as status from engagements
+union all select -engagement_id, 'NEW' from engagements where engagement_id % 1000 = 1"""
+
+
+@query("A9_upsert", uses="engagements", sql=UPSERT_SQL)
 def upsert(spark, d):
+    base, first, second, new = status_changes(spark, d)
+    return changes.upsert(base, first.unionByName(second).unionByName(new), ["engagement_id"],
+                          F.col("at").cast("timestamp"))
+
+
+def status_changes(spark, d):
     base = views.engagements(spark, d).select("engagement_id", "status")
     first = base.filter("engagement_id % 2 = 0").select(
         "engagement_id", F.lit("FIRST").alias("status"), F.lit("2000-01-01").alias("at"))
@@ -209,8 +259,18 @@ def upsert(spark, d):
     new = base.filter("engagement_id % 1000 = 1").select(
         (-F.col("engagement_id")).alias("engagement_id"), F.lit("NEW").alias("status"),
         F.lit("2000-01-03").alias("at"))
-    return changes.upsert(base, first.unionByName(second).unionByName(new), ["engagement_id"],
-                          F.col("at").cast("timestamp"))
+    return base, first, second, new
+
+
+@query("A9_written_upsert", uses="engagements", sql=UPSERT_SQL)
+def written_upsert(spark, d):
+    """Two batches written into a table keyed by engagement; the second comes twice, as after a failure."""
+    base, first, second, new = status_changes(spark, d)
+    stored = keyed_table(spark, base, "statuses", "engagement_id")
+    later = second.unionByName(new)
+    for number, batch in ((1, first), (2, later), (2, later)):
+        changes.upsert_into(stored, number, batch, F.col("at").cast("timestamp"))
+    return stored.rows()
 
 
 @query("A11_money_boundary", uses="", sql=f"""
@@ -224,7 +284,7 @@ def money_boundary(spark, d):
 
 
 # --- streams ---------------------------------------------------------------------------------
-ARRIVALS, BUCKETS = 3, 8
+ARRIVALS = 3
 
 
 def arriving(spark, rows, purpose, part, run):

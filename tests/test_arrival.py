@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallypact import fixed_values as fv
 from tallypact.operators import ordered
-from tallypact.plans import catalog, lifecycle, terms
+from tallypact.plans import catalog, changes, lifecycle, migrations, review, terms
 from tallypact.sources.batch_table import BatchTable
 from tallypact.streaming import jobs
 
@@ -63,6 +63,31 @@ def test_a_bucket_may_become_empty(spark, table):
     assert rows_of(table.before(2, batch(spark, [(1, 0)]))) in ([], [(2, 1)])
 
 
+def test_reads_by_key_open_their_bucket_only(spark, table):
+    table.merge(0, batch(spark, [(k % 20, k) for k in range(100)]), lambda old, new: new)
+    one = table.at(7)
+    assert rows_of(one) == [(7, k) for k in range(7, 100, 20)]
+    assert len(one.inputFiles()) == 1 < len(table.rows().inputFiles())
+    asked = batch(spark, [(3, 0), (3, 1), (50, 0)]).drop("n")
+    assert {r.k for r in table.of(asked).collect()} == {3} and table.of(asked).count() == 5
+    assert rows_of(table.at(50)) == [] and rows_of(table.at(None)) == []
+
+
+def test_written_upsert_keeps_untouched_files(spark, tmp_path):
+    stored = BatchTable(spark, str(tmp_path), "k bigint, v string", ["k"], 8)
+    stored.merge(0, spark.createDataFrame([(k, "base") for k in range(40)] + [(None, "base")], "k bigint, v string"),
+                 lambda old, new: new)
+    before = set(stored.rows().inputFiles())
+    change = spark.createDataFrame([(5, "early", 1), (5, "late", 2), (77, "new", 1), (None, "null", 1)],
+                                   "k bigint, v string, at int").withColumn("at", F.timestamp_seconds("at"))
+    for _ in range(2):
+        changes.upsert_into(stored, 1, change, F.col("at"))
+        now = {r.k: r.v for r in stored.rows().collect()}
+        assert (now[5], now[77], now[None], now[6]) == ("late", "new", "null", "base") and len(now) == 42
+    after = set(stored.rows().inputFiles())
+    assert 1 <= len(before - after) <= 3 and before & after
+
+
 def reading(spark, rows):
     shape = terms.stored_schema(spark.createDataFrame([], RECORD).schema)
     made = {"engagement_id": 1, "category": "pricing", "needs_review": False}
@@ -171,3 +196,41 @@ def test_documents_of_several_files(spark, tmp_path):
     assert seen[0] == {10: ("CURRENT", "parsed"), 11: ("SUPERSEDED", "parsed")}
     assert seen[2][12] == ("CURRENT", "refused") and seen[2][10] == ("SUPERSEDED", "parsed")
     assert seen[2][13][0] == "CURRENT" and seen[2][14] == ("SUPERSEDED", "parsed")
+
+
+CYCLE = ("engagement_id int, submission_id int, cycle int, created_at int, status string, document_ids map<string,int>, "
+         "msa_document_id int, mla_document_id int")
+
+
+def test_slots_are_carried_forward(spark):
+    cycles = spark.createDataFrame([
+        (1, 10, 1, 0, "ACTIVE", {"MSA": 5}, None, 9), (2, 20, 1, 0, "ACTIVE", {}, 7, 8), (3, 30, 1, 0, "ACTIVE", None, None, None),
+        (4, 40, 1, 0, "ACTIVE", {"MLA": 3}, None, None), (4, 41, 2, 1, "DRAFT", {}, None, None)], CYCLE)
+    opened = {r.engagement_id: r for r in lifecycle.open_amendments(cycles).collect()}
+    assert set(opened) == {1, 2, 3}
+    assert [opened[e].document_ids for e in (1, 2, 3)] == [{"MSA": 5}, {"MSA": 7, "MLA": 8}, {}]
+    assert {(r.amends, r.cycle, r.status) for r in opened.values()} == {(10, 2, "DRAFT"), (20, 2, "DRAFT"), (30, 2, "DRAFT")}
+    filled = migrations.fill_slots(cycles)
+    assert {r.submission_id for r in filled.filter("filled").collect()} == {20}
+    assert migrations.fill_slots(filled).filter("filled").count() == 0
+
+
+def test_reviews_name_both_sides_and_the_request(spark):
+    live = spark.createDataFrame([(1, "MSA", 11, 2), (1, "MLA", 12, 1), (2, "MSA", 21, 1)],
+                                 "engagement_id int, doc_type string, document_id int, version int")
+    pairs = spark.createDataFrame([(11, 2, 11, 1), (99, 2, 99, 1)],
+                                  "document_id int, current_version int, previous_id int, previous_version int")
+    lines = spark.createDataFrame([(11, 1, "fuel", "Fuel", "card: $1"), (11, 2, "fuel", "Fuel", "card: $2"),
+                                   (11, 2, "toll", "Toll", "tag: $3"), (11, 1, "same", "Same", "x"), (11, 2, "same", "Same", "x")],
+                                  "document_id int, version int, program_key string, program string, line string")
+    asked = spark.createDataFrame([(1, "cheaper")], "engagement_id int, requested string")
+    keys = {}
+    for name, requests in (("asked", asked), ("none", asked.limit(0))):
+        (header,) = review.reviews(live, pairs, requests).collect()
+        assert header.engagement_id == 1 and header.cache_key.startswith("v3::12:1|11:2<11:1::")
+        keys[name] = header.cache_key
+        items = {r.service: r for r in review.review_items(live, pairs, requests, lines).collect()}
+        assert set(items) == {"Fuel", "Toll"} and items["Fuel"].delivered == "card: $1 → card: $2"
+        assert items["Toll"].delivered == "(not present) → tag: $3"
+        assert items["Toll"].requested == ("cheaper" if name == "asked" else "—")
+    assert keys["asked"] != keys["none"]
