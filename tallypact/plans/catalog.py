@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallypact import fixed_values as fv
+from tallypact.functions.folds import fold_out
 from tallypact.functions.text import clean_heading, normalise_name, slugify
 from tallypact.operators.similarity import close_pairs, pruning_floor
 from tallypact.session import cut_lineage
@@ -203,24 +204,18 @@ def scan_headings(tables: DataFrame) -> DataFrame:
         F.get(F.filter(F.transform(row, clean_heading), lambda h: h.isNotNull()), F.lit(0))
         .alias("heading"),
         F.coalesce(F.get(row, F.lit(0)), F.lit("")).alias("label")))
-    flat = tables.select("contract", marked.alias("m"))
-    start = F.struct(F.lit("").alias("current"),
-                     F.array().cast("array<struct<program:string,item:string>>").alias("out"))
+    pair = "struct<program:string,item:string>"
 
-    def step(acc, row):
+    def step(current, row):
         label = row.label
-        usable = ((acc.current != "") & (F.length(label) > 4) & (F.length(label) < 80)
+        usable = ((current != "") & (F.length(label) > 4) & (F.length(label) < 80)
                   & ~(label.rlike("[A-Z]") & (label == F.upper(label))))
         found = F.when(row.heading.isNotNull(), F.array(F.struct(
             row.heading.alias("program"), F.lit(None).cast("string").alias("item"))))
-        found = found.when(usable, F.array(F.struct(
-            acc.current.alias("program"), label.alias("item"))))
-        none = F.array().cast("array<struct<program:string,item:string>>")
-        return F.struct(F.coalesce(row.heading, acc.current).alias("current"),
-                        F.concat(acc.out, found.otherwise(none)).alias("out"))
-
-    folded = F.aggregate("m", start, step)
-    return flat.select("contract", F.inline(folded.out))
+        found = found.when(usable, F.array(F.struct(current.alias("program"), label.alias("item"))))
+        return F.coalesce(row.heading, current), found.otherwise(F.array().cast(f"array<{pair}>"))
+
+    return tables.select("contract", F.inline(fold_out(marked, F.lit(""), step, pair).out))
 
 
 def cluster_names(counts: DataFrame, by: list[str] | None = None) -> DataFrame:

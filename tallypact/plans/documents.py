@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tallypact import fixed_values as fv
 from tallypact.functions import documents as fn
+from tallypact.functions.binding import let
+from tallypact.functions.folds import fold_out
 from tallypact.operators.records import last_by
 
 
@@ -160,6 +162,8 @@ def discard_versions(documents: DataFrame, versions: DataFrame,
 
 # --- page windows ----------------------------------------------------------------------------
 PAGE_FACTS = "array<struct<page_number:int,tokens:int,starts_high:boolean,ends_low:boolean>>"
+#: Where a window begins, as a place in the list of pages, and what its pages hold.
+BOUND = "struct<first:int,tokens:int>"
 
 
 def page_facts(pages: Column, tokens, starts_high, ends_low) -> Column:
@@ -180,60 +184,59 @@ def page_windows(facts: Column, target: Column | None = None, ceiling: Column |
     Pages are packed up to ``target`` tokens. A boundary inside a continuing table is held open up
     to ``ceiling``. A last window under half the target joins its neighbour where that fits.
     Overlap is added afterwards and never moves a boundary. Pages are an array of their document,
-    so no shuffle is involved and a row's size bounds the work.
+    so no shuffle is involved. The fold puts out where windows begin (:func:`fold_out`), and pages are
+    cut out of the list once, so the work grows with the pages and not with their square.
     """
     target = F.lit(fv.WINDOW_TARGET_TOKENS) if target is None else target
     ceiling = F.lit(fv.WINDOW_MAX_TOKENS) if ceiling is None else ceiling
-    window_type = "struct<pages:array<int>,tokens:int>"
-    no_pages = F.array().cast("array<int>")
-    start = F.struct(F.array().cast(f"array<{window_type}>").alias("done"),
-                     no_pages.alias("pages"), F.lit(0).alias("tokens"),
+    start = F.struct(F.lit(0).alias("place"), F.lit(0).alias("first"), F.lit(0).alias("tokens"),
                      F.lit(False).alias("ends_low"))
 
-    def step(acc, page):
-        grown = acc.tokens + page.tokens
-        limit = F.when(acc.ends_low & page.starts_high, F.greatest(target, ceiling)
+    def step(open_, page):
+        grown = open_.tokens + page.tokens
+        limit = F.when(open_.ends_low & page.starts_high, F.greatest(target, ceiling)
                        ).otherwise(target)
-        cut = (F.size(acc.pages) > 0) & (grown > limit)
-        closed = F.concat(acc.done, F.array(F.struct(acc.pages.alias("pages"),
-                                                     acc.tokens.alias("tokens"))))
-        return F.struct(
-            F.when(cut, closed).otherwise(acc.done).alias("done"),
-            F.when(cut, F.array(page.page_number)).otherwise(
-                F.concat(acc.pages, F.array(page.page_number))).alias("pages"),
-            F.when(cut, page.tokens).otherwise(grown).alias("tokens"),
-            page.ends_low.alias("ends_low"))
+        cut = (open_.place > open_.first) & (grown > limit)
+        after = F.struct((open_.place + 1).alias("place"),
+                         F.when(cut, open_.place).otherwise(open_.first).alias("first"),
+                         F.when(cut, page.tokens).otherwise(grown).alias("tokens"),
+                         page.ends_low.alias("ends_low"))
+        closed = F.array(F.struct(open_.first.alias("first"), open_.tokens.alias("tokens")))
+        return after, F.when(cut, closed).otherwise(F.array().cast(f"array<{BOUND}>"))
 
-    def finish(acc):
-        return F.when(F.size(acc.pages) > 0, F.concat(acc.done, F.array(F.struct(
-            acc.pages.alias("pages"), acc.tokens.alias("tokens"))))).otherwise(acc.done)
+    def windows(pages):
+        def all_bounds(folded):
+            last = F.array(F.struct(folded.carry.first.alias("first"), folded.carry.tokens.alias("tokens")))
+            return F.when(folded.carry.place > 0, F.concat(folded.out, last)).otherwise(folded.out)
 
-    packed = F.aggregate(facts, start, step, finish)
-    return _overlapped(_without_stub(packed, target, ceiling), overlap)
+        bounds = let(fold_out(pages, start, step, BOUND), all_bounds)
+        kept = let(bounds, lambda every: _without_stub(every, target, ceiling))
+        numbers = F.transform(pages, lambda p: p.page_number)
+        return let(kept, lambda every: let(numbers, lambda n: _pages_of(every, n, overlap)))
 
+    return let(F.coalesce(facts, F.array().cast(PAGE_FACTS)), windows)
 
-def _without_stub(windows: Column, target: Column, ceiling: Column) -> Column:
+
+def _without_stub(bounds: Column, target: Column, ceiling: Column) -> Column:
     """The last window folded into the one before when it is thin and the sum still fits."""
-    last, before = F.get(windows, F.size(windows) - 1), F.get(windows, F.size(windows) - 2)
-    thin = ((F.size(windows) > 1) & (last.tokens < target * 0.5)
+    last, before = F.get(bounds, F.size(bounds) - 1), F.get(bounds, F.size(bounds) - 2)
+    thin = ((F.size(bounds) > 1) & (last.tokens < target * 0.5)
             & (last.tokens + before.tokens <= ceiling))
     joined = F.concat(
-        F.slice(windows, F.lit(1), F.greatest(F.size(windows) - 2, F.lit(0))),
-        F.array(F.struct(F.concat(before.pages, last.pages).alias("pages"),
-                         (before.tokens + last.tokens).alias("tokens"))))
-    return F.when(thin, joined).otherwise(windows)
-
-
-def _overlapped(windows: Column, overlap: int) -> Column:
-    if overlap <= 0:
-        return windows
-    def tail(i):
-        pages = F.get(windows, i - 1).pages
-        size = F.size(pages)
-        return F.slice(pages, F.greatest(size - overlap + 1, F.lit(1)), F.lit(overlap))
-
-    return F.transform(windows, lambda w, i: F.when(i == 0, w).otherwise(F.struct(
-        F.concat(tail(i), w.pages).alias("pages"), w.tokens.alias("tokens"))))
+        F.slice(bounds, F.lit(1), F.greatest(F.size(bounds) - 2, F.lit(0))),
+        F.array(F.struct(before["first"].alias("first"), (before.tokens + last.tokens).alias("tokens"))))
+    return F.when(thin, joined).otherwise(bounds)
+
+
+def _pages_of(bounds: Column, numbers: Column, overlap: int) -> Column:
+    """Windows with their page numbers, each led by the last ``overlap`` pages of the one before."""
+    def window(bound, i):
+        end = F.coalesce(F.get(bounds, i + 1)["first"], F.size(numbers))
+        lead = F.greatest(bound["first"] - max(overlap, 0), F.coalesce(F.get(bounds, i - 1)["first"], F.lit(0)))
+        begin = F.when(i == 0, bound["first"]).otherwise(lead)
+        return F.struct(F.slice(numbers, begin + 1, end - begin).alias("pages"), bound["tokens"].alias("tokens"))
+
+    return F.transform(bounds, window)
 
 
 def call_plan(documents: DataFrame, output_cap: Column,

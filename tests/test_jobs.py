@@ -3,6 +3,7 @@
 import datetime
 import difflib
 import random
+import time
 from decimal import Decimal
 
 import pytest
@@ -186,6 +187,35 @@ def test_windows_equal_brute_force(spark):
         assert [list(w.pages) for w in row.w] == brute_windows(docs[row.d][1], 600, 900)
 
 
+def test_windows_of_a_huge_document(spark):
+    """More pages than a block of the fold; the whole of it is one row."""
+    rng = random.Random(4)
+    facts = [(n, rng.randint(0, 400), rng.random() < 0.3, rng.random() < 0.3) for n in range(1, 40_001)]
+    frame = spark.createDataFrame([(facts,)], f"facts {documents.PAGE_FACTS}")
+    started = time.time()
+    row = frame.select(documents.page_windows(F.col("facts"), F.lit(600), F.lit(900)).alias("w")).first()
+    assert [list(w.pages) for w in row.w] == brute_windows(facts, 600, 900)
+    assert time.time() - started < 60
+
+
+def test_windows_without_pages(spark):
+    frame = spark.createDataFrame([([],), (None,)], f"facts {documents.PAGE_FACTS}")
+    windows = frame.select(documents.page_windows(F.col("facts")).alias("w"))
+    assert [r.w for r in windows.collect()] == [[], []]
+
+
+def test_headings_hold_over_blocks_of_rows(spark):
+    rows = [["ALPHA FLEET PROGRAM", ""]] + [[f"Monthly fee {n}", "1"] for n in range(700)]
+    rows += [["BETA FLEET PROGRAM", ""], ["Setup charge", "2"], ["TOTAL", "3"]]
+    tables = spark.createDataFrame([("c", rows), ("d", []), ("e", None)], "contract string, rows array<array<string>>")
+    got = {(r.program, r.item) for r in catalog.scan_headings(tables).collect()}
+    headings = {p for p, i in got if i is None}
+    assert len(headings) == 2
+    first, second = sorted(headings)
+    assert got == {(first, None), (second, None), (second, "Setup charge")} | {
+        (first, f"Monthly fee {n}") for n in range(700)}
+
+
 def test_replay_over_many_chunks(spark, monkeypatch):
     monkeypatch.setattr(lifecycle, "CHUNK", 4)
     rng = random.Random(2)
