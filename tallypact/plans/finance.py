@@ -175,22 +175,26 @@ def engagement_order() -> list[Column]:
             F.col("monthly_recurring").desc_nulls_last(), F.col("engagement_id").asc()]
 
 
-def dashboard(base: DataFrame, schedule: DataFrame, as_of: Column, n: int = 10) -> dict:
-    """All reports over one persisted base; the caller unpersists it."""
-    base = base.persist()
-    rollup = customer_rollup(base).persist()
+def dashboard(base: DataFrame, rollup: DataFrame, schedule: DataFrame, as_of: Column, n: int = 10) -> dict:
+    """The thirteen reports of the finance page.
+
+    ``base`` (:func:`portfolio`), its ``rollup`` (:func:`customer_rollup`) and ``schedule`` are read by several
+    reports, so the caller passes written tables; nothing is cached here. Rankings keep ``n`` rows in every task
+    before they meet, only contracts with a known end expire, and engagements are shown by :func:`engagement_order`.
+    """
     live = base.filter(_is_active())
+    customers = with_share(rollup)
+    dated = live.filter(F.col("days_to_expiry").isNotNull())
     return {
-        "base": base, "rollup": rollup,
         "totals": totals(base, rollup), "funnel": stage_funnel(base),
-        "ageing": ageing(schedule, as_of), "expiry_buckets": expiry_buckets(base),
+        "aging": ageing(schedule, as_of), "expiry_buckets": expiry_buckets(base),
         "revenue_trend": revenue_trend(schedule, as_of),
-        "customers": with_share(rollup),
-        "top_customers": top(rollup, "monthly_recurring", "customer_id", n),
-        "top_collected": top(rollup, "collected_amount", "customer_id", n),
-        "at_risk_customers": top(rollup.filter("overdue_amount > 0"), "overdue_amount",
+        "customers": customers, "engagements": base,
+        "top_customers": top(customers, "monthly_recurring", "customer_id", n),
+        "top_collected": top(customers, "collected_amount", "customer_id", n),
+        "at_risk_customers": top(customers.filter("overdue_amount > 0"), "overdue_amount",
                                  "customer_id", n),
         "top_engagements": top(live, "monthly_recurring", "engagement_id", n),
         "recent_engagements": top(base, "created_at", "engagement_id", n),
-        "expiring_contracts": live.orderBy("days_to_expiry", "engagement_id").limit(n),
+        "expiring_contracts": dated.orderBy("days_to_expiry", "engagement_id").limit(n),
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallypact import fixed_values as fv
@@ -9,6 +10,7 @@ from tallypact import views
 from tallypact.functions import billing as bill_fn
 from tallypact.operators.records import TIERS, band
 from tallypact.plans import billing, finance, lifecycle, payments
+from tallypact.session import cut_lineage
 from tallypact.views import AS_OF, as_of
 from tallypact.workload import fixtures as fx
 from tallypact.workload import oracle_views as ov
@@ -211,8 +213,7 @@ def customer_rollup(spark, sf):
     return doubles(out, *MONEYS, "annualized")
 
 
-@query("E8_portfolio_totals", uses=f"{PORTFOLIO} rollup", sql=f"""
-with p as (select count(*) as engagements, count(*) filter (where status = 'ACTIVE') as active,
+TOTALS_CTES = """with p as (select count(*) as engagements, count(*) filter (where status = 'ACTIVE') as active,
   count(*) filter (where status = 'PENDING_BILLING_AUDIT') as awaiting_audit,
   sum(monthly_recurring) filter (where status = 'ACTIVE') as mrr,
   sum(fleet_size) filter (where status = 'ACTIVE') as total_fleet,
@@ -227,8 +228,8 @@ with p as (select count(*) as engagements, count(*) filter (where status = 'ACTI
  c as (select count(*) as customers, count(*) filter (where active_engagements > 0)
   as active_customers from rollup),
  t as (select sum(monthly_recurring) as top5 from (select * from rollup
-  order by monthly_recurring desc, customer_id limit 5))
-select engagements, active, awaiting_audit, engagements - active as in_pipeline, customers,
+  order by monthly_recurring desc, customer_id limit 5))"""
+SQL_TOTALS = f"""select engagements, active, awaiting_audit, engagements - active as in_pipeline, customers,
   active_customers, cast(mrr as double) as monthly_recurring, cast(mrr * 12 as double) as
   annualized, {ratio_sql('mrr', 'active', 2)} as avg_per_engagement,
   {ratio_sql('mrr', 'active_customers', 2)} as avg_per_customer,
@@ -238,7 +239,10 @@ select engagements, active, awaiting_audit, engagements - active as in_pipeline,
   '(collected_amount + outstanding_amount)', 1)} as collection_rate,
   cast(missed_count as bigint) as missed_count, {d('missed_amount')}, missed_engagements,
   {ratio_sql('top5 * 100', 'mrr', 1)} as top5_revenue_share, expiring_90d,
-  {d('expiring_90d_value')}, expired from p, c, t""")
+  {d('expiring_90d_value')}, expired from p, c, t"""
+
+
+@query("E8_portfolio_totals", uses=f"{PORTFOLIO} rollup", sql=f"{TOTALS_CTES}\n{SQL_TOTALS}")
 def portfolio_totals(spark, sf):
     base = fx.portfolio(spark, sf)
     out = finance.totals(base, finance.customer_rollup(base))
@@ -489,51 +493,102 @@ def payment_schedule(spark, sf):
                       "status", F.col("amount").cast("double"))
 
 
-@query("J15_finance_dashboard", uses=f"{PORTFOLIO} rollup", sql=f"""
-select 'funnel' as section, b.stage as key, coalesce(n, 0) as n,
-  cast(coalesce(v, 0) as double) as value from (values {STAGE_ROWS}) b(stage, label)
- left join (select {ov.stage_case('status')} as stage, count(*) as n, sum(monthly_recurring) as v
-  from portfolio group by 1) s using (stage)
-union all select 'ageing', b.bucket, coalesce(n, 0), cast(coalesce(v, 0) as double)
- from (values {BUCKET_ROWS}) b(bucket, label) left join (
- select case when status in ('due', 'overdue') then {SQL_AGE} else 'current' end as bucket,
-  count(*) as n, sum(amount) as v from schedule group by 1) s using (bucket)
-union all select 'expiry', b.bucket, coalesce(n, 0), cast(coalesce(v, 0) as double)
- from (values {EXPIRY_ROWS}) b(bucket, label) left join (
- select {bucket_sql('days_to_expiry', fv.EXPIRY_BUCKETS)} as bucket, count(*) as n,
-  sum(monthly_recurring) as v from portfolio where status = 'ACTIVE' group by 1) s using (bucket)
-union all select 'trend', strftime(due_date, '%Y-%m'), count(*), cast(sum(amount) as double)
- from schedule where strftime(due_date, '%Y-%m') <= strftime({DAY}, '%Y-%m') group by 2
-union all select 'totals', 'monthly_recurring', count(*) filter (where status = 'ACTIVE'),
-  cast(sum(monthly_recurring) filter (where status = 'ACTIVE') as double) from portfolio
-union all select 'top_customers', cast(customer_id as varchar), active_engagements,
-  cast(monthly_recurring as double) from (select * from rollup
-  order by monthly_recurring desc, customer_id limit 10)""")
+def ranked_sql(section: str, table: str, order: str, key: str, n: str, value: str, other: str) -> str:
+    """The first ten rows of a table in an order, numbered."""
+    return f"""select '{section}', cast({key} as varchar), row_number() over (order by {order}, {key}),
+  cast({n} as bigint), cast({value} as double), cast({other} as double) from {table} t
+  qualify row_number() over (order by {order}, {key}) <= 10"""
+
+
+SQL_LIVE = "(select * from portfolio where status = 'ACTIVE')"
+DASHBOARD_SQL = " union all ".join([
+    """select 'totals' as section, key, cast(null as bigint) as place, cast(null as bigint) as n, value,
+  cast(null as double) as other from (unpivot (select cast(columns(*) as double) from totals)
+  on columns(*) into name key value value)""",
+    f"""select 'funnel', b.stage, null, coalesce(n, 0), cast(coalesce(v, 0) as double), null
+  from (values {STAGE_ROWS}) b(stage, label) left join (
+  select {ov.stage_case('status')} as stage, count(*) as n, sum(monthly_recurring) as v
+  from portfolio group by 1) s using (stage)""",
+    f"""select 'aging', b.bucket, null, coalesce(n, 0), cast(coalesce(v, 0) as double), null
+  from (values {BUCKET_ROWS}) b(bucket, label) left join (
+  select case when status in ('due', 'overdue') then {SQL_AGE} else 'current' end as bucket,
+  count(*) as n, sum(amount) as v from schedule group by 1) s using (bucket)""",
+    f"""select 'expiry_buckets', b.bucket, null, coalesce(n, 0), cast(coalesce(v, 0) as double), null
+  from (values {EXPIRY_ROWS}) b(bucket, label) left join (
+  select {bucket_sql('days_to_expiry', fv.EXPIRY_BUCKETS)} as bucket, count(*) as n,
+  sum(monthly_recurring) as v from portfolio where status = 'ACTIVE' group by 1) s using (bucket)""",
+    f"""select 'revenue_trend', strftime(due_date, '%Y-%m'), null, null, cast(sum(amount) as double),
+  cast(coalesce(sum(amount) filter (where status = 'paid'), 0) as double) from schedule
+  where strftime(due_date, '%Y-%m') <= strftime({DAY}, '%Y-%m') group by 2""",
+    """select 'customers', cast(customer_id as varchar), null, engagements,
+  cast(monthly_recurring as double), revenue_share from shares""",
+    """select 'engagements', cast(engagement_id as varchar), null, days_to_expiry,
+  cast(monthly_recurring as double), cast(overdue_amount as double) from portfolio""",
+    ranked_sql("top_customers", "shares", "monthly_recurring desc", "customer_id",
+               "active_engagements", "monthly_recurring", "revenue_share"),
+    ranked_sql("top_collected", "shares", "collected_amount desc", "customer_id",
+               "engagements", "collected_amount", "outstanding_amount"),
+    ranked_sql("at_risk_customers", "(select * from shares where overdue_amount > 0)",
+               "overdue_amount desc", "customer_id", "overdue_count", "overdue_amount",
+               "monthly_recurring"),
+    ranked_sql("top_engagements", SQL_LIVE, "monthly_recurring desc", "engagement_id",
+               "fleet_size", "monthly_recurring", "overdue_amount"),
+    ranked_sql("recent_engagements", "portfolio", "created_at desc", "engagement_id",
+               "fleet_size", "monthly_recurring", "overdue_amount"),
+    ranked_sql("expiring_contracts", f"(select * from {SQL_LIVE} where days_to_expiry is not null)",
+               "days_to_expiry", "engagement_id", "days_to_expiry", "monthly_recurring",
+               "overdue_amount"),
+])
+
+
+@query("J15_finance_dashboard", uses=f"{PORTFOLIO} rollup", sql=f"""{TOTALS_CTES},
+ totals as ({SQL_TOTALS}),
+ shares as (select *, {ratio_sql('monthly_recurring * 100',
+                                 '(select sum(monthly_recurring) from rollup)', 1)}
+  as revenue_share from rollup)
+{DASHBOARD_SQL}""")
 def finance_dashboard(spark, sf):
-    schedule = fx.schedule(spark, sf).persist()
-    base = finance.portfolio(
+    """All thirteen reports as rows: the place in a ranking, a count, the figure and a second figure."""
+    schedule = cut_lineage(fx.schedule(spark, sf), "schedule")
+    base = cut_lineage(finance.portfolio(
         views.engagements(spark, sf), fx.dues(spark, sf),
         lifecycle.cycle_in_force(views.review_cycles(spark, sf)), views.customers(spark, sf),
-        schedule, as_of())
-    out = finance.dashboard(base, schedule, as_of())
-
-    def section(df, name, key, n, value):
-        return df.select(F.lit(name).alias("section"), F.col(key).cast("string").alias("key"),
-                         F.col(n).cast("bigint").alias("n"),
-                         F.col(value).cast("double").alias("value"))
-
-    months = (schedule.filter(F.trunc("due_date", "month") <= F.trunc(as_of(), "month"))
-              .groupBy(F.date_format("due_date", "yyyy-MM").alias("month"))
-              .agg(F.count("*").alias("n"), F.sum("amount").alias("billed")))
+        schedule, as_of()), "portfolio")
+    rollup = cut_lineage(finance.customer_rollup(base), "rollup")
+    out = finance.dashboard(base, rollup, schedule, as_of())
+
+    def section(name, key, n, value, other, order=None):
+        def as_type(column, kind):
+            return (F.lit(None) if column is None else F.col(column)).cast(kind)
+
+        place = F.lit(None) if order is None else F.row_number().over(Window.orderBy(*order, key))
+        return out[name].select(
+            F.lit(name).alias("section"), F.col(key).cast("string").alias("key"),
+            place.cast("bigint").alias("place"), as_type(n, "bigint").alias("n"),
+            as_type(value, "double").alias("value"), as_type(other, "double").alias("other"))
+
+    mrr = "monthly_recurring"
+    figures = out["totals"].select(*[F.col(c).cast("double").alias(c) for c in out["totals"].columns])
+    out["totals"] = figures.unpivot([], figures.columns, "key", "value")
     parts = [
-        section(out["funnel"], "funnel", "stage", "engagements", "value"),
-        section(out["ageing"], "ageing", "bucket", "payments", "amount"),
-        section(out["expiry_buckets"], "expiry", "bucket", "engagements", "monthly_recurring"),
-        section(months, "trend", "month", "n", "billed"),
-        section(out["totals"].withColumn("key", F.lit("monthly_recurring")), "totals", "key",
-                "active", "monthly_recurring"),
-        section(out["top_customers"], "top_customers", "customer_id", "active_engagements",
-                "monthly_recurring"),
+        section("totals", "key", None, "value", None),
+        section("funnel", "stage", "engagements", "value", None),
+        section("aging", "bucket", "payments", "amount", None),
+        section("expiry_buckets", "bucket", "engagements", mrr, None),
+        section("revenue_trend", "month", None, "billed", "collected"),
+        section("customers", "customer_id", "engagements", mrr, "revenue_share"),
+        section("engagements", "engagement_id", "days_to_expiry", mrr, "overdue_amount"),
+        section("top_customers", "customer_id", "active_engagements", mrr, "revenue_share",
+                [F.desc(mrr)]),
+        section("top_collected", "customer_id", "engagements", "collected_amount",
+                "outstanding_amount", [F.desc("collected_amount")]),
+        section("at_risk_customers", "customer_id", "overdue_count", "overdue_amount", mrr,
+                [F.desc("overdue_amount")]),
+        section("top_engagements", "engagement_id", "fleet_size", mrr, "overdue_amount", [F.desc(mrr)]),
+        section("recent_engagements", "engagement_id", "fleet_size", mrr, "overdue_amount",
+                [F.desc("created_at")]),
+        section("expiring_contracts", "engagement_id", "days_to_expiry", mrr, "overdue_amount",
+                [F.col("days_to_expiry")]),
     ]
     rows = parts[0]
     for p in parts[1:]:
