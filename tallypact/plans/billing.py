@@ -32,16 +32,22 @@ def recurring_dues(terms: DataFrame, fleets: DataFrame) -> DataFrame:
         "unit_basis", billing.frequency_class(F.col("frequency")).unit_basis)
     flat = (live.filter(billing.enters_dues(F.col("unit_basis")))
             .groupBy("engagement_id").agg(F.sum("amount").alias("per_unit")))
+    banded = None
+    if "tier_bands" in terms.columns:
+        banded = live.filter(F.size("tier_bands") > 0).select("engagement_id", "tier_bands")
+    return _times_fleet(fleets, flat, banded)
+
+
+def _times_fleet(fleets: DataFrame, flat: DataFrame, banded: DataFrame | None) -> DataFrame:
+    """Dues of every fleet: per-unit sums, and the band each row of ``banded`` has for its size."""
     fleets = fleets.select("engagement_id", "fleet_size")
     out = fleets.join(flat, "engagement_id", "left")
     tiered = F.lit(0)
-    if "tier_bands" in terms.columns:
-        banded = (live.filter(F.size("tier_bands") > 0).select("engagement_id", "tier_bands")
-                  .join(fleets, "engagement_id")
-                  .groupBy("engagement_id")
-                  .agg(F.sum(billing.tier_amount(F.col("tier_bands"), F.col("fleet_size")))
-                       .alias("banded")))
-        out = out.join(banded, "engagement_id", "left")
+    if banded is not None:
+        sums = (banded.join(fleets, "engagement_id").groupBy("engagement_id")
+                .agg(F.sum(billing.tier_amount(F.col("tier_bands"), F.col("fleet_size")))
+                     .alias("banded")))
+        out = out.join(sums, "engagement_id", "left")
         tiered = F.coalesce("banded", F.lit(0))
     dues = ((F.coalesce("per_unit", F.lit(0)) + tiered)
             * F.col("fleet_size")).cast("decimal(18,2)")
@@ -50,6 +56,33 @@ def recurring_dues(terms: DataFrame, fleets: DataFrame) -> DataFrame:
                       .cast("decimal(18,2)").alias("monthly_recurring"))
 
 
+def config_dues(lines: DataFrame, fleets: DataFrame) -> DataFrame:
+    """Monthly dues per engagement from the fees of its billing (:func:`config_lines`).
+
+    Fees count as billed, so an audit's corrected amount or class decides, and versions that are not in force add
+    nothing. A fleet without lines owes nothing.
+    """
+    fees = lines.select("engagement_id", "fee.*")
+    flat = (fees.filter(billing.enters_dues(F.col("unit_basis")))
+            .groupBy("engagement_id").agg(F.sum("amount").alias("per_unit")))
+    return _times_fleet(fleets, flat, fees.filter(F.size("tier_bands") > 0).select(
+        "engagement_id", "tier_bands"))
+
+
+def bill(engagements: DataFrame, lines: DataFrame, fleets: DataFrame,
+         payments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bills, schedule rows) of the given engagements; only their lines and fleets are read on.
+
+    A bill has the number of charges and the dues. Schedules are made where ``payments`` has none yet.
+    """
+    ids = engagements.select("engagement_id").distinct()
+    own = lines.join(ids, "engagement_id", "left_semi")
+    charges = own.groupBy("engagement_id").agg(F.count("fee").alias("charges"))
+    dues = config_dues(own, fleets.join(ids, "engagement_id", "left_semi"))
+    bills = dues.join(charges, "engagement_id", "left").na.fill(0, ["charges"])
+    return bills, new_schedules(engagements.join(dues, "engagement_id"), payments)
+
+
 def generate_schedule(starts: DataFrame) -> DataFrame:
     """Schedule rows from billing_start and billing_frequency; generated without a shuffle."""
     months = billing.period_months(F.col("billing_frequency"))

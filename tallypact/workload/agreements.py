@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 from tallypact import fixed_values as fv
 from tallypact import views
 from tallypact.functions import documents as doc_fn
-from tallypact.functions.text import norm_text
+from tallypact.functions.text import norm_text, slugify
 from tallypact.operators.containment import passages_in, quote_streams
 from tallypact.operators.records import TIERS
-from tallypact.plans import billing, citations, documents, review
+from tallypact.plans import billing, citations, corrections, documents, lifecycle, review
+from tallypact.plans.terms import DOCUMENT, coverage
 from tallypact.session import cut_lineage
+from tallypact.workload import fixtures as fx
 from tallypact.workload import oracle_views as ov
-from tallypact.workload.money import SQL_LINES, billed
+from tallypact.workload.money import SQL_LINES, billed, terms_to_bill
+from tallypact.workload.name_sql import UNPLACED
 from tallypact.workload.registry import query
-from tallypact.workload.scalars import SQL_REQUIRED, page_text, sql_money, sql_norm
+from tallypact.workload.scalars import SQL_REQUIRED, page_text, sql_money, sql_norm, sql_slug
+
+RANKS = ov.quoted(fv.MATCH_KINDS)
+
 
 # --- standing --------------------------------------------------------------------------------
 ov.VIEWS["docs"] = """select document_id, engagement_id, doc_type, effective_date, created_ord,
@@ -248,6 +254,158 @@ def config_service_lines(spark, d):
     return billing.service_lines(lines).withColumn("amount", F.col("amount").cast("double"))
 
 
+ov.VIEWS["config_dues"] = """select f.engagement_id, f.fleet_size, cast(coalesce(p, 0) * f.fleet_size as
+  decimal(18,2)) as monthly_recurring from fleet_sizes f left join (select engagement_id as eid,
+  sum(billed) as p from config_lines where regexp_matches(unit_basis, 'per_(vehicle|unit).*month')
+  group by all) on eid = f.engagement_id"""
+CONFIG_DUES = f"engagements vehicles fleet_sizes {CONFIG} config_dues"
+
+
+def lines_in_force(spark, d):
+    return billing.config_lines(billed(spark, d), in_force(spark, d))
+
+
+@query("E3_config_dues", uses=CONFIG_DUES, sql="""
+select engagement_id, fleet_size, cast(monthly_recurring as double) as monthly_recurring
+from config_dues""")
+def config_dues(spark, d):
+    """Dues on the lines that are billed: versions in force, corrections included."""
+    out = billing.config_dues(lines_in_force(spark, d), fx.fleets(spark, d))
+    return out.withColumn("monthly_recurring", F.col("monthly_recurring").cast("double"))
+
+
+@query("J20_migrated_billing", uses=f"{CONFIG_DUES} submissions", sql="""
+with landed as (select distinct engagement_id as id from submissions where submission_id % 5 in (0, 1)),
+ n as (select engagement_id as eid, count(billed) as charges from config_lines group by all)
+select e.engagement_id, coalesce(charges, 0) as charges,
+  cast(monthly_recurring as double) as monthly_recurring,
+  case when e.engagement_id % 2 = 0 then 0 when billing_frequency = 'monthly' then 12
+   when billing_frequency = 'quarterly' then 4 else 3 end as payments,
+  case when e.engagement_id % 2 <> 0 then strftime(billing_start, '%Y-%m-%d') end as first_due
+from engagements e join landed on id = e.engagement_id
+join config_dues c on c.engagement_id = e.engagement_id left join n on eid = e.engagement_id""")
+def migrated_billing(spark, d):
+    """Rows that the retired states land in billing: configuration, dues, and a schedule where there is none.
+
+    Even engagements have a schedule already.
+    """
+    old = F.coalesce(views.by_value(F.col("submission_id") % 5, {
+        0: "PENDING_FINANCE_APPROVAL", 1: "FINANCE_APPROVED",
+        2: "CHANGES_REQUESTED_FINANCE"}), F.col("status"))
+    landed = lifecycle.migrate_statuses(views.submissions(spark, d).withColumn(
+        "status", old)).filter("to_bill").select("engagement_id").distinct()
+    to_bill = views.engagements(spark, d).join(landed, "engagement_id", "left_semi")
+    have = views.engagements(spark, d).filter("engagement_id % 2 = 0").select("engagement_id")
+    bills, rows = billing.bill(to_bill, lines_in_force(spark, d), fx.fleets(spark, d), have)
+    made = rows.groupBy("engagement_id").agg(
+        F.count("*").alias("payments"), F.min("due_date").cast("string").alias("first_due"))
+    return (bills.join(made, "engagement_id", "left").na.fill(0, ["payments"])
+            .select("engagement_id", "charges", F.col("monthly_recurring").cast("double"), "payments",
+                    "first_due"))
+
+
+# --- corrections carried through -------------------------------------------------------------
+ov.VIEWS["placed_again"] = f"""select t.*, t.l_partkey % 8 = 0 as corrected,
+  case when t.l_partkey % 8 = 0 then r.raw else t.program end as now_program,
+  case when t.l_partkey % 8 = 0 then p.entry_id else {sql_slug("replace(t.program, ' Program', '')")} end as program_id,
+  case when t.l_partkey % 8 = 0 then i.entry_id else {sql_slug('t.item')} end as item_id,
+  case when t.l_partkey % 8 <> 0 then 'normalised' when i.entry_id is null then p.kind
+   else ([{RANKS}])[greatest(list_position([{RANKS}], p.kind), list_position([{RANKS}], i.kind))] end as kind
+  from pricing_terms t join raw_names r on r.term_key = t.term_key
+  left join program_ladder p on p.raw = r.raw
+  left join item_ladder i on i.scope = p.entry_id and i.raw = t.item"""
+PLACED = f"pricing_terms {UNPLACED} item_names item_spellings item_ladder placed_again"
+
+
+def stored_pricing(spark, d):
+    """Pricing terms with the match of their first reading."""
+    name = F.expr("substr(program, 1, length(program) - 8)")
+    return views.pricing_terms(spark, d).select(
+        *DOCUMENT, "term_key", F.lit("pricing").alias("category"), "program", "item", "amount",
+        F.lit(None).cast("string").alias("calculation"), "superseded",
+        slugify(name).alias("program_id"), slugify(F.col("item")).alias("item_id"),
+        F.lit("normalised").alias("catalog_match"))
+
+
+def placed_again(spark, d):
+    """Every eighth part's lines are corrected to the wording an analyst typed."""
+    typed = views.raw_names(spark, d).select("term_key", F.col("raw").alias("program"))
+    patch = (views.pricing_terms(spark, d).filter("l_partkey % 8 = 0").select("term_key")
+             .join(typed, "term_key").select(
+                 "term_key", "program", F.lit(None).cast("string").alias("item"),
+                 F.lit(None).cast("decimal(18,2)").alias("amount")))
+    return corrections.place_again(stored_pricing(spark, d), patch, views.catalog_programs(spark, d),
+                                   views.catalog_items(spark, d))
+
+
+@query("J26_placed_again", uses=PLACED, sql="""
+select term_key, corrected, now_program as program, program_id, item_id, kind as catalog_match
+from placed_again""")
+def corrected_matches(spark, d):
+    return placed_again(spark, d).select("term_key", "corrected", "program", "program_id", "item_id",
+                                         "catalog_match")
+
+
+@query("J26_rebuilt_coverage", uses=PLACED, sql="""
+select engagement_id, document_id, version, program_id, count(*) as priced_items,
+  coalesce(array_to_string(list_sort(list(distinct item_id) filter (where item_id is not null)), ','), '')
+   as item_ids
+from placed_again where not superseded and program_id is not null group by all""")
+def rebuilt_coverage(spark, d):
+    """Coverage of all document versions; only those with a correction are rebuilt."""
+    before = coverage(stored_pricing(spark, d).filter("not superseded"))
+    return corrections.rebuild_coverage(before, cut_lineage(placed_again(spark, d), "placed")).withColumn(
+        "item_ids", F.array_join("item_ids", ","))
+
+
+ov.VIEWS["overrides"] = """select t.term_key, d.engagement_id,
+  case when l_suppkey % 2 = 0 then cast(amount + 2 as decimal(18,2)) end as new_amount,
+  case l_suppkey % 5 when 0 then 'one_time' when 1 then 'recurring' when 2 then 'nonsense' end as new_class
+  from pricing_terms t join docs d using (document_id) where l_partkey % 4 = 0"""
+ov.VIEWS["decided"] = """select o.*, case when o.engagement_id % 3 = 0 then 'not under audit'
+  when new_class = 'nonsense' then 'unknown class' when c.record_id is null then 'no such charge' end as refused
+  from overrides o left join config_lines c on c.record_id = o.term_key and c.engagement_id = o.engagement_id"""
+OVERRIDES = f"{CONFIG_DUES} overrides decided"
+
+
+def decided(spark, d):
+    """Corrections asked of every fourth part's lines; a third of the engagements is not under audit."""
+    filed = docs(spark, d).select("document_id", "engagement_id")
+    asked = views.pricing_terms(spark, d).filter("l_partkey % 4 = 0").drop("engagement_id").join(filed, "document_id").select(
+        "engagement_id", "term_key",
+        F.when(F.col("l_suppkey") % 2 == 0, (F.col("amount") + 2).cast("decimal(18,2)")).alias("new_amount"),
+        views.by_value(F.col("l_suppkey") % 5, {0: "one_time", 1: "recurring", 2: "nonsense"}).alias("new_class"))
+    status = F.when(F.col("engagement_id") % 3 != 0, "PENDING_BILLING_AUDIT").otherwise("ACTIVE")
+    statuses = filed.select("engagement_id").distinct().withColumn("status", status)
+    return corrections.decide_overrides(asked, lines_in_force(spark, d), statuses)
+
+
+@query("J26_override_decisions", uses=OVERRIDES, sql="""
+select term_key, engagement_id, cast(new_amount as double) as new_amount, new_class, refused from decided""")
+def override_decisions(spark, d):
+    return decided(spark, d).select("term_key", "engagement_id", F.col("new_amount").cast("double"),
+                                    "new_class", "refused")
+
+
+@query("J26_rebilled", uses=OVERRIDES, sql="""
+with a as (select * from decided where refused is null),
+ l as (select c.engagement_id, coalesce(a.new_amount, c.billed) as billed, case a.new_class
+   when 'one_time' then 'one_time' when 'recurring' then 'per_vehicle_per_month' else c.unit_basis end
+   as unit_basis from config_lines c left join a on a.term_key = c.record_id and a.engagement_id = c.engagement_id),
+ s as (select engagement_id as eid, sum(billed) as p from l
+  where regexp_matches(unit_basis, 'per_(vehicle|unit).*month') group by all)
+select f.engagement_id, f.fleet_size, cast(cast(coalesce(p, 0) * f.fleet_size as decimal(18,2)) as double)
+   as monthly_recurring, f.engagement_id in (select engagement_id from a) as rebilled
+from fleet_sizes f left join s on eid = f.engagement_id""")
+def rebilled(spark, d):
+    """Dues of all engagements after the audit's corrections, priced again only where one was accepted."""
+    fleets, agreements = fx.fleets(spark, d), in_force(spark, d)
+    stored = billing.config_dues(billing.config_lines(billed(spark, d), agreements), fleets)
+    accepted = cut_lineage(decided(spark, d).filter("refused is null"), "accepted")
+    out = corrections.rebill(stored, terms_to_bill(spark, d), accepted, agreements, fleets)
+    return out.withColumn("monthly_recurring", F.col("monthly_recurring").cast("double"))
+
+
 # --- containment and citations ---------------------------------------------------------------
 SQL_STREAM = "regexp_replace(lower({x}), '[^a-z0-9$%/-]', '', 'g')"
 

@@ -443,15 +443,19 @@ SQL_LINES = f"""select *, cast(coalesce(case when l_suppkey % 6 = 0 then cast(am
   from priced_terms where not superseded"""
 
 
+def terms_to_bill(spark, sf):
+    """Pricing terms as stored: every sixth supplier's amount is corrected, every tenth part has none."""
+    return (views.pricing_terms(spark, sf)
+            .withColumn("override_amount", F.when(
+                F.col("l_suppkey") % 6 == 0, (F.col("amount") + 1).cast("decimal(18,2)")))
+            .withColumn("amount", F.when(F.col("l_partkey") % 10 != 0, F.col("amount")))
+            .withColumn("rate_pct", F.lit(None).cast("decimal(18,2)"))
+            .withColumn("override_class", F.lit(None).cast("string"))
+            .withColumn("tier_bands", F.lit(None).cast(TIERS)))
+
+
 def billed(spark, sf):
-    terms = (views.pricing_terms(spark, sf)
-             .withColumn("override_amount", F.when(
-                 F.col("l_suppkey") % 6 == 0, (F.col("amount") + 1).cast("decimal(18,2)")))
-             .withColumn("amount", F.when(F.col("l_partkey") % 10 != 0, F.col("amount")))
-             .withColumn("rate_pct", F.lit(None).cast("decimal(18,2)"))
-             .withColumn("override_class", F.lit(None).cast("string"))
-             .withColumn("tier_bands", F.lit(None).cast(TIERS)))
-    return billing.billed_lines(terms)
+    return billing.billed_lines(terms_to_bill(spark, sf))
 
 
 @query("E22_service_lines", uses="pricing_terms priced_terms", sql=f"""
