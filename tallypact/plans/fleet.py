@@ -10,7 +10,7 @@ from tallypact.functions import billing as bill_fn
 from tallypact.functions import fleet as fn
 from tallypact.operators.ordered import with_next
 from tallypact.operators.records import dimension
-from tallypact.plans.billing import fleet_sizes, recurring_dues
+from tallypact.plans.billing import config_dues, fleet_sizes, recurring_dues
 
 AXES = {
     "status": fv.VEHICLE_STATUSES, "ownership": fv.OWNERSHIPS,
@@ -70,10 +70,15 @@ def customer_vehicles(vehicles: DataFrame, engagements: DataFrame) -> DataFrame:
     return on_engagements.unionByName(idle)
 
 
-def resync(engagements: DataFrame, vehicles: DataFrame, terms: DataFrame) -> DataFrame:
-    """Fleet and dues re-derived from the inventory; live engagements keep what is stored."""
+def resync(engagements: DataFrame, vehicles: DataFrame, terms: DataFrame | None = None,
+           lines: DataFrame | None = None) -> DataFrame:
+    """Fleet and dues re-derived from the inventory; live engagements keep what is stored.
+
+    Dues are those of the billed ``lines`` where they are given, else of all live ``terms``.
+    """
     fresh = fleet_sizes(engagements, vehicles)
-    dues = recurring_dues(terms, fresh).select("engagement_id", "monthly_recurring")
+    found = recurring_dues(terms, fresh) if lines is None else config_dues(lines, fresh)
+    dues = found.select("engagement_id", "monthly_recurring")
     locked = bill_fn.fleet_locked(F.col("status"))
     return (fresh.join(dues, "engagement_id")
             .withColumn("locked", locked)

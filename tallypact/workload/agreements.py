@@ -10,7 +10,7 @@ from tallypact.functions import documents as doc_fn
 from tallypact.functions.text import norm_text, slugify
 from tallypact.operators.containment import passages_in, quote_streams
 from tallypact.operators.records import TIERS
-from tallypact.plans import billing, citations, corrections, documents, lifecycle, review
+from tallypact.plans import billing, citations, corrections, documents, fleet, lifecycle, review
 from tallypact.plans.terms import DOCUMENT, coverage
 from tallypact.session import cut_lineage
 from tallypact.workload import fixtures as fx
@@ -304,6 +304,40 @@ def migrated_billing(spark, d):
                     "first_due"))
 
 
+@query("J10_config_schedule", uses=CONFIG_DUES, sql=f"""
+with p as (select e.engagement_id, cast(i as int) as seq, cnt, cast(billing_start + to_months(cast(i * m as int)) as date)
+   as due_date, m, cast(monthly_recurring * m as decimal(18,2)) as amount
+  from engagements e join config_dues c on c.engagement_id = e.engagement_id and monthly_recurring > 0,
+  lateral (select case billing_frequency when 'monthly' then 1 when 'quarterly' then 3 else 12 end as m,
+   case billing_frequency when 'monthly' then 12 when 'quarterly' then 4 else 3 end as cnt) k,
+  lateral (select unnest(range(cnt)) as i) r)
+select engagement_id, seq, strftime(due_date, '%Y-%m-%d') as due_date, cast(amount as double) as amount,
+  case when {ov.AS_OF} < due_date then 'upcoming' when {ov.AS_OF} < coalesce(lead(due_date) over (
+   partition by engagement_id order by seq), cast(due_date + to_months(cast(m as int)) as date)) then 'due'
+   else 'overdue' end as status from p""")
+def config_schedule(spark, d):
+    """Schedules at the dues of the lines in force, for engagements that owe anything."""
+    dues = billing.config_dues(lines_in_force(spark, d), fx.fleets(spark, d)).filter("monthly_recurring > 0")
+    starts = views.engagements(spark, d).join(dues, "engagement_id")
+    rows = billing.generate_schedule(starts).withColumn("paid", F.lit(False)).withColumn(
+        "amount_paid", F.lit(None).cast("decimal(18,2)"))
+    return billing.with_status(rows, views.as_of()).select(
+        "engagement_id", "seq", F.col("due_date").cast("string"), F.col("amount").cast("double"), "status")
+
+
+@query("J23_config_resync", uses=CONFIG_DUES, sql="""
+select e.engagement_id, status = 'ACTIVE' as locked, case when status = 'ACTIVE' then coalesce(fleet_size_override, 1)
+  else fleet_size end as fleet_size, case when status <> 'ACTIVE' then cast(monthly_recurring as double) end
+  as monthly_recurring from engagements e join config_dues c on c.engagement_id = e.engagement_id""")
+def config_resync(spark, d):
+    """Fleets derived again, with dues on the lines in force; live engagements keep what is stored."""
+    stored = views.engagements(spark, d).withColumn(
+        "stored_fleet", F.coalesce("fleet_size_override", F.lit(1))).withColumn(
+        "stored_dues", F.lit(None).cast("decimal(18,2)"))
+    out = fleet.resync(stored, views.vehicles(spark, d), lines=lines_in_force(spark, d))
+    return out.select("engagement_id", "locked", "fleet_size", F.col("monthly_recurring").cast("double"))
+
+
 # --- corrections carried through -------------------------------------------------------------
 ov.VIEWS["placed_again"] = f"""select t.*, t.l_partkey % 8 = 0 as corrected,
   case when t.l_partkey % 8 = 0 then r.raw else t.program end as now_program,
