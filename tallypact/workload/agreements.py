@@ -345,7 +345,7 @@ ov.VIEWS["placed_again"] = f"""select t.*, t.l_partkey % 8 = 0 as corrected,
   case when t.l_partkey % 8 = 0 then i.entry_id else {sql_slug('t.item')} end as item_id,
   case when t.l_partkey % 8 <> 0 then 'normalised' when i.entry_id is null then p.kind
    else ([{RANKS}])[greatest(list_position([{RANKS}], p.kind), list_position([{RANKS}], i.kind))] end as kind
-  from pricing_terms t join raw_names r on r.term_key = t.term_key
+  from pricing_terms t join (select distinct term_key, raw from raw_names) r on r.term_key = t.term_key
   left join program_ladder p on p.raw = r.raw
   left join item_ladder i on i.scope = p.entry_id and i.raw = t.item"""
 PLACED = f"pricing_terms {UNPLACED} item_names item_spellings item_ladder placed_again"
@@ -363,8 +363,8 @@ def stored_pricing(spark, d):
 
 def placed_again(spark, d):
     """Every eighth part's lines are corrected to the wording an analyst typed."""
-    typed = views.raw_names(spark, d).select("term_key", F.col("raw").alias("program"))
-    patch = (views.pricing_terms(spark, d).filter("l_partkey % 8 = 0").select("term_key")
+    typed = views.raw_names(spark, d).select("term_key", F.col("raw").alias("program")).distinct()
+    patch = (views.pricing_terms(spark, d).filter("l_partkey % 8 = 0").select("term_key").distinct()
              .join(typed, "term_key").select(
                  "term_key", "program", F.lit(None).cast("string").alias("item"),
                  F.lit(None).cast("decimal(18,2)").alias("amount")))
