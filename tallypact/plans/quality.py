@@ -16,6 +16,8 @@ from tallypact.session import cut_lineage
 
 GROUP = ["run_id", "info_type"]
 EXACT = 2.0
+#: Rows of a run that are compared inside one row or join group; larger runs meet on words.
+SMALL = 256
 
 
 def keyed(records: DataFrame, fields: list[str]) -> DataFrame:
@@ -26,9 +28,50 @@ def keyed(records: DataFrame, fields: list[str]) -> DataFrame:
             *[key_words(F.col(f)) for f in fields])))))
 
 
+def _large(sides: list[DataFrame], by: list[str], odd: str | None = None) -> DataFrame:
+    """Groups with more than ``SMALL`` rows, or with a row that is ``odd``; written, so joins know how few they are."""
+    keys = functools.reduce(DataFrame.unionByName, [
+        side.select(*by, F.expr(odd or "false").alias("odd")) for side in sides])
+    return cut_lineage(keys.groupBy(*by).agg(F.count("*").alias("n"), F.bool_or("odd").alias("odd"))
+                       .filter((F.col("n") > SMALL) | F.col("odd")).select(*by), "large")
+
+
+def _among(rows: DataFrame, groups: DataFrame, by: list[str], how: str) -> DataFrame:
+    same = functools.reduce(lambda a, b: a & b, [rows[c].eqNullSafe(groups[c]) for c in by])
+    return rows.join(groups, same, how)
+
+
 def candidate_scores(expected: DataFrame, got: DataFrame, floor: float,
                      by: list[str]) -> DataFrame:
-    """(chooser, candidate, score) where enough of the expected words are shared.
+    """(chooser, candidate, score) where enough of the expected words are shared, with the share as ``overlap``.
+
+    Rows of a small group meet directly, so each side is shuffled once; rows of a large one meet on words.
+    """
+    large = _large([expected, got], by)
+    found = _scored(_among(expected, large, by, "left_anti"), _among(got, large, by, "left_anti"), None, floor, by)
+    if large.isEmpty():
+        return found
+    many = _among(expected, large, by, "left_semi"), _among(got, large, by, "left_semi")
+    return found.unionByName(_scored(*many, _pairs(*many, floor, by), floor, by))
+
+
+def _scored(expected: DataFrame, got: DataFrame, pairs: DataFrame | None, floor: float, by: list[str]) -> DataFrame:
+    """Scores of all rows of a group, or of ``pairs``."""
+    want = expected.select(*by, F.col("record_no").alias("chooser"), "words", "exact_key")
+    have = got.select(*by, F.col("record_no").alias("candidate"),
+                      F.col("words").alias("got_words"), F.col("exact_key").alias("got_key"))
+    both = (want.filter("chooser is not null").join(have.filter("candidate is not null"), by) if pairs is None else
+            pairs.join(want, [*by, "chooser"]).join(have, [*by, "candidate"]))
+    same = F.col("exact_key") == F.col("got_key")
+    overlap = F.try_divide(F.size(F.array_intersect("words", "got_words")), F.size("words"))
+    return (both.select(*by, "chooser", "candidate", same.alias("same"), overlap.alias("overlap"))
+            .withColumn("score", F.when(F.col("same"), EXACT).otherwise(F.col("overlap")))
+            .filter(F.col("score") >= floor)
+            .select(*by, "chooser", "candidate", "score", "same", "overlap"))
+
+
+def _pairs(expected: DataFrame, got: DataFrame, floor: float, by: list[str]) -> DataFrame:
+    """(chooser, candidate) that may share enough words or have equal keys.
 
     Candidates come from an equi join on words, counted per pair. Only the rarest expected words
     are looked up: a record that shares a share ``floor`` of n words shares at least one of any
@@ -57,14 +100,7 @@ def candidate_scores(expected: DataFrame, got: DataFrame, floor: float,
     equal = want.join(have, (want["exact_key"] == have["got_key"]) & functools.reduce(
         lambda a, b: a & b, [want[c] == have[c] for c in by])).select(
             *[want[c] for c in by], "chooser", "candidate")
-    pairs = pairs.unionByName(equal).distinct()
-    shared = F.size(F.array_intersect("words", "got_words"))
-    score = F.try_divide(shared, F.col("wanted"))
-    return (pairs.join(want, [*by, "chooser"]).join(have, [*by, "candidate"])
-            .withColumn("same", F.col("exact_key") == F.col("got_key"))
-            .withColumn("score", F.when(F.col("same"), EXACT).otherwise(score))
-            .filter(F.col("score") >= floor)
-            .select(*by, "chooser", "candidate", "score", "same"))
+    return pairs.unionByName(equal).distinct()
 
 
 def match_records(expected: DataFrame, got: DataFrame) -> DataFrame:
@@ -80,8 +116,84 @@ def score_runs(expected: DataFrame, got: DataFrame, everything: DataFrame) -> Da
     """Per run and type: expected, found in type, found elsewhere, missed, extra, recall.
 
     ``everything`` holds every record of the run with all its words, for content that was filed
-    under another type: a share of 0.6 of at least two words counts as covered.
+    under another type: a share of 0.6 of at least two words counts as covered. A small run is scored
+    inside its row, so every side is shuffled once; large ones, and rows without a run or type, are joined.
     """
+    by = ["run_id"]
+    large = _large([expected, got, everything], by, "run_id is null or info_type is null or record_no is null")
+    sides = (expected, got, everything)
+    rows = _small_runs(*[_among(side, large, by, "left_anti") for side in sides])
+    if not large.isEmpty():
+        rows = rows.unionByName(_large_runs(*[_among(side, large, by, "left_semi") for side in sides]))
+    covered = F.col("found") + F.col("elsewhere")
+    one = F.lit(1.0)
+    return rows.select(
+        *GROUP, "expected", "got", "found", "elsewhere",
+        (F.col("expected") - covered).alias("missed"),
+        (F.col("got") - F.col("found")).alias("extra"),
+        F.when(F.col("expected") > 0, F.col("found") / F.col("expected")).otherwise(one)
+        .alias("recall"),
+        F.when(F.col("expected") > 0, covered / F.col("expected")).otherwise(one)
+        .alias("coverage"))
+
+
+def _small_runs(expected: DataFrame, got: DataFrame, everything: DataFrame) -> DataFrame:
+    """Counts per run and type; the records of a run are lists in its row."""
+
+    def listed(side, name):
+        record = F.struct("record_no", "info_type", "words", "exact_key")
+        return (side.select("run_id", record.alias("record")).repartition("run_id").groupBy("run_id")
+                .agg(F.collect_list("record").alias("records")).withColumnRenamed("records", name))
+
+    def share(a, b):
+        return F.try_divide(F.size(F.array_intersect(a["words"], b["words"])), F.size(a["words"]))
+
+    def edge(a, b):
+        score = F.when(a["exact_key"] == b["exact_key"], EXACT).otherwise(share(a, b))
+        return F.struct(a["info_type"].alias("type"), a["record_no"].alias("chooser"), (-score).alias("s"),
+                        b["record_no"].alias("candidate"))
+
+    def edges_of(a):
+        same_type = F.filter("got", lambda b: b["info_type"] == a["info_type"])
+        return F.filter(F.transform(same_type, lambda b: edge(a, b)), lambda e: e["s"] <= -0.5)
+
+    def taken(e, m):
+        return (m["type"] == e["type"]) & ((m["chooser"] == e["chooser"]) | (m["candidate"] == e["candidate"]))
+
+    # Choosers in order, each with its best candidate first: an edge is taken if both its ends are free.
+    match = "array<struct<type:string,chooser:{0},candidate:{1}>>".format(
+        expected.schema["record_no"].dataType.simpleString(), got.schema["record_no"].dataType.simpleString())
+    found = F.aggregate("edges", F.array().cast(match), lambda done, e: F.when(
+        F.exists(done, lambda m: taken(e, m)), done).otherwise(F.array_append(done, F.struct(
+            e["type"].alias("type"), e["chooser"].alias("chooser"), e["candidate"].alias("candidate")))))
+
+    def missed(a):
+        return (F.size(a["words"]) >= 2) & ~F.exists("found", lambda m: (
+            m["type"] == a["info_type"]) & (m["chooser"] == a["record_no"]))
+
+    def elsewhere(a):
+        return missed(a) & F.exists("everything", lambda b: F.coalesce(share(a, b) >= 0.6, F.lit(False)))
+
+    none = F.array().cast("array<struct<record_no:{0},info_type:string,words:array<string>,exact_key:string>>".format(
+        expected.schema["record_no"].dataType.simpleString()))
+    runs = (listed(expected, "expected").join(listed(everything, "everything"), "run_id", "left")
+            .join(listed(got, "got"), "run_id", "full_outer")
+            .withColumns({c: F.coalesce(c, none) for c in ("expected", "got", "everything")})
+            .withColumn("edges", F.array_sort(F.flatten(F.transform("expected", edges_of))))
+            .withColumn("found", found)
+            .withColumn("elsewhere", F.array_distinct(F.transform(
+                F.filter("expected", elsewhere), lambda a: F.struct(a["info_type"].alias("type"), a["record_no"]))))
+            .withColumn("info_type", F.explode(F.array_distinct(F.concat("expected.info_type", "got.info_type")))))
+
+    def of_type(name, field):
+        return F.size(F.filter(name, lambda x: x[field] == F.col("info_type"))).cast("long").alias(name)
+
+    return runs.select(*GROUP, of_type("expected", "info_type"), of_type("got", "info_type"), of_type("found", "type"),
+                       of_type("elsewhere", "type"))
+
+
+def _large_runs(expected: DataFrame, got: DataFrame, everything: DataFrame) -> DataFrame:
+    """Counts per run and type, by joins of records."""
     found = cut_lineage(match_records(expected, got), "matches")
     left = expected.join(found.select(*GROUP, F.col("chooser").alias("record_no")),
                          [*GROUP, "record_no"], "left_anti").filter(F.size("words") >= 2)
@@ -95,18 +207,8 @@ def score_runs(expected: DataFrame, got: DataFrame, everything: DataFrame) -> Da
     counts = expected.groupBy(*GROUP).agg(F.count("*").alias("expected"))
     read = got.groupBy(*GROUP).agg(F.count("*").alias("got"))
     hits = found.groupBy(*GROUP).agg(F.count("*").alias("found"))
-    rows = (counts.join(read, GROUP, "full_outer").join(hits, GROUP, "left")
+    return (counts.join(read, GROUP, "full_outer").join(hits, GROUP, "left")
             .join(elsewhere, GROUP, "left").na.fill(0))
-    covered = F.col("found") + F.col("elsewhere")
-    one = F.lit(1.0)
-    return rows.select(
-        *GROUP, "expected", "got", "found", "elsewhere",
-        (F.col("expected") - covered).alias("missed"),
-        (F.col("got") - F.col("found")).alias("extra"),
-        F.when(F.col("expected") > 0, F.col("found") / F.col("expected")).otherwise(one)
-        .alias("recall"),
-        F.when(F.col("expected") > 0, covered / F.col("expected")).otherwise(one)
-        .alias("coverage"))
 
 
 def amount_agreement(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -122,7 +224,37 @@ def amount_agreement(pairs: DataFrame, by: list[str]) -> DataFrame:
 def programs_matched(expected: DataFrame, got: DataFrame) -> DataFrame:
     """Expected program names that were found: equal, or the words of one within the other's.
 
-    Both inputs are distinct (run_id, program). A name can only be within another that has its rarest word, so a pair
+    Both inputs have run_id and program, which may repeat. The names of a small run are lists in its row; names of larger
+    runs, and of none, are joined.
+    """
+    by = ["run_id"]
+    large = _large([expected, got], by, "run_id is null")
+    want, have = (_among(side.select("run_id", "program"), large, by, "left_anti") for side in (expected, got))
+
+    def listed(side, name):
+        return side.repartition("run_id").groupBy("run_id").agg(F.collect_set(F.struct("program")).alias(name))
+
+    def worded_list(name):
+        return F.transform(name, lambda x: F.struct(x["program"].alias("program"), key_words(x["program"]).alias("words")))
+
+    def within(a, b):
+        return F.size(F.array_except(a["words"], b["words"])) == 0
+
+    small = (listed(want, "want").join(listed(have, "have"), "run_id")
+             .select("run_id", worded_list("want").alias("want"), worded_list("have").alias("have"))
+             .select("run_id", F.explode(F.filter("want", lambda a: F.exists(
+                 "have", lambda b: within(a, b) | within(b, a)))).alias("hit"))
+             .select("run_id", F.col("hit.program").alias("program")))
+    if large.isEmpty():
+        return small
+    return small.unionByName(_programs_of_large(*[
+        _among(side.select("run_id", "program"), large, by, "left_semi").distinct() for side in (expected, got)]))
+
+
+def _programs_of_large(expected: DataFrame, got: DataFrame) -> DataFrame:
+    """The same by joins; both inputs are distinct.
+
+    A name can only be within another that has its rarest word, so a pair
     meets on the rarest word of one of its names; a word that all names share brings no pair together unless it is all that
     a name has. A name without significant words is within every name, so any name of the run matches it.
     """
