@@ -2,6 +2,7 @@
 
 import datetime
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +57,17 @@ def test_edits_come_between_batches(spark, table):
     assert rows_of(table.rows()) == [(1, 111), (2, 1)]
 
 
+def test_superseded_files_are_deleted(spark, table):
+    """What is on disk is the table before the last batch and the table after it, whatever the number of batches."""
+    for epoch in range(5):
+        table.merge(epoch, batch(spark, [(k, 1) for k in range(40)]), add)
+    table.merge(5, batch(spark, [(3, 1)]), add)
+    table.merge(5, batch(spark, [(3, 1)]), add)
+    assert rows_of(table.rows()) == sorted((k, 6 if k == 3 else 5) for k in range(40))
+    kept = {f.parent.parent.name for f in Path(table.path).glob("data/*/bucket=*/*.parquet")}
+    assert kept == {"5000", "6000"}
+
+
 def test_a_bucket_may_become_empty(spark, table):
     table.merge(0, batch(spark, [(1, 1), (2, 1)]), add)
     table.merge(1, batch(spark, [(1, 0)]), lambda old, new: old.join(new, "k", "left_anti"))
@@ -134,6 +146,30 @@ def test_three_readings(spark, tmp_path):
     assert {r.engagement_id: r.all_extracted for r in tables.ready(filed).collect()} == {7: True, 8: False}
 
 
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_a_reading_shuffles_terms_once(spark, tmp_path):
+    shape = terms.stored_schema(spark.createDataFrame([], RECORD).schema)
+    table = BatchTable(spark, str(tmp_path), f"{shape}, {terms.REVIEW_STATE}", ["document_id"], 4)
+    blank = (None, 1, "a", "Fuel", "fuel", 1.0, "h1")
+    plans = []
+
+    def combine(old, new):
+        plans.append(terms.apply_reading(old, new, F.lit(7), ["bucket", "share"]))
+        return plans[-1]
+
+    for epoch, rows in enumerate((FIRST + [blank], SECOND + [blank])):
+        table.merge(epoch, reading(spark, rows), combine, dealt=True)
+    now = rows_of(table.rows().filter("document_id = 1").select("record_id", "superseded", "changed_since_approval"))
+    assert now == [("a", False, False), ("b", False, False), ("c", True, False), ("d", False, False)]
+    # Terms without a key meet no other; versions that were not read stay.
+    assert rows_of(table.rows().filter("document_id is null").select("superseded")) == [(False,), (False,)]
+    assert table.rows().filter("document_id = 2 and not superseded").count() == 1
+    assert exchanges(plans[-1].sortWithinPartitions("bucket", "document_id")) == 1
+
+
 def test_queue_keeps_five_examples(spark, tmp_path):
     def seen(rows):
         return catalog.queue_of(spark.createDataFrame(rows, "raw string, example string, seen_at int"))
