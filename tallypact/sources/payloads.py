@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from tallypact import fixed_values as fv
 from tallypact.functions.binding import let
 
-# What a payload that does not parse is read as: strings, braces, and runs of anything else. A
-# quote that opens no whole string is a piece of its own.
-_PIECES = r'("(?:[^"\\]++|\\.)*+"|[{}]|[^{}"]++|")'
+# What a payload that does not parse is read as: braces, and runs of strings and of anything else between them (up to 64
+# in a piece, which bounds the matcher's stack). A quote that opens no whole string is a piece of its own.
+_PIECES = r'((?:"(?:[^"\\]++|\\.)*+"|[^{}"]++){1,64}+|[{}]|")'
 
 
 def salvage(payload: Column) -> Column:
@@ -41,8 +41,13 @@ def salvage(payload: Column) -> Column:
     return F.transform(found, lambda s: F.substr(payload, s.start, s.size))
 
 
-def _kind(value: Column) -> Column:
-    return F.schema_of_variant(value)
+def _is_object(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+
+
+def _items(value: Column) -> Column:
+    """The elements of an array, or an object by itself; NULL for anything else."""
+    return F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.when(_is_object(value), F.array(value)))
 
 
 def record_rows(payloads: DataFrame) -> DataFrame:
@@ -51,12 +56,9 @@ def record_rows(payloads: DataFrame) -> DataFrame:
     A payload is an array, an array written as a JSON string, or one object. Text that does not
     parse is salvaged. ``payloads`` has a ``payload`` column.
     """
-    outer = F.try_parse_json("payload")
-    inner = F.when(_kind(outer) == "STRING",
-                   F.try_parse_json(F.try_variant_get(outer, "$", "string"))).otherwise(outer)
-    parsed = let(inner, lambda v: F.when(
-        _kind(v).startswith("ARRAY"), v.cast("array<variant>")).when(
-        _kind(v).startswith("OBJECT"), F.array(v)))
+    # Only a JSON value that is neither may be a string that holds one.
+    parsed = let(F.try_parse_json("payload"), lambda outer: F.coalesce(_items(outer), let(
+        F.try_parse_json(F.try_variant_get(outer, "$", "string")), _items)))
     rescued = F.transform(salvage(F.col("payload")), F.try_parse_json)
     rescued = F.filter(rescued, lambda v: v.isNotNull())
     rows = payloads.filter("payload is not null and trim(payload) <> ''").withColumn(
@@ -69,23 +71,33 @@ def record_rows(payloads: DataFrame) -> DataFrame:
 def _problem() -> Column:
     """Why a record is refused, or NULL. Reads ``record``."""
     record = F.col("record")
-    kind = F.try_variant_get(record, "$.info_type", "string")
-    chain = (F.when(record.isNull(), "no records in payload")
-             .when(~_kind(record).startswith("OBJECT"), "expected an object")
-             .when(kind.isNull() | ~kind.isin(list(fv.REQUIRED_FIELDS)), "unknown info_type"))
-    for info_type, fields in fv.REQUIRED_FIELDS.items():
-        for name in fields:
-            absent = F.try_variant_get(record, f"$.{name}", "string").isNull()
-            chain = chain.when((kind == info_type) & absent, f"{name} is required")
+
+    def absent(name):
+        return F.try_variant_get(record, f"$.{name}", "string").isNull()
+
+    def lacks(fields):
+        chain = F.when(absent(fields[0]), f"{fields[0]} is required")
+        for name in fields[1:]:
+            chain = chain.when(absent(name), f"{name} is required")
+        return chain
+
+    def of_kind(kind):
+        # What has an info_type is an object.
+        chain = (F.when(record.isNull(), "no records in payload")
+                 .when(kind.isNull() & ~_is_object(record), "expected an object")
+                 .when(kind.isNull() | ~kind.isin(list(fv.REQUIRED_FIELDS)), "unknown info_type"))
+        return F.coalesce(chain, *[F.when(kind == info_type, lacks(fields)) for info_type, fields in fv.REQUIRED_FIELDS.items()])
+
     amount = F.try_variant_get(record, "$.amount", "string")
     confidence = F.try_variant_get(record, "$.confidence", "double")
-    return (chain.when(amount.isNotNull() & F.expr("try_cast(try_variant_get(record, '$.amount', "
-                                                   "'string') as double)").isNull(),
-                       "amount is not a number")
-            .when((confidence < 0) | (confidence > 1), "confidence is out of range"))
+    wrong = F.when(amount.isNotNull() & F.expr("try_cast(try_variant_get(record, '$.amount', 'string') as double)").isNull(),
+                   "amount is not a number").when(
+        let(confidence, lambda c: (c < 0) | (c > 1)), "confidence is out of range")
+    return F.coalesce(let(F.try_variant_get(record, "$.info_type", "string"), of_kind), wrong)
 
 
 def ingest_records(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, refused) record rows; refused rows carry a reason and never lose their neighbours."""
-    rows = record_rows(payloads).withColumn("reason", _problem())
+    # Exploded, so that neither filter works the reason out again.
+    rows = record_rows(payloads).withColumn("reason", F.explode(F.array(_problem())))
     return rows.filter("reason is null").drop("reason"), rows.filter("reason is not null")
