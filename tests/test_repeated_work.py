@@ -54,3 +54,16 @@ def test_payloads_of_every_kind(spark):
         (3, 0, "expected an object"), (3, 1, "program is required"), (4, 0, none), (5, 0, none), (6, 0, none), (7, 0, none),
         (9, 0, "definition is required"), (12, 0, none), (13, 0, "amount is not a number"), (13, 1, "confidence is out of range")]
     assert plan(refused).count("program is required") == 1 and "schema_of_variant" not in plan(refused)
+
+
+def test_a_text_is_split_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, 1, "a\nb\nc\nd\ne\nf"), (2, 1, ""), (3, 1, None)], "document_id long, engagement_id long, full_text string")
+    monkeypatch.setattr(views, "agreements", lambda *_: docs)
+    paged = views.document_pages(spark, "")
+    assert {r.document_id: r.pages and [(p.page_number, p.lines) for p in r.pages] for r in paged.collect()} == {
+        1: [(1, ["a", "b", "c", "d", "e"]), (2, ["f"])], 2: [(1, [""])], 3: None}
+    assert plan(paged).count("split(") == 1
+    names = written(monkeypatch, citations)
+    asked = spark.createDataFrame([("q", 1, "F", 9)], "citation_id string, document_id long, quote string, page_hint int")
+    assert [r.page_number for r in citations.locate(asked, paged).collect()] == [2]
+    assert {"pages", "asked"} <= set(names)
