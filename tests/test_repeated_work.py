@@ -67,3 +67,11 @@ def test_a_text_is_split_once(spark, monkeypatch):
     asked = spark.createDataFrame([("q", 1, "F", 9)], "citation_id string, document_id long, quote string, page_hint int")
     assert [r.page_number for r in citations.locate(asked, paged).collect()] == [2]
     assert {"pages", "asked"} <= set(names)
+
+
+def test_seeds_are_put_out_in_parts():
+    texts = ["".join(random.Random(k).choices("abcdefgh0123456789", k=5000)) for k in range(700)] + [None, "", "x"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["document_id", "stream"])
+    out = list(containment._seed_batches(iter([batch])))
+    assert len(out) == 4 and max(b.num_rows for b in out) < 3 * containment.SEED_LETTERS
+    assert sorted({i for b in out for i in b.column(0).to_pylist()}) == [*range(700), 702]
