@@ -48,7 +48,7 @@ def identity_text(info_types: list[str] | None = None) -> Column:
     money = F.concat_ws(
         "|", F.coalesce(F.col("amount").cast("decimal(18,2)").cast("string"), F.lit("None")),
         F.when(F.col("included"), "True").otherwise("False"))
-    return F.when(info_type == "pricing_item", F.concat_ws("|", base, money)).otherwise(base)
+    return F.concat_ws("|", base, F.when(info_type == "pricing_item", money))
 
 
 def record_id(info_types: list[str] | None = None) -> Column:

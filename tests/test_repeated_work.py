@@ -35,6 +35,20 @@ def key_of(name):
     return words, " ".join(w[:-1] if len(w) > 4 and w.endswith("s") and not w.endswith("ss") else w for w in words)
 
 
+def test_names_are_cleaned_without_lambdas(spark):
+    rng = random.Random(4)
+    pieces = [*fv.NAME_STOPWORDS, "cars", "tolls", "glass", "buses", "s", "ss", "sss", "as", "theme", "9s", "abcds", "(x the) ", "()", "(", "-", "\n",
+              "\t", "  ", "É", "Program", "THE", "an-a", "of.of"]
+    names = [None, "", " ", "the", "the a an", "A the fuel of", *["".join(
+        rng.choice(pieces) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(1, 9))) for _ in range(600)]]
+    df = spark.createDataFrame([(n,) for n in names], "name string").select(
+        "name", text.normalise_name(F.col("name")).alias("key"), text.slugify(F.col("name")).alias("slug"))
+    assert "lambda" not in plan(df)
+    for r in df.collect():
+        words, key = key_of(r["name"])
+        assert (r["key"], r["slug"]) == (key, "-".join(words) or "unnamed"), r["name"]
+
+
 def test_runs_of_strings_are_one_piece():
     assert len(re.findall(payloads._PIECES, '{"a":"b","c":["d",1]}')) == 3
     assert len(re.findall(payloads._PIECES, '{"a":"b","c')) == 4
