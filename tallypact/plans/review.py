@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tallypact import fixed_values as fv
 from tallypact.functions import billing as bill_fn
+from tallypact.functions.binding import let
 from tallypact.functions.text import normalise_name
 from tallypact.operators.records import last_by
+from tallypact.session import cut_lineage
 
 READING = ["document_id", "version"]
 
@@ -27,12 +29,10 @@ def priced_lines(terms: DataFrame) -> DataFrame:
     """
     line = bill_fn.fee_line(F.col("amount"), F.col("rate_pct"), F.col("fee_type"),
                             F.col("unit_basis"), F.col("minimum"), F.col("tier_bands"))
-    key = normalise_name(F.col("program"))
-    label = F.coalesce(F.when(F.coalesce("item", F.lit("")) != "",
-                              normalise_name(F.col("item"))), F.lit("program"))
+    key = let(normalise_name(F.col("program")), lambda k: F.when(k != "", k).otherwise(F.lower("program")))
+    label = F.when(F.coalesce("item", F.lit("")) != "", normalise_name(F.col("item"))).otherwise("program")
     return (terms.filter(~F.col("superseded") & has_money())
-            .select(*READING, F.when(key != "", key).otherwise(F.lower("program"))
-                    .alias("program_key"), "program",
+            .select(*READING, key.alias("program_key"), "program",
                     F.concat(label, F.lit(": "), line).alias("line")))
 
 
@@ -47,10 +47,11 @@ def changed_programs(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """Programs whose priced lines differ between a reading and the one it replaces.
 
     ``pairs`` comes from :func:`tallypact.plans.documents.predecessors`. Lines are compared as
-    counted rows, and only programs that differ have their texts put together.
+    counted rows, and only programs that differ have their texts put together. Counted lines are written once: both sides
+    read them, and both sides are read twice.
     """
-    counted = lines.groupBy(*READING, "program_key", "line").agg(
-        F.count("*").alias("n"), F.min("program").alias("program"))
+    counted = cut_lineage(lines.groupBy(*READING, "program_key", "line").agg(
+        F.count("*").alias("n"), F.min("program").alias("program")), "counted")
     new = (counted.join(pairs.select("document_id", F.col("current_version").alias("version")),
                         READING)
            .select("document_id", "program_key", "line", F.col("n").alias("new_n"),

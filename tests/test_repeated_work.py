@@ -83,6 +83,15 @@ def test_a_text_is_split_once(spark, monkeypatch):
     assert {"pages", "asked"} <= set(names)
 
 
+def test_lines_are_counted_once(spark, monkeypatch):
+    names = written(monkeypatch, review)
+    lines = spark.createDataFrame([(1, 1, "p", "P", "x"), (1, 2, "p", "P", "x"), (1, 2, "p", "P", "y"), (1, 1, "q", "Q", "z"), (1, 2, "q", "Q", "z")],
+                                  "document_id long, version int, program_key string, program string, line string")
+    pairs = spark.createDataFrame([(1, 2, 1, 1)], "document_id long, current_version int, previous_id long, previous_version int")
+    assert [tuple(r) for r in review.changed_programs(pairs, lines).select("service", "before", "after").collect()] == [("P", "x", "x ; y")]
+    assert names == ["counted"]
+
+
 def test_seeds_are_put_out_in_parts():
     texts = ["".join(random.Random(k).choices("abcdefgh0123456789", k=5000)) for k in range(700)] + [None, "", "x"]
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["document_id", "stream"])
