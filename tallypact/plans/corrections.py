@@ -26,16 +26,15 @@ def place_again(terms: DataFrame, corrections: DataFrame, programs: DataFrame, i
     ``terms`` has term_key, category, ``FIELDS`` and ``MATCH``; ``corrections`` has term_key and ``FIELDS``, of which
     NULL ones keep what is stored. One correction a term.
     """
-    keys = corrections.select("term_key")
-    touched = cut_lineage(changes.correct_terms(
-        terms.join(keys, "term_key", "left_semi"), corrections, "term_key", FIELDS), "corrected")
+    # Terms meet the corrections once; both kinds of rows are read back from there.
+    every = cut_lineage(changes.correct_terms(terms, corrections, "term_key", FIELDS), "corrected")
+    touched = every.filter("corrected")
     pricing = touched.filter("category = 'pricing'")
     placed = resolve(pricing.select(F.col("program").alias("program_raw"), F.col("item").alias("item_raw")), programs, items)
     same = F.col("t.program").eqNullSafe(F.col("p.program_raw")) & F.col("t.item").eqNullSafe(F.col("p.item_raw"))
     matched = pricing.drop(*MATCH).alias("t").join(placed.alias("p"), same, "left").select(
         "t.*", "p.program_id", "p.item_id", F.col("p.kind").alias("catalog_match"))
-    return (terms.join(keys, "term_key", "left_anti").withColumn("corrected", F.lit(False))
-            .unionByName(touched.filter("category <> 'pricing'")).unionByName(matched))
+    return (every.filter("not corrected").unionByName(touched.filter("category <> 'pricing'")).unionByName(matched))
 
 
 def rebuild_coverage(stored: DataFrame, terms: DataFrame) -> DataFrame:

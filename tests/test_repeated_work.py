@@ -92,6 +92,28 @@ def test_lines_are_counted_once(spark, monkeypatch):
     assert names == ["counted"]
 
 
+def test_documents_are_classified_once(spark, monkeypatch):
+    calls, keep = [], agreements.docs
+    monkeypatch.setattr(agreements, "docs", lambda *a: calls.append(1) or keep(*a))
+    agreements.reviewed(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
+    agreements.rebilled(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 2
+
+
+def test_terms_meet_corrections_once(spark):
+    terms = spark.createDataFrame([("a", "legal", "P", "p"), ("b", "legal", "P", "p"), (None, "legal", "P", "p")],
+                                  "term_key string, category string, program string, program_id string").selectExpr(
+        "*", "'i' as item", "cast(1 as decimal(18,2)) as amount", "'x' as item_id", "'exact' as catalog_match")
+    asked = spark.createDataFrame([("a", "Q"), (None, "R")], "term_key string, program string").selectExpr(
+        "*", "cast(null as string) as item", "cast(null as decimal(18,2)) as amount")
+    programs = spark.createDataFrame([], "program_id string, position string, name string, aliases array<string>")
+    items = spark.createDataFrame([], "program_id string, item_id string, position string, name string, aliases array<string>")
+    after = corrections.place_again(terms, asked, programs, items)
+    assert sorted((r.term_key or "", r.program, r.corrected) for r in after.collect()) == [("", "P", False), ("a", "Q", True), ("b", "P", False)]
+    assert "LeftAnti" not in plan(after)
+
+
 def test_seeds_are_put_out_in_parts():
     texts = ["".join(random.Random(k).choices("abcdefgh0123456789", k=5000)) for k in range(700)] + [None, "", "x"]
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["document_id", "stream"])
