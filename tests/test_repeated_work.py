@@ -10,12 +10,12 @@ from tallypact import fixed_values as fv
 from tallypact import views
 from tallypact.functions import text
 from tallypact.operators import containment
-from tallypact.plans import citations, corrections, review
+from tallypact.plans import citations, corrections, review, terms
 from tallypact.sources import payloads
 from tallypact.workload import load
 
 load()
-from tallypact.workload import agreements  # noqa: E402
+from tallypact.workload import agreements, money  # noqa: E402
 
 
 def plan(df):
@@ -120,3 +120,27 @@ def test_seeds_are_put_out_in_parts():
     out = list(containment._seed_batches(iter([batch])))
     assert len(out) == 4 and max(b.num_rows for b in out) < 3 * containment.SEED_LETTERS
     assert sorted({i for b in out for i in b.column(0).to_pylist()}) == [*range(700), 702]
+
+
+def test_engagement_coverage_counts_without_expanding_rows(spark):
+    rows = spark.createDataFrame(
+        [(1, 10, 1, "a", ["x", "y"], 2), (1, 10, 2, "a", ["x"], 1), (1, 11, 1, "b", ["x"], 3),
+         (1, 12, 1, "gone", ["z"], 9), (2, 20, 1, "a", [], 0), (None, 30, 1, "b", ["x"], 1), (3, None, 1, "a", None, None)],
+        "engagement_id long, document_id long, version int, program_id string, item_ids array<string>, priced_items long")
+    programs = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "program_id string")
+    out = terms.engagement_coverage(rows, programs, None)
+    assert "Expand" not in plan(out)
+    assert {r["engagement_id"]: tuple(r)[1:] for r in out.collect()} == {
+        1: (2, 6, 2, 3), 2: (1, 0, 1, 0), None: (1, 1, 1, 0), 3: (1, None, 0, 0)}
+
+
+def test_dashboard_writes_the_schedule_columns_its_reports_read(spark, monkeypatch):
+    made = {}
+
+    def kept(df, purpose):
+        made[purpose] = df.columns
+        return df
+
+    monkeypatch.setattr(money, "cut_lineage", kept)
+    money.finance_dashboard(spark, "/root/testdata/sf0.001")
+    assert sorted(made["schedule"]) == ["amount", "due_date", "engagement_id", "status"]
