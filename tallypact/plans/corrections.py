@@ -20,14 +20,19 @@ FIELDS = ["program", "item", "amount"]
 MATCH = ["program_id", "item_id", "catalog_match"]
 
 
-def place_again(terms: DataFrame, corrections: DataFrame, programs: DataFrame, items: DataFrame) -> DataFrame:
+def place_again(terms: DataFrame, corrections: DataFrame, programs: DataFrame, items: DataFrame,
+                reads: list[str] | None = None) -> DataFrame:
     """Stored terms after corrections, with ``corrected``; a corrected pricing line has the match of its new wording.
 
     ``terms`` has term_key, category, ``FIELDS`` and ``MATCH``; ``corrections`` has term_key and ``FIELDS``, of which
-    NULL ones keep what is stored. One correction a term.
+    NULL ones keep what is stored. One correction a term. ``reads`` names the columns that the caller reads beside ``MATCH``;
+    others that are not needed here are not written.
     """
     # Terms meet the corrections once; both kinds of rows are read back from there.
-    every = cut_lineage(changes.correct_terms(terms, corrections, "term_key", FIELDS), "corrected")
+    every = changes.correct_terms(terms, corrections, "term_key", FIELDS)
+    if reads is not None:
+        every = every.select(*[c for c in every.columns if c in {*FIELDS, *MATCH, *reads, "category", "corrected"}])
+    every = cut_lineage(every, "corrected")
     touched = every.filter("corrected")
     pricing = touched.filter("category = 'pricing'")
     placed = resolve(pricing.select(F.col("program").alias("program_raw"), F.col("item").alias("item_raw")), programs, items)

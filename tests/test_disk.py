@@ -3,12 +3,26 @@
 from pyspark.sql import functions as F
 
 from tallypact import session
+from tallypact.plans import corrections
+from tallypact.workload import load
+
+load()
+from tallypact.workload import agreements  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
 
 
 def shuffles(spark):
     return spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
 
 
+def columns_written(monkeypatch, *modules):
+    out, keep = {}, session.cut_lineage
+    for module in modules:
+        monkeypatch.setattr(module, "cut_lineage", lambda df, name: out.setdefault(name, df.columns) and keep(df, name))
+    return out
+
+
 def test_a_lineage_cut_leaves_no_shuffle(spark):
     spark.conf.unset(session.CLEANUP_KEY)
     before = shuffles(spark)
@@ -17,3 +31,9 @@ def test_a_lineage_cut_leaves_no_shuffle(spark):
     assert shuffles(spark) <= before
     assert {r["count"] for r in df.collect()} == {142, 143}
     assert spark.conf.get(session.CLEANUP_KEY, None) != "true"
+
+
+def test_corrected_terms_write_the_columns_that_are_read(spark, monkeypatch):
+    out = columns_written(monkeypatch, corrections)
+    agreements.rebuilt_coverage(spark, SF)
+    assert "term_key" not in out["corrected"] and {"program", "item", "corrected"} <= set(out["corrected"])
