@@ -3,11 +3,11 @@
 from pyspark.sql import functions as F
 
 from tallypact import session
-from tallypact.plans import corrections
+from tallypact.plans import corrections, terms
 from tallypact.workload import load
 
 load()
-from tallypact.workload import agreements  # noqa: E402
+from tallypact.workload import agreements, contract_terms  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,6 +33,18 @@ def test_a_lineage_cut_leaves_no_shuffle(spark):
     assert spark.conf.get(session.CLEANUP_KEY, None) != "true"
 
 
+def test_folds_write_the_columns_that_are_read(spark, monkeypatch):
+    out = columns_written(monkeypatch, terms, contract_terms)
+    contract_terms.amount_conflicts(spark, SF)
+    assert not {"tier_bands", "citations", "notes", "definition"} & set(out.pop("folded"))
+    contract_terms.duplicate_reading_fold(spark, SF)
+    assert not {"tier_bands", "citations", "ordinal", "gained"} & set(out.pop("folded"))
+    # The report reads folded rows from the same table as what is kept and dropped.
+    report = contract_terms.fold_report(spark, SF)
+    assert set(out) == {"folded"} and not {"tier_bands", "citations"} & set(out["folded"])
+    assert "min_by" not in report._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_corrected_terms_write_the_columns_that_are_read(spark, monkeypatch):
     out = columns_written(monkeypatch, corrections)
     agreements.rebuilt_coverage(spark, SF)
