@@ -7,7 +7,7 @@ from brute import jaccard_groups as groups
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallypact.llm import near
+from tallypact.llm import near, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.01"
@@ -67,3 +67,15 @@ def test_texts_that_share_a_passage_make_no_pairs(spark):
     assert near._met(open_, 0, 1).count() <= 6
     out = near.components(docs).collect()
     assert {r["doc_id"]: r["component_id"] for r in out} == groups(rows)
+
+
+def test_fingerprints_link_what_shingle_sets_do_not(spark):
+    """A phrase said many times makes the fingerprint, but few of the distinct shingles."""
+    rng = random.Random(2)
+    phrase = " ".join(f"said{k}" for k in range(11))
+    rows = [(n, " ".join([phrase] * 60 + [f"own{rng.randrange(10**9)}" for _ in range(20)])) for n in (4, 9)] + [(1, "other words")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], SCHEMA)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.digest(docs).collect()} == {1: 1, 4: 4, 9: 4}
+    assert groups(rows) == {1: 1, 4: 4, 9: 9}
+    assert {r["doc_id"]: r["component_id"] for r in near.components(docs).collect()} == {1: 1, 4: 4, 9: 4}
+    assert sorted(r["doc_id"] for r in pipeline.near_duplicates(spark, docs, SF).collect()) == [1, 4]
